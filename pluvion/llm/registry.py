@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import common, tokens
+from . import common, secret_scan, tokens, warc
 
 
 def op1_token_ids(spark, sf_dir):
     return tokens.token_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secret_scan.digest(common.table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
         "op1_token_ids": op1_token_ids,
+        "op8_secrets": op8_secrets,
+        "op10_warc": op10_warc,
     }
 
 

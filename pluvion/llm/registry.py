@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import common, secret_scan, tokens, warc
+from . import common, licenses, mixing, secret_scan, tokens, warc
 
 
 def op1_token_ids(spark, sf_dir):
     return tokens.token_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.taken(common.table(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark, sf_dir):
+    return licenses.matches(common.table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark, sf_dir):
     return secret_scan.digest(common.table(spark, sf_dir, "documents"))
 
@@ -20,10 +28,12 @@ def op10_warc(spark, sf_dir):
 def queries():
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_mixing": op2_mixing,
         "op8_secrets": op8_secrets,
+        "op9_licenses": op9_licenses,
         "op10_warc": op10_warc,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_licenses": licenses.oracle()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, licenses, mixing, secret_scan, tokens, warc
+from . import common, licenses, mixing, near_dup, secret_scan, tokens, warc
 
 
 def op1_token_ids(spark, sf_dir):
@@ -17,6 +17,10 @@ def op9_licenses(spark, sf_dir):
     return licenses.matches(common.table(spark, sf_dir, "documents"))
 
 
+def op6_near_dup(spark, sf_dir):
+    return near_dup.groups(common.table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op8_secrets(spark, sf_dir):
     return secret_scan.digest(common.table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def queries():
     return {
         "op1_token_ids": op1_token_ids,
         "op2_mixing": op2_mixing,
+        "op6_near_dup": op6_near_dup,
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
         "op10_warc": op10_warc,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, licenses, mixing, near_dup, secret_scan, tokens, warc
+from . import common, licenses, mixing, near_dup, secret_scan, tokens, toxicity, warc
 
 
 def op1_token_ids(spark, sf_dir):
@@ -21,6 +21,11 @@ def op6_near_dup(spark, sf_dir):
     return near_dup.groups(common.table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark, sf_dir):
     return secret_scan.digest(common.table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def queries():
     return {
         "op1_token_ids": op1_token_ids,
         "op2_mixing": op2_mixing,
+        "op5_toxicity": op5_toxicity,
         "op6_near_dup": op6_near_dup,
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,

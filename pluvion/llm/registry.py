@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, licenses, mixing, near_dup, secret_scan, tokens, toxicity, warc
+from . import common, licenses, lmscore, mixing, near_dup, secret_scan, tokens, toxicity, warc
 
 
 def op1_token_ids(spark, sf_dir):
@@ -26,6 +26,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op7_lm_score(spark, sf_dir):
+    return lmscore.score(common.table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark, sf_dir):
     return secret_scan.digest(common.table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries():
         "op2_mixing": op2_mixing,
         "op5_toxicity": op5_toxicity,
         "op6_near_dup": op6_near_dup,
+        "op7_lm_score": op7_lm_score,
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
         "op10_warc": op10_warc,

@@ -43,8 +43,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this package available on the workers."""
+    """mapInArrow with this package available on the workers, in batches of few rows, as texts may be long."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return df.mapInArrow(function, schema)
 
 

@@ -12,6 +12,8 @@ columns of the input do not take part unless named in ``keep``.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -27,6 +29,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+SLICE_BYTES = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -35,31 +38,93 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Pre-tokenizer patterns under which no token spans white space or the border of a letter or digit and a mark.
+BY_WORD = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
+
+
 class Encoder:
-    """Encodes text piece by piece at ASCII white space, remembering the ids of each piece.
+    """Encodes texts piece by piece at ASCII white space, remembering the ids of pieces.
+
+    Where the vocabulary's pre-tokenizer drops white space and no token spans it, the ids of a text are those of its
+    pieces in order; A-Z may be lower-cased first where the normaliser does so, and one mark that ends a piece of
+    letters encodes by itself. Arrow splits the texts and finds the distinct pieces, the library encodes those that
+    are not yet known, and the ids of the texts are gathered from theirs. Texts that hold a special token's opening,
+    and vocabularies of other kinds, are encoded whole by the library.
 
-    The vocabulary's pre-tokenizer drops white space and no token spans it, so the ids of a text are those of its
-    pieces in order. All unknown pieces of a batch are encoded by the library in one call.
+    At ``limit`` pieces only the short ones, which are the frequent ones, are kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    _of: dict[str, "Encoder"] = {}
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
 
-    def batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [t.encode().split() if t else [] for t in texts]
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {b"": b""}
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        first = ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = first.get("behavior") == "Removed" and (first.get("pattern") or {}).get("Regex") in BY_WORD
+        self.lowers = any(n.get("type") == "Lowercase" for n in (form.get("normalizer") or {}).get("normalizers", []))
+        self.special = all(t["content"].startswith("<|") for t in form.get("added_tokens", []))
+
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        """The one of this worker process, which serves many tasks."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece."""
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known = {p: v for p, v in self.known.items() if len(p) <= 9}
+            if len(self.known) > self.limit // 2:
+                self.known = {b"": b""}
         known = self.known
-        new = [p for p in set().union(*pieces) if p not in known] if pieces else []
+        cut = [p[-1:] if p[-1:] in MARKS_AT_END and p[-2:-1].isalnum() else b"" for p in pieces]
+        stems = [p[:-1] if c else p for p, c in zip(pieces, cut, strict=True)]
+        new = list({*stems, *cut}.difference(known))
         for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False)
-            for piece, enc in zip(some, got, strict=True):
-                known[piece] = np.asarray(enc.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+            known.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
+        return [known[p] + known[c] if c else known[p] for p, c in zip(stems, cut, strict=True)]
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each); null: none."""
+        texts = texts.fill_null("")
+        if not self.by_word or not self.special:
+            return self._joined(self._ids([t.encode() for t in texts.to_pylist()]))
+        odd = np.flatnonzero(pa.compute.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        if len(odd):
+            plain = pa.array([None if i in (bad := set(odd.tolist())) else t for i, t in enumerate(texts.to_pylist())], pa.string())
+            ids, n = self.column(plain)
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i, x in zip(odd.tolist(), self._ids([texts[i].as_py().encode() for i in odd.tolist()]), strict=True):
+                parts[i] = np.frombuffer(x, "<u4")
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        if self.lowers:
+            texts = pa.compute.ascii_lower(texts)
+        split = pa.compute.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, n = self._joined(self._pieces(coded.dictionary.cast(pa.binary()).to_pylist()))
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        counts = n[index]
+        ends = np.cumsum(counts)
+        starts = np.concatenate([[0], np.cumsum(n)])[:-1] if len(n) else np.zeros(0, np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.arange(total) + np.repeat(starts[index] - (ends - counts), counts)]
+        borders = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return out, np.diff(borders)
+
+    @staticmethod
+    def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+MARKS_AT_END = frozenset(b"%c" % c for c in b".,;:!?")
 
 
 def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -81,16 +146,14 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", ids array<int>, n_tokens bigint"
 
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
             texts = batch.column(len(kept))
-            for a, b in slices(texts):
-                ids = [x + end for x in encoder.batch(texts.slice(a, b - a).to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                flat = np.frombuffer(b"".join(ids), "<i4")
+            for a, b in slices(texts, SLICE_BYTES):
+                ids, n = encoder.column(texts.slice(a, b - a))
+                flat = np.insert(ids.astype(np.int32), np.cumsum(n), end_id)
+                n = n + 1
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), lists, pa.array(n)], names=[*kept, "ids", "n_tokens"])
 
@@ -163,4 +226,4 @@ def token_digest(docs: DataFrame, tokenizer: str | None = None, path: str | None
     path = path or common.scratch(spark, "tokens")
     write(docs, path, tokenizer or default_tokenizer())
     stored = read(spark, path, ["doc_id", "part", "ids"])
-    return positions(checksums(stored)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return positions(common.materialise(checksums(stored), "token-sums")).select("doc_id", "start", "n_tokens", "ids_crc32")

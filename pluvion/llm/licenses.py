@@ -91,10 +91,14 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
         unit("text", F.array(text), lambda x: F.size(paragraphs) > 1),
     )
     # A word has a letter at least and longest templates have ``high`` bigrams, but blanks and marks are free: only words can bound a unit.
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(units).alias("u")).filter("u.take")
+    needed = needed_words(templates, least)
+    # One look at each text for any of those words as a whole word; the letters that may start one come first, as most places fail there.
+    heads = "".join(sorted({w[0] for w in needed}))
+    some = docs.filter(F.col(text_col).rlike(f"(?i)(?<![a-z0-9])(?=[{heads}])(?:{'|'.join(needed)})(?![a-z0-9])"))
+    rows = some.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(units).alias("u")).filter("u.take")
     words = F.split(normalise(F.col("u.body")), " ")
     rows = rows.select("id", "row", "u.unit", "u.unit_no", words.alias("words"))
-    rows = rows.filter(F.arrays_overlap("words", F.array(*map(F.lit, needed_words(templates, least)))))
+    rows = rows.filter(F.arrays_overlap("words", F.array(*map(F.lit, needed))))
     grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     rows = rows.filter(F.size("words") > 1).withColumn("grams", grams).withColumn("a", F.size("grams")).filter(F.col("a").between(low, high))
     met = rows.select("id", "row", "unit", "unit_no", "a", F.explode("grams").alias("gram")).join(F.broadcast(forms), "gram").filter(2 * F.least("a", "b") >= least * (F.col("a") + F.col("b")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, licenses, lmscore, media, mixing, near_dup, secret_scan, tokens, toxicity, warc
+from . import common, decontaminate, licenses, lmscore, media, mixing, near_dup, secret_scan, tokens, toxicity, warc
 
 
 def op1_token_ids(spark, sf_dir):
@@ -21,6 +21,10 @@ def op6_near_dup(spark, sf_dir):
     return near_dup.groups(common.table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op4_media(spark, sf_dir):
     return media.round_trip(common.table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries():
     return {
         "op1_token_ids": op1_token_ids,
         "op2_mixing": op2_mixing,
+        "op3_decontaminate": op3_decontaminate,
         "op4_media": op4_media,
         "op5_toxicity": op5_toxicity,
         "op6_near_dup": op6_near_dup,

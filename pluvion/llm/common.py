@@ -42,7 +42,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInArrow with this package available on the workers, in batches of few rows, as texts may be long."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

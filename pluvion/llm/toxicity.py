@@ -178,14 +178,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that are not toxic, with all their columns."""
-    import pandas as pd
+    at = docs.columns.index(text_col)
 
-    def flag(texts: pd.Series) -> pd.Series:
+    def run(batches):
         weights = model.weights
         cache = common.Cache(lambda word: tuple(f for f in features_of_word(word) if f in weights))
-        return pd.Series([bool(model.above(sum(weights[f] for f in sorted(_features(set(common.words_of(t)), cache))))[0] >= reject) for t in texts], dtype=bool)
-
-    from pluvion.session import ship
-
-    ship(docs.sparkSession)
-    return docs.filter(~F.pandas_udf(flag, "boolean")(F.col(text_col)))
+        for batch in batches:
+            keep = []
+            for t in batch.column(at).to_pylist():
+                found = _features(set(common.words_of(t)), cache)
+                keep.append(bool(model.above(sum(weights[f] for f in sorted(found)))[0] < reject))
+            cache.trim()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return common.arrow(docs, run, docs.schema)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.dialect import DUCKDB, frame
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "bench_flagship"
@@ -21,3 +23,21 @@ def query(name: str, sql: str | None = None):
         return function
 
     return keep
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+
+
+def sql_query(name: str, *sources: str):
+    """Register a query that a SQL builder gives for both dialects; ``{table}`` in it is a table of the driver."""
+
+    def keep(builder):
+        QUERIES[name] = lambda spark, sf_dir: frame(spark, builder, **tables(spark, sf_dir, *sources))
+        ORACLES[name] = builder(DUCKDB).format(**{s: s for s in sources})
+        return builder
+
+    return keep
+
+
+from . import spatial  # noqa: E402, F401

@@ -101,7 +101,9 @@ def fit_features(lists: list[np.ndarray], toxic: np.ndarray, most_features: int
     if not len(lists) or not toxic.any() or toxic.all():
         return Model()
     size = 1 << BITS
-    bad, good = (np.bincount(np.concatenate([x for x, t in zip(lists, toxic.tolist(), strict=True) if t == v]), minlength=size) for v in (True, False))
+    bad, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for x, t in zip(lists, toxic.tolist(), strict=True):
+        (bad if t else good)[x] += 1  # the features of a document are distinct
     n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
     seen = bad + good
@@ -118,10 +120,9 @@ def fit_features(lists: list[np.ndarray], toxic: np.ndarray, most_features: int
     count = np.asarray([int((strong[x] & (index[x] >= 0)).sum()) for x in lists])
     cuts = np.quantile(count[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     y = np.where(toxic, 1 + (count[:, None] > cuts[None, :]).sum(axis=1), 0)
-    n = np.asarray([len(x) for x in lists])
-    rows, cols = np.repeat(np.arange(len(lists)), n), index[np.concatenate(lists)]
-    used = cols >= 0
-    w, theta = fit_ordinal(rows[used], cols[used], y, len(chosen))
+    kept = [i[i >= 0] for i in (index[x] for x in lists)]
+    rows, cols = np.repeat(np.arange(len(lists)), [len(i) for i in kept]), np.concatenate(kept)
+    w, theta = fit_ordinal(rows, cols, y, len(chosen))
     return Model({int(f): float(x) for f, x in zip(chosen, w, strict=True) if x}, tuple(map(float, theta)))
 
 
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
     # The sample is bounded, so it may be broadcast to the scan.
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").select("text", "toxic")
     got = common.arrow(sample, run, "toxic boolean, features binary").toArrow()
-    lists = [np.frombuffer(x, np.uint32).astype(np.int64) for x in got.column("features").to_pylist()]
+    lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("features")]
     return fit_features(lists, np.asarray(got.column("toxic").to_pylist(), bool), most_features)
 
 

@@ -36,7 +36,7 @@ class Spark:
         return f"regexp_extract({text}, r'{pattern}', {group})"
 
     def timestamp(self, text: str, formats: tuple[str, ...]) -> str:
-        return "coalesce(" + ", ".join(f"try_to_timestamp({text}, '{f}')" for f in formats) + ")"
+        return "coalesce(" + ", ".join(f'try_to_timestamp({text}, "{f}")' for f in formats) + ")"
 
     def round_even(self, x: str) -> str:
         return f"rint({x})"

@@ -40,4 +40,4 @@ def sql_query(name: str, *sources: str):
     return keep
 
 
-from . import evaluation, reports, spatial  # noqa: E402, F401
+from . import evaluation, models, reports, spatial  # noqa: E402, F401

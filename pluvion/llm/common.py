@@ -49,6 +49,17 @@ def arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """What a worker process keeps from task to task; only one thing at a time, so that operators don't add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class Cache(dict):
     """word -> value, filled on demand by ``make`` and emptied when it holds ``limit`` words, so memory stays bounded."""
 

@@ -430,16 +430,9 @@ def fit(counts: DataFrame) -> Model:
     return model
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
 def _table(shared) -> np.ndarray:
     """The broadcast tables, unpacked once a worker."""
-    key = zlib.crc32(shared.value)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = np.frombuffer(zlib.decompress(shared.value), np.float32).reshape(SLOTS, 2)
-    return _TABLES[key]
+    return common.kept(f"tables {zlib.crc32(shared.value)}", lambda: np.frombuffer(zlib.decompress(shared.value), np.float32).reshape(SLOTS, 2))
 
 
 def score_tokens(counts: DataFrame, model: Model) -> DataFrame:

@@ -65,7 +65,7 @@ def balance(hist: DataFrame, goals: DataFrame, most: int = MOST, steps: int = ST
 
     hist: (__mix_key, size, n). Each step is a distributed aggregate of gradient and curvature by source.
     """
-    scale = hist.groupBy("__mix_key").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
+    scale = hist.groupBy("__mix_key").agg(F.try_divide(F.sum(F.col("size") * F.col("size") * F.col("n")).cast("double"), F.sum(F.col("size") * F.col("n"))).alias("scale"))
     state = goals.join(scale, "__mix_key").select(
         "__mix_key", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale"),
         (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)).alias("full"),

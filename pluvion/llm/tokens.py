@@ -54,9 +54,7 @@ class Encoder:
     At ``limit`` pieces only the short ones, which are the frequent ones, are kept.
     """
 
-    _of: dict[str, "Encoder"] = {}
-
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {b"": b""}
@@ -70,9 +68,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> "Encoder":
         """The one of this worker process, which serves many tasks."""
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
+        return common.kept(f"encoder {path}", lambda: cls(path))
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)

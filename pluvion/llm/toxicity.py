@@ -30,7 +30,7 @@ from .tokens import slices
 
 BITS = 20
 PREFIXES = (5, 6, 7)
-MOST_ROWS = 20_000
+MOST_ROWS = 8_000
 MOST_FEATURES = 4_096
 LEAST_DOCS = 4
 STRONG = 2.5
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
         known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit)
 
     def run(batches):
-        cache = common.Cache(features_of_word)
+        common.kept("nothing", dict)
+        cache = common.Cache(features_of_word, 200_000)
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 cache.trim()
@@ -146,7 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").select("text", "toxic")
     got = common.arrow(sample, run, "toxic boolean, features binary").toArrow()
     lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("features")]
-    return fit_features(lists, np.asarray(got.column("toxic").to_pylist(), bool), most_features)
+    model = fit_features(lists, np.asarray(got.column("toxic").to_pylist(), bool), most_features)
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
@@ -154,6 +158,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        common.kept("nothing", dict)
         weights = model.weights
 
         def heavy(word):
@@ -182,6 +187,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject: floa
     at = docs.columns.index(text_col)
 
     def run(batches):
+        common.kept("nothing", dict)
         weights = model.weights
         cache = common.Cache(lambda word: tuple(f for f in features_of_word(word) if f in weights))
         for batch in batches:

@@ -20,15 +20,38 @@ def pairs(radius: float = RADIUS) -> str:
     )
 
 
-def candidates(k: int | None = None) -> str:
-    """near(target, t, y0, source, y, km, e, n): for each reported cell the other stations that report then, the k nearest or all."""
-    base = (
-        "reports AS (SELECT station_id, t, y FROM cells WHERE y IS NOT NULL), "
-        "met AS (SELECT p.target, r.t, p.source, r.y, p.km, p.e, p.n, row_number() OVER (PARTITION BY p.target, r.t ORDER BY p.km, p.source) AS rn "
-        "FROM pairs AS p JOIN reports AS r ON p.source = r.station_id), "
+REACH = 96
+
+
+def nearest_reporting(k: int, wanted: str, reports: str = "reports", reach: int = REACH) -> str:
+    """met(target, t, source, y, km, e, n, rn <= k): the k nearest of the ``reports`` (station_id, t, y) at each ``wanted`` (target, t).
+
+    The ``reach`` nearest stations of each are tried first; where fewer than k of them report, all stations are.
+    """
+    ranked = "row_number() OVER (PARTITION BY w.target, w.t ORDER BY p.km, p.source) AS rn"
+    columns = "w.target, w.t, p.source, r.y, p.km, p.e, p.n"
+    return (
+        f"close_by AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, source) AS place FROM pairs) AS o WHERE place <= {reach}), "
+        f"wanted_cells AS ({wanted}), "
+        f"quick AS (SELECT * FROM (SELECT {columns}, {ranked} FROM wanted_cells AS w JOIN close_by AS p ON w.target = p.target JOIN {reports} AS r ON p.source = r.station_id AND w.t = r.t) AS q WHERE rn <= {k}), "
+        f"enough AS (SELECT target, t FROM quick WHERE rn = {k}), "
+        "lacking AS (SELECT w.target, w.t FROM wanted_cells AS w LEFT JOIN enough AS g ON w.target = g.target AND w.t = g.t WHERE g.target IS NULL), "
+        f"slow AS (SELECT * FROM (SELECT {columns}, {ranked} FROM lacking AS w JOIN {reports} AS r ON w.t = r.t JOIN pairs AS p ON w.target = p.target AND r.station_id = p.source) AS q WHERE rn <= {k}), "
+        "met AS (SELECT q.* FROM quick AS q JOIN enough AS g ON q.target = g.target AND q.t = g.t UNION ALL SELECT * FROM slow)"
     )
-    limit = f" AND m.rn <= {k}" if k else ""
-    return base + f"near AS (SELECT m.target, m.t, o.y AS y0, m.source, m.y, m.km, m.e, m.n, m.rn FROM met AS m JOIN reports AS o ON m.target = o.station_id AND m.t = o.t WHERE TRUE{limit})"
+
+
+def candidates(k: int | None = None) -> str:
+    """near(target, t, y0, source, y, km, e, n, rn): for each reported cell the other stations that report then, the k nearest or all."""
+    base = "reports AS (SELECT station_id, t, y FROM cells WHERE y IS NOT NULL), "
+    if k:
+        base += nearest_reporting(k, "SELECT station_id AS target, t FROM reports") + ", "
+    else:
+        base += (
+            "met AS (SELECT o.station_id AS target, o.t, p.source, r.y, p.km, p.e, p.n, row_number() OVER (PARTITION BY o.station_id, o.t ORDER BY p.km, p.source) AS rn "
+            "FROM reports AS o JOIN reports AS r ON o.t = r.t AND o.station_id <> r.station_id JOIN pairs AS p ON p.target = o.station_id AND p.source = r.station_id), "
+        )
+    return base + "near AS (SELECT m.target, m.t, o.y AS y0, m.source, m.y, m.km, m.e, m.n, m.rn FROM met AS m JOIN reports AS o ON m.target = o.station_id AND m.t = o.t)"
 
 
 def idw(power: float = 2.0) -> str:

@@ -68,8 +68,9 @@ def silent_gauge(d):
     """Runs of three dry days or more while the nearest reporting neighbours' median is wet on one at least."""
     return _hours(
         d, _DAILY, O.pairs(),
-        "met AS (SELECT p.target, x.day, x.total, row_number() OVER (PARTITION BY p.target, x.day ORDER BY p.km, p.source) AS rn FROM pairs AS p JOIN daily AS x ON p.source = x.station_id WHERE x.total IS NOT NULL)",
-        f"around AS (SELECT target, day, {d.percentile('total', 0.5)} AS median FROM met WHERE rn <= 5 GROUP BY target, day)",
+        "reports AS (SELECT station_id, day AS t, total AS y FROM daily WHERE total IS NOT NULL)",
+        O.nearest_reporting(5, "SELECT station_id AS target, day AS t FROM daily"),
+        f"around AS (SELECT target, t AS day, {d.percentile('y', 0.5)} AS median FROM met GROUP BY target, t)",
         "flags AS (SELECT x.station_id, x.day AS h, CASE WHEN x.total IS NULL THEN NULL WHEN x.total < 0.1e0 THEN 1 ELSE 0 END AS dry, m.median FROM daily AS x LEFT JOIN around AS m ON x.station_id = m.target AND x.day = m.day)",
         T.islands("dry", "flags"),
         select="SELECT i.station_id, i.start, i.stop, i.length, CAST(sum(CASE WHEN f.median >= 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS wet_around FROM islands AS i JOIN flags AS f ON i.station_id = f.station_id AND f.h BETWEEN i.start AND i.stop WHERE i.flag = 1 AND i.length >= 3 GROUP BY i.station_id, i.start, i.stop, i.length",

@@ -48,7 +48,7 @@ def adaptive_bandwidth(d):
 @sql_query("local_linear_residual", "events")
 def local_linear_residual(d):
     return A.sql(
-        A.stations(), A.panel(d), _RESIDUAL, O.pairs(), O.candidates(), O.weights("bisquare", 12), O.local_linear(),
+        A.stations(), A.panel(d), _RESIDUAL, O.pairs(), O.candidates(12), O.weights("bisquare", 12), O.local_linear(),
         select="SELECT l.target, l.t, round(p.obs, 6) AS obs, round(p.a, 6) AS product, round(p.a + l.pred, 6) AS corrected FROM local AS l JOIN panel AS p ON l.target = p.station_id AND l.t = p.t",
     )
 
@@ -57,7 +57,7 @@ def local_linear_residual(d):
 def bench_flagship(d):
     """Leave-one-out residual correction and its scores by station."""
     return A.sql(
-        A.stations(), A.panel(d), _RESIDUAL, O.pairs(), O.candidates(), O.weights("bisquare", 12), O.local_linear(),
+        A.stations(), A.panel(d), _RESIDUAL, O.pairs(), O.candidates(12), O.weights("bisquare", 12), O.local_linear(),
         "fixed AS (SELECT l.target, p.obs, p.a + l.pred AS pred FROM local AS l JOIN panel AS p ON l.target = p.station_id AND l.t = p.t)",
         select=f"SELECT target, {R.scores('obs', 'pred')} FROM fixed GROUP BY target",
     )
@@ -84,7 +84,7 @@ def scan_best(d):
         tries.append(steps)
         parts.append(f"SELECT {k} AS k, {S.num(ridge)} AS ridge, {R.scores('y0', 'pred')}, round(avg(CASE WHEN pred IS NULL THEN 0e0 ELSE 1e0 END), 6) AS coverage FROM local{i}")
     return A.sql(
-        A.stations(), A.panel(d), _RESIDUAL, O.pairs(), O.candidates(), *tries, f"scan AS ({' UNION ALL '.join(parts)})",
+        A.stations(), A.panel(d), _RESIDUAL, O.pairs(), O.candidates(20), *tries, f"scan AS ({' UNION ALL '.join(parts)})",
         select="SELECT CAST(k AS BIGINT) AS k, ridge, n, rmse, mae, coverage FROM (SELECT *, row_number() OVER (ORDER BY rmse, mae, -coverage, ridge, k) AS rn FROM scan WHERE coverage >= 0.3e0) AS s WHERE rn = 1",
     )
 

@@ -73,7 +73,7 @@ def gwr_residual(d):
     return _predictions(d, O.candidates(), O.weights("exponential", None, 40.0), O.gwr(1e-4), name="gwr", cells=_RESIDUAL)
 
 
-@sql_query("mger_scan_best", "events")
+@sql_query("residual_scan_best", "events")
 def scan_best(d):
     """Bandwidths and ridges scored leave-one-out; the best by rmse, mae among those of enough coverage."""
     tries, parts = [], []

@@ -75,7 +75,7 @@ def wind_speed(u: str, v: str) -> str:
 
 
 def wind_direction(u: str, v: str) -> str:
-    return pmod(f"degrees(atan2(-{u}, -{v}))", "360")
+    return pmod(f"degrees(atan2(-({u}), -({v})))", "360")
 
 
 def aspect_component(trig: str, aspect: str, slope: str, flat: float = 0.1) -> str:

@@ -195,3 +195,56 @@ def monthly(d):
 @sql_query("input_audit", "events")
 def audit(d):
     return _panel(d, select=" UNION ALL ".join(f"SELECT '{c}' AS source, CAST(count({c}) AS BIGINT) AS cells, CAST(count(DISTINCT CASE WHEN {c} IS NOT NULL THEN station_id END) AS BIGINT) AS stations, CAST(count(DISTINCT CASE WHEN {c} IS NOT NULL THEN t END) AS BIGINT) AS times FROM panel" for c in ("obs", "a", "b", "c")))
+
+
+@sql_query("neighbour_labels", "events")
+def neighbour_labels(d):
+    """Share of stations within 30 km that are wet, beside the station's own state."""
+    label = "CASE WHEN m.share IS NULL THEN 'alone' WHEN m.share = 0 THEN 'dry_around' WHEN m.share < 0.5e0 THEN 'some' ELSE 'most' END"
+    return _panel(
+        d, O.pairs(), f"around AS (SELECT p.target, x.t, avg(CASE WHEN x.obs >= {_WET} THEN 1e0 ELSE 0e0 END) AS share FROM pairs AS p JOIN panel AS x ON p.source = x.station_id WHERE p.km <= 30e0 AND x.obs IS NOT NULL GROUP BY p.target, x.t)",
+        select=f"SELECT {label} AS label, CASE WHEN p.obs >= {_WET} THEN 'wet' ELSE 'dry' END AS own, CAST(count(*) AS BIGINT) AS n FROM panel AS p LEFT JOIN around AS m ON p.station_id = m.target AND p.t = m.t WHERE p.obs IS NOT NULL GROUP BY 1, 2",
+    )
+
+
+@sql_query("network_labels", "events")
+def network_labels(d):
+    return A.sql(
+        A.stations(), A.hours(d), f"share AS (SELECT h, avg(CASE WHEN obs >= {_WET} THEN 1e0 ELSE 0e0 END) AS share FROM hours WHERE obs IS NOT NULL GROUP BY h)",
+        select=f"SELECT CASE WHEN s.share = 0 THEN 'none' WHEN s.share < 0.05e0 THEN 'few' WHEN s.share < 0.25e0 THEN 'some' ELSE 'many' END AS network, CASE WHEN x.obs >= {_WET} THEN 1 ELSE 0 END = 1 AS wet, CAST(count(*) AS BIGINT) AS n, round(avg(x.a) + 1e-9, 6) AS product FROM hours AS x JOIN share AS s ON x.h = s.h WHERE x.obs IS NOT NULL GROUP BY 1, 2",
+    )
+
+
+@sql_query("stratifiers", "events")
+def stratifiers(d):
+    """Counts of cells by several stratifiers at once, each total by itself (grouping sets)."""
+    return A.sql(
+        A.stations(), A.hours(d),
+        f"x AS (SELECT CASE WHEN s.lon < 110.5e0 THEN 'west' ELSE 'east' END AS region, CASE WHEN s.lat < 32.3e0 THEN 'south' ELSE 'north' END AS belt, CASE WHEN h.h % 24 BETWEEN 6 AND 17 THEN 'day' ELSE 'night' END AS half, {S.classed('h.obs', S.RAIN_EDGES)} AS rain, h.obs, h.a FROM hours AS h JOIN stations AS s ON h.station_id = s.station_id WHERE h.obs IS NOT NULL AND h.a IS NOT NULL)",
+        select="SELECT region, belt, half, rain, CAST(count(*) AS BIGINT) AS n, round(avg(a - obs) + 1e-9, 6) AS bias FROM x GROUP BY GROUPING SETS ((region), (belt), (half), (rain), (region, half))",
+    )
+
+
+@sql_query("station_audit", "events")
+def station_audit(d):
+    return _panel(d, select="SELECT station_id, CAST(count(*) AS BIGINT) AS rows_seen, CAST(sum(CASE WHEN obs IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN obs < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, CAST(sum(CASE WHEN obs > 100 THEN 1 ELSE 0 END) AS BIGINT) AS extreme, min(t) AS first_day, max(t) AS last_day FROM panel GROUP BY station_id")
+
+
+@sql_query("mean_wet_residual", "events")
+def mean_wet_residual(d):
+    return _panel(d, select=f"SELECT station_id, CAST(count(*) AS BIGINT) AS n, round(avg(obs - a) + 1e-9, 6) AS residual FROM panel WHERE obs >= {_WET} AND a IS NOT NULL GROUP BY station_id HAVING count(*) >= 2")
+
+
+@sql_query("role_stability", "events")
+def role_stability(d):
+    """How many folds agree on whether a product's slope is positive."""
+    slope = lambda c: f"(count(*) * sum({c} * obs) - sum({c}) * sum(obs))"
+    tall = " UNION ALL ".join(f"SELECT f.fold, '{c}' AS product, {slope('p.' + c).replace('obs', 'p.obs')} AS s FROM panel AS p JOIN folds AS f ON p.station_id = f.station_id WHERE p.obs IS NOT NULL AND p.{c} IS NOT NULL GROUP BY f.fold" for c in ("a", "b", "c"))
+    return _panel(d, O.strip_folds(), f"x AS ({tall})", select="SELECT product, CAST(count(*) AS BIGINT) AS folds, CAST(sum(CASE WHEN s > 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM x GROUP BY product")
+
+
+@sql_query("stratified_summary", "events")
+def stratified_summary(d):
+    """Best product of each rain class and its lead over the second."""
+    tall = " UNION ALL ".join(f"SELECT {S.classed('obs', S.RAIN_EDGES)} AS rain, '{c}' AS method, round(sqrt(avg(power({c} - obs, 2))), 6) AS rmse FROM panel WHERE {_ALL} GROUP BY 1" for c in ("a", "b", "c"))
+    return _panel(d, f"s AS ({tall})", "r AS (SELECT *, row_number() OVER (PARTITION BY rain ORDER BY rmse, method) AS place, lead(rmse) OVER (PARTITION BY rain ORDER BY rmse, method) AS second FROM s)", select="SELECT rain, method, rmse, round(second - rmse, 5) AS lead FROM r WHERE place = 1")

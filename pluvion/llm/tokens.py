@@ -29,7 +29,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -54,7 +54,7 @@ class Encoder:
     At ``limit`` pieces only the short ones, which are the frequent ones, are kept.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {b"": b""}

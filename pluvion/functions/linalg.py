@@ -318,3 +318,13 @@ def hurdle_amount(gram: np.ndarray, rhs: np.ndarray, yy: float, n: float, ridge:
 
 def expected_amount(x: np.ndarray, beta: np.ndarray, variance: float, least: float, most: float) -> np.ndarray:
     return np.clip(np.exp(np.clip(x @ beta + 0.5 * variance, -50, 50)) - 1, least, most)
+
+
+def slope_variance(place: np.ndarray, x: np.ndarray, y: np.ndarray, bw: float = 20, ridge: float = 1e-4) -> float:
+    """Variance over stations of the local slope of y on x."""
+    d = haversine_km(place, place)
+    w = kernel_weights(d, np.maximum(adaptive_width(d, int(bw)), EPS)[:, None])
+    sw = w.sum(axis=1)
+    mx, my = w @ x / sw, w @ y / sw
+    sxx, sxy = w @ (x * x) / sw - mx * mx, w @ (x * y) / sw - mx * my
+    return float(np.var(sxy / (sxx + ridge)))

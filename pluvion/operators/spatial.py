@@ -125,3 +125,19 @@ def strip_folds(k: int = 5) -> str:
         "extent AS (SELECT max(lon) - min(lon) AS dx, max(lat) - min(lat) AS dy FROM stations), "
         f"folds AS (SELECT station_id, lon, lat, CAST(ntile({k}) OVER (ORDER BY CASE WHEN dx >= dy THEN lon ELSE lat END, station_id) AS BIGINT) AS fold FROM stations CROSS JOIN extent)"
     )
+
+
+def joint_context(value: str = "a", wet: str = "0.1e0") -> str:
+    """context(held, station_id, t, fold, y, product, z): a covariate under each held-out fold.
+
+    z is centred on the time's mean over training stations, then scaled by the weighted mean and deviation over wet
+    training cells, each station weighing 1 in all. Needs ``x`` (station_id, t, fold, obs, <value>).
+    """
+    return (
+        "held_folds AS (SELECT DISTINCT fold AS held FROM x), "
+        f"centres AS (SELECT u.held, x.t, avg(x.{value}) AS centre FROM held_folds AS u JOIN x ON x.fold <> u.held GROUP BY u.held, x.t), "
+        f"centred AS (SELECT c.held, x.station_id, x.t, x.fold, x.obs, x.{value} AS product, x.{value} - c.centre AS z0 FROM centres AS c JOIN x ON c.t = x.t), "
+        f"wet_train AS (SELECT held, z0, 1e0 / count(*) OVER (PARTITION BY held, station_id) AS w FROM centred WHERE fold <> held AND obs >= {wet}), "
+        "means AS (SELECT held, sum(w * z0) / sum(w) AS mu, sum(w * z0 * z0) / sum(w) AS square FROM wet_train GROUP BY held), "
+        "context AS (SELECT c.held, c.station_id, c.t, c.fold, c.obs - c.product AS y, c.product, c.obs, CASE WHEN m.square - m.mu * m.mu > 1e-9 THEN (c.z0 - m.mu) / sqrt(m.square - m.mu * m.mu) END AS z FROM centred AS c JOIN means AS m ON c.held = m.held)"
+    )

@@ -248,3 +248,11 @@ def stratified_summary(d):
     """Best product of each rain class and its lead over the second."""
     tall = " UNION ALL ".join(f"SELECT {S.classed('obs', S.RAIN_EDGES)} AS rain, '{c}' AS method, round(sqrt(avg(power({c} - obs, 2))), 6) AS rmse FROM panel WHERE {_ALL} GROUP BY 1" for c in ("a", "b", "c"))
     return _panel(d, f"s AS ({tall})", "r AS (SELECT *, row_number() OVER (PARTITION BY rain ORDER BY rmse, method) AS place, lead(rmse) OVER (PARTITION BY rain ORDER BY rmse, method) AS second FROM s)", select="SELECT rain, method, rmse, round(second - rmse, 5) AS lead FROM r WHERE place = 1")
+
+
+_CONTEXT_CELLS = "x AS (SELECT p.station_id, p.t, f.fold, p.obs, p.a FROM panel AS p JOIN folds AS f ON p.station_id = f.station_id WHERE p.obs IS NOT NULL AND p.a IS NOT NULL)"
+
+
+@sql_query("joint_fold_context", "events")
+def joint_context(d):
+    return _panel(d, O.strip_folds(), _CONTEXT_CELLS, O.joint_context(), select="SELECT held, station_id, t, round(y + 1e-9, 5) AS y, round(z + 1e-9, 5) AS z FROM context WHERE fold = held")

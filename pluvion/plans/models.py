@@ -99,3 +99,16 @@ def benchmark(spark, sf_dir):
     whole = tall.groupBy("station_id", "t").agg(F.count("*").alias("n")).filter(F.col("n") == len(parts)).select("station_id", "t")
     e = F.col("pred") - F.col("y")
     return tall.join(whole, ["station_id", "t"]).groupBy("method").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.round(F.avg(F.abs(e)), 5).alias("mae"), F.round(F.avg(e), 5).alias("bias"))
+
+
+@query("joint_residual_gwr")
+def joint_residual_gwr(spark, sf_dir):
+    from .diagnostics import _CONTEXT_CELLS
+
+    return M.joint_residual(_frame(spark, sf_dir, O.strip_folds(), _CONTEXT_CELLS, O.joint_context(), select="SELECT c.*, f.lon, f.lat FROM context AS c JOIN folds AS f ON c.station_id = f.station_id WHERE c.z IS NOT NULL"))
+
+
+@query("spatial_variability")
+def variability(spark, sf_dir):
+    rows = _frame(spark, sf_dir, select="SELECT p.station_id, avg(p.obs) AS y, avg(p.a) AS a, avg(p.b) AS b, max(s.lon) AS lon, max(s.lat) AS lat FROM panel AS p JOIN stations AS s ON p.station_id = s.station_id GROUP BY p.station_id HAVING avg(p.obs) IS NOT NULL AND avg(p.a) IS NOT NULL AND avg(p.b) IS NOT NULL")
+    return M.spatial_variability(rows, "y", ["a", "b"])

@@ -107,3 +107,12 @@ def test_calibration_of_global_weights_is_least_squares():
     out = L.gwr_calibrate(x, y, np.ones((30, 30)))
     assert out["trace"] == pytest.approx(2, abs=1e-5)
     assert np.abs(out["beta"] - np.linalg.lstsq(x, y, rcond=None)[0]).max() < 1e-6
+
+
+def test_slopes_that_vary_are_seen():
+    r = np.random.default_rng(7)
+    p = np.column_stack([110 + r.random(120), 31 + r.random(120)])
+    x = r.standard_normal(120)
+    varying, fixed = x * (p[:, 0] - 110.5) * 4, 2 * x + 0.1 * r.standard_normal(120)
+    share = lambda y: np.mean([L.slope_variance(p[r.permutation(120)], x, y) >= L.slope_variance(p, x, y) for _ in range(39)])
+    assert share(varying) == 0 and share(fixed) > 0.02

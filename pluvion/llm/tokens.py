@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,7 +30,7 @@ END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -54,7 +55,7 @@ class Encoder:
     At ``limit`` pieces only the short ones, which are the frequent ones, are kept.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {b"": b""}
@@ -72,7 +73,7 @@ class Encoder:
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+        return [array("I", e.ids).tobytes() for e in got]
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece."""
@@ -99,7 +100,7 @@ class Encoder:
             ids, n = self.column(plain)
             parts = np.split(ids, np.cumsum(n)[:-1])
             for i, x in zip(odd.tolist(), self._ids([texts[i].as_py().encode() for i in odd.tolist()]), strict=True):
-                parts[i] = np.frombuffer(x, "<u4")
+                parts[i] = np.frombuffer(x, np.uint32)
             return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         if self.lowers:
             texts = pa.compute.ascii_lower(texts)
@@ -111,13 +112,15 @@ class Encoder:
         ends = np.cumsum(counts)
         starts = np.concatenate([[0], np.cumsum(n)])[:-1] if len(n) else np.zeros(0, np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        out = ids[np.arange(total) + np.repeat(starts[index] - (ends - counts), counts)]
+        at = np.repeat((starts[index] - (ends - counts)).astype(np.int32), counts)
+        at += np.arange(total, dtype=np.int32)
+        out = ids[at]
         borders = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return out, np.diff(borders)
 
     @staticmethod
     def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
 MARKS_AT_END = frozenset(b"%c" % c for c in b".,;:!?")
@@ -173,7 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, i
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.enable.dictionary", "true")
         .option("parquet.writer.version", "PARQUET_2_0")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .parquet(path)
     )
 

@@ -10,7 +10,7 @@ The templates are a fixed list, so their bigram table has a proven size and may
 an equality join on bigrams, never all against all, and counts are pre-aggregated before the shuffle.
 
 Before that, units without any of the templates' rarer words are left out: a match must share more than a third of a
-template's bigrams, so of any set of that many or more it shares one, and holds both its words.
+template's bigrams, so of any large enough set of them it shares one, and holds both its words.
 
 Defined results: null, empty and one-word texts match nothing; long texts are read whole; repeated rows of one id give
 their matches once a row; equal coefficients go to the template first in code point order; an empty table gives no
@@ -19,7 +19,9 @@ rows; other columns take no part.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +45,46 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-notice": "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
+    "CC0-short": "Released under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "BSL-1.0-header": "Distributed under the Boost Software License, Version 1.0.",
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
 }
+#: Whole texts of short licences, and the titles that full texts of long ones begin with.
+TEMPLATES |= {
+    "MIT-text": TEMPLATES["MIT-grant"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": TEMPLATES["ISC-grant"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    "MPL-1.1-title": "MOZILLA PUBLIC LICENSE Version 1.1",
+    "CC0-1.0-title": "Creative Commons Legal Code CC0 1.0 Universal",
+}
+for _name, _title in {
+    "GPL-1.0": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GFDL-1.2": "GNU Free Documentation License Version 1.2, November 2002",
+    "GFDL-1.3": "GNU Free Documentation License Version 1.3, 3 November 2008",
+}.items():
+    TEMPLATES[f"{_name}-title"] = _title
+#: Creative Commons, short and long wordings of each form and version.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+for _form, _long in _CC.items():
+    for _v, _kind in _CC_VERSIONS.items():
+        _name = f"CC-{_form}-{_v}"
+        TEMPLATES[f"{_name}-short"] = f"Licensed under CC {_form} {_v}."
+        TEMPLATES[f"{_name}-short-2"] = f"This work is licensed under CC {_form} {_v}."
+        TEMPLATES.setdefault(f"{_name}-notice", f"This work is licensed under a Creative Commons {_long} {_v} {_kind} License.")
+        TEMPLATES[f"{_name}-notice-2"] = f"Licensed under the Creative Commons {_long} {_v} {_kind} License."
+        TEMPLATES[f"{_name}-title"] = f"Creative Commons {_long} {_v} {_kind} Public License"
+#: Words of everyday texts: a look for them would pass nearly every text.
+COMMON = set("a all an and any are as at be by can do for from have if in is it may new no not of on one or other out public shall that the then this to under use was whether will with without work works you your".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,11 +98,18 @@ def needed_words(templates: dict[str, str], least: float) -> list[str]:
     out = set()
     for text in templates.values():
         grams = bigrams_of(text)
-        # shared >= least / (2 - least) * grams, so of any len - shared + 1 of them one is shared; the longest words are rarest
-        shared = -(-len(grams) * least // (2 - least))
-        # the division rounds: one more keeps the bound safe
-        hit = sorted(grams, key=lambda g: (-max(map(len, g.split())), g))[: int(len(grams) - shared) + 2]
-        out |= {max(g.split(), key=len) for g in hit}
+        # shared >= least / (2 - least) * grams, so of any len - shared + 1 of them one is shared, with both its words
+        ratio = Fraction(str(least))
+        shared = math.ceil(len(grams) * ratio / (2 - ratio))
+        left, want, met = set(grams), len(grams) - shared + 1, 0
+        words = {w for g in grams for w in g.split()}
+        while met < want and left:
+            holds = {w: [g for g in left if w in g.split()] for w in words}
+            # words already looked for cost nothing; then rare words of many bigrams, and the longest
+            best = max((w for w in words if holds[w]), key=lambda w: (w in out, w not in COMMON and not w.isdigit(), len(w) > 3, len(holds[w]), len(w), w))
+            met += len(holds[best])
+            left -= set(holds[best])
+            out.add(best)
     return sorted(out)
 
 

@@ -144,6 +144,21 @@ def test_licenses_against_sql(spark, small, odd, none):
         assert ours == theirs and len(ours) >= 2
 
 
+def test_every_licence_line_has_a_match(spark, small):
+    lines = {x for r in common.table(spark, small, "documents").collect() for x in (r.text or "").split("\n") if "icense" in x}
+    lines |= {"Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-ND 3.0.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."}
+    docs = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id bigint, text string")
+    got = {r.doc_id: r.license for r in licenses.matches(docs).filter("unit = 'line'").collect()}
+    assert set(got) == set(range(len(lines)))
+    assert got[sorted(lines).index("Licensed under CC BY-NC 4.0.")] == "CC-BY-NC-4.0-short"
+
+
+def test_needed_words_hold_their_bound():
+    for name, text in licenses.TEMPLATES.items():
+        grams, needed = licenses.bigrams_of(text), set(licenses.needed_words({name: text}, licenses.LEAST))
+        assert sum(not needed & set(g.split()) for g in grams) < len(grams) * licenses.LEAST / (2 - licenses.LEAST)
+
+
 # --- media
 
 

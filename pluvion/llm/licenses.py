@@ -6,6 +6,12 @@ Dice = 2 * shared / (bigrams of the unit + bigrams of the template), over distin
 ``least``. A unit of a bigrams can only match templates of b bigrams with 2 * min(a, b) >= least * (a + b): these size
 bounds prune templates, and units that are too short or too long for all.
 
+Where a licence is named inside a longer line, or wrapped over lines among others, no unit is near it. So runs of words of
+a text (any start and end) are units too, called windows: unit_no is the first word's place in the text, unit_bigrams the
+run's bigrams, a template's repeated ones counted once. Of overlapping windows of one template the best stays (ties: first,
+shorter), of overlapping ones of several the best (ties: first in code point order), and only for licences that no
+line, paragraph or whole text of that row gives. ``oracle`` knows lines, paragraphs and texts only; tests hold windows against brute force.
+
 The templates are a fixed list, so their bigram table has a proven size and may be broadcast. Units meet templates by
 an equality join on bigrams, never all against all, and counts are pre-aggregated before the shuffle.
 
@@ -23,7 +29,7 @@ import math
 import re
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -118,7 +124,7 @@ def normalise(text: Column) -> Column:
 
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, unit, unit_no, license, shared, unit_bigrams, dice): the best template of every unit that matches one."""
+    """(id, unit, unit_no, license, shared, unit_bigrams, dice): the best template of every unit that matches one, and windows."""
     spark = docs.sparkSession
     table = [(name, g) for name, text in sorted(templates.items()) for g in bigrams_of(text)]
     sizes = [len(bigrams_of(t)) for t in templates.values()]
@@ -139,7 +145,9 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
     # One look at each text for any of those words as a whole word; the letters that may start one come first, as most places fail there.
     heads = "".join(sorted({w[0] for w in needed}))
     some = docs.filter(F.col(text_col).rlike(f"(?i)(?<![a-z0-9])(?=[{heads}])(?:{'|'.join(needed)})(?![a-z0-9])"))
-    rows = some.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(units).alias("u")).filter("u.take")
+    # Row numbers part repeated rows within one plan only; windows meet lines by id and text.
+    whose = F.struct(F.col(id_col).alias("own"), F.xxhash64(F.col(text_col)).alias("key"))
+    rows = some.select(whose.alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(units).alias("u")).filter("u.take")
     words = F.split(normalise(F.col("u.body")), " ")
     rows = rows.select("id", "row", "u.unit", "u.unit_no", words.alias("words"))
     rows = rows.filter(F.arrays_overlap("words", F.array(*map(F.lit, needed))))
@@ -149,7 +157,39 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float
     counted = met.groupBy("id", "row", "unit", "unit_no", "license", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
     scored = counted.withColumn("dice", 2.0 * F.col("shared") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= least)
     best = scored.groupBy("id", "row", "unit", "unit_no", F.col("a").alias("unit_bigrams")).agg(F.min(F.struct((-F.col("dice")).alias("less"), "license", "shared")).alias("m"))
-    return best.select(F.col("id").alias(id_col), "unit", "unit_no", F.col("m.license").alias("license"), F.col("m.shared").alias("shared"), "unit_bigrams", (-F.col("m.less")).alias("dice"))
+    best = best.select("id", "row", "unit", "unit_no", F.col("m.license").alias("license"), F.col("m.shared").alias("shared"), "unit_bigrams", (-F.col("m.less")).alias("dice"))
+    seen = best.select(F.col("id").alias("seen_id"), F.col("license").alias("seen_license")).distinct()
+    inside = windows(some.select(whose.alias("id"), F.monotonically_increasing_id().alias("row"), F.split(normalise(F.col(text_col)), " ").alias("words")), templates, least)
+    inside = inside.join(seen, F.col("id").eqNullSafe(F.col("seen_id")) & (F.col("license") == F.col("seen_license")), "left_anti")
+    return best.unionByName(inside).select(F.col("id.own").alias(id_col), "unit", "unit_no", "license", "shared", "unit_bigrams", "dice")
+
+
+def windows(texts: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """(id, row, unit, unit_no, license, shared, unit_bigrams, dice) of the runs of words that match; texts: (id, row, words)."""
+    table = [(name, g, i, len(bigrams_of(t))) for name, t in sorted(templates.items()) for i, g in enumerate(bigrams_of(t))]
+    forms = texts.sparkSession.createDataFrame(table, "license string, gram string, g int, b int")
+    grams = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    hits = texts.filter(F.size("words") > 1).select("id", "row", F.posexplode(grams).alias("pos", "gram")).join(F.broadcast(forms), "gram")
+    # a window of a bigrams has least * (a + b) <= 2 * shared and shared <= a, b
+    few, most = F.col("b") * (least / (2 - least)) - 1e-9, F.floor(F.col("b") * ((2 - least) / least) + 1e-9).cast("int")
+    met = hits.groupBy("id", "row", "license", "b").agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("hits"))
+    met = met.filter(F.size(F.array_distinct("hits.g")) >= few)
+    starts = met.select("id", "row", "license", "b", F.expr("transform(hits, (h, i) -> slice(hits, i + 1, 4 * b))").alias("runs"), most.alias("most"), few.alias("few"))
+    starts = starts.select("id", "row", "license", "b", "most", "few", F.explode("runs").alias("run"))
+    # repeated bigrams of the template count once, so a run of many of them may be longer than ``most``
+    starts = starts.withColumn("run", F.expr("filter(run, (x, i) -> x.pos - run[0].pos - i < most)")).filter(F.size(F.array_distinct("run.g")) >= F.col("few"))
+    ends = starts.select("id", "row", "license", "b", F.expr("transform(run, (x, i) -> named_struct('first', run[0].pos, 'last', x.pos, 'n', i + 1, 'shared', size(array_distinct(slice(run.g, 1, i + 1)))))").alias("ends"))
+    at = ends.select("id", "row", "license", "b", F.explode("ends").alias("e")).select("id", "row", "license", "b", "e.*")
+    at = at.withColumn("a", F.col("last") - F.col("first") + 1 - F.col("n") + F.col("shared")).withColumn("dice", 2.0 * F.col("shared") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= least)
+    # islands of overlapping windows (a window of a bigrams has a + 1 words)
+    before = Window.partitionBy("row", "license").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.when(F.col("first") <= F.max("last").over(before) + 1, 0).otherwise(1)
+    at = at.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(Window.partitionBy("row", "license").orderBy("first", "last")))
+    one = at.groupBy("id", "row", "license", "island").agg(F.min(F.struct((-F.col("dice")).alias("less"), "first", "last", "shared", "a")).alias("m"))
+    found = one.groupBy("id", "row").agg(F.collect_list(F.struct("m.less", "license", "m.first", "m.last", "m.shared", "m.a")).alias("found"))
+    kept = F.expr("filter(found, x -> NOT exists(found, y -> (y.less < x.less OR (y.less = x.less AND y.license < x.license)) AND y.first <= x.last + 1 AND x.first <= y.last + 1))")
+    kept = found.select("id", "row", F.explode(kept).alias("x"))
+    return kept.select("id", "row", F.lit("window").alias("unit"), F.col("x.first").alias("unit_no"), F.col("x.license").alias("license"), F.col("x.shared").cast("bigint").alias("shared"), F.col("x.a").alias("unit_bigrams"), (-F.col("x.less")).alias("dice"))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:

@@ -159,6 +159,47 @@ def test_needed_words_hold_their_bound():
         assert sum(not needed & set(g.split()) for g in grams) < len(grams) * licenses.LEAST / (2 - licenses.LEAST)
 
 
+def best_windows(text):
+    """(license, first, shared, bigrams) of the windows of a text, by trying every run of words against every template."""
+    w = licenses.re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    found = []
+    for name, template in licenses.TEMPLATES.items():
+        form, of = set(licenses.bigrams_of(template)), []
+        for i in range(len(grams)):
+            for j in range(i + 1, min(len(grams), i + 4 * len(form)) + 1):
+                inside = [g for g in grams[i:j] if g in form]
+                shared = len(set(inside))
+                a = j - i - len(inside) + shared
+                if shared and grams[i] in form and grams[j - 1] in form and 2 * shared / (a + len(form)) >= licenses.LEAST:
+                    of.append((-2 * shared / (a + len(form)), i, j, shared, a))
+        end = -1
+        for x in sorted(of, key=lambda x: x[1:3]):  # islands
+            if x[1] <= end:
+                island.append(x)
+            else:
+                island = [x]
+                found.append((name, island))
+            end = max(end, x[2])
+    best = [(min(island)[0], name, *min(island)[1:]) for name, island in found]
+    return sorted(x[1:3] + x[4:] for x in best if not any(y[:2] < x[:2] and y[2] <= x[3] and x[2] <= y[3] for y in best))
+
+
+def test_licences_inside_lines(spark):
+    texts = [
+        "(c) 2020 X. Released under the MIT License. Contact us by mail for more words on this and other matters that fill the line well beyond it.",
+        "# foo.py does things\n# Licensed under the Apache License, Version 2.0\n# (the License); you may not use this file\n# except in compliance with the License.\n# It has many other lines here\n# and more of them there",
+        "We say that this work is licensed under CC BY-NC 4.0. Other parts, which came later, are Licensed under the Creative Commons Attribution 4.0 International License. That is all there is to say here.",
+        "no notice at all, though the license is spoken of and software is provided",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = licenses.matches(docs).collect()
+    got = {i: sorted((r.license, r.unit_no, r.shared, r.unit_bigrams) for r in rows if r.doc_id == i and r.unit == "window") for i in range(len(texts))}
+    units = {(r.doc_id, r.license) for r in rows if r.unit != "window"}
+    assert got == {i: [x for x in best_windows(t) if (i, x[0]) not in units] for i, t in enumerate(texts)}
+    assert [[x[0] for x in got[i]] for i in range(4)] == [["MIT-notice"], ["Apache-2.0-header"], ["CC-BY-4.0-notice-2", "CC-BY-NC-4.0-short"], []]
+
+
 # --- media
 
 

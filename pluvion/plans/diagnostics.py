@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import scalar as S
+from ..functions.dialect import DUCKDB, frame
 from ..operators import relational as R
 from ..operators import series as T
 from ..operators import spatial as O
 from . import adapter as A
-from .catalogue import sql_query
+from .catalogue import query, sql_query, tables
 
 _WET = S.num(S.WET)
 _ALL = "obs IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"
@@ -159,9 +162,8 @@ def representative(d):
     )
 
 
-@sql_query("eligible_cells", "events")
 def eligible(d):
-    """Stations with enough days among days with enough stations: three rounds of the fixed point."""
+    """SQL of ``eligible_cells`` where three rounds reach the fixed point."""
     steps, now = ["c0 AS (SELECT station_id, t FROM panel WHERE obs IS NOT NULL)"], "c0"
     for i in range(1, 4):
         steps.append(f"s{i} AS (SELECT station_id FROM {now} GROUP BY station_id HAVING count(*) >= 5)")
@@ -172,6 +174,29 @@ def eligible(d):
     return _panel(d, *steps, select=f"SELECT station_id, CAST(count(*) AS BIGINT) AS days FROM {now} GROUP BY station_id")
 
 
+def settled_cells(cells, days: int = 5, stations: int = 4):
+    """Cells (station_id, t) of stations with enough days among days with enough stations, repeated until no cell is lost."""
+    from ..llm.common import materialise
+
+    now = materialise(cells.select("station_id", "t"), "cells")
+    left = now.count()
+    while True:
+        enough = now.groupBy("station_id").count().filter(f"count >= {days}").select("station_id")
+        kept = now.join(enough, "station_id", "left_semi")
+        full = kept.groupBy("t").count().filter(f"count >= {stations}").select("t")
+        now = materialise(kept.join(full, "t", "left_semi").select("station_id", "t"), "cells")
+        before, left = left, now.count()
+        if left == before:
+            return now
+
+
+@query("eligible_cells", eligible(DUCKDB).format(events="events"))
+def eligible_cells(spark, sf_dir):
+    """Stations with enough days among days with enough stations: the fixed point."""
+    cells = frame(spark, lambda d: _panel(d, select="SELECT station_id, t FROM panel WHERE obs IS NOT NULL"), **tables(spark, sf_dir, "events"))
+    return settled_cells(cells).groupBy("station_id").agg(F.count("*").alias("days"))
+
+
 @sql_query("weighted_correlation", "events")
 def weighted_correlation(d):
     """Station-balanced correlation: each station's cells weigh 1 in all."""

@@ -109,6 +109,40 @@ def identical_series(d):
     return _panel(d, select="SELECT x.station_id AS one, y.station_id AS two, CAST(count(*) AS BIGINT) AS overlap FROM panel AS x JOIN panel AS y ON x.t = y.t AND x.station_id < y.station_id WHERE x.obs IS NOT NULL AND y.obs IS NOT NULL GROUP BY x.station_id, y.station_id HAVING bool_and(abs(x.obs - y.obs) < 0.5e0)")
 
 
+def series_groups(panel, min_overlap: int = 1):
+    """(station_id, component, size, min_overlap): stations that never differ where both report, as connected components of two or more.
+
+    panel: (station_id, t, obs). Equality is exact; a pair with fewer than ``min_overlap`` shared times is no link. The
+    relation is not transitive, so a group may hold stations that differ: min_overlap is its thinnest link.
+    """
+    from ..llm.common import materialise
+    from ..llm.graph import components
+
+    x, y = (panel.filter("obs IS NOT NULL").select(F.col("station_id").alias(n), "t", F.col("obs").alias(f"obs_{n}")) for n in ("a", "b"))
+    same = F.min(F.col("obs_a") == F.col("obs_b"))
+    links = x.join(y, "t").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"), same.alias("same")).filter(F.col("same") & (F.col("overlap") >= min_overlap)).select("a", "b", "overlap")
+    links = materialise(links, "links")
+    member = components(links.select("a", "b"))
+    thin = links.join(member, F.col("a") == F.col("node")).groupBy("component").agg(F.min("overlap").alias("min_overlap"))
+    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
+    return member.join(sizes, "component").join(thin, "component").select(F.col("node").alias("station_id"), "component", "size", "min_overlap")
+
+
+_GROUPS = _panel(
+    DUCKDB,
+    "links AS (SELECT x.station_id AS a, y.station_id AS b, count(*) AS overlap FROM panel AS x JOIN panel AS y ON x.t = y.t AND x.station_id < y.station_id WHERE x.obs IS NOT NULL AND y.obs IS NOT NULL GROUP BY 1, 2 HAVING bool_and(x.obs = y.obs))",
+    "edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links)", "reach AS (SELECT a AS node, b AS peer FROM edges UNION SELECT r.node, e.b FROM reach AS r JOIN edges AS e ON r.peer = e.a)",
+    "member AS (SELECT node, min(peer) AS component FROM reach GROUP BY node)", "thin AS (SELECT component, min(overlap) AS min_overlap FROM links JOIN member ON a = node GROUP BY component)",
+    select="SELECT node AS station_id, component, count(*) OVER (PARTITION BY component) AS size, min_overlap FROM member JOIN thin USING (component)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("identical_series_groups", _GROUPS.format(events="events"))
+def identical_series_groups(spark, sf_dir):
+    """Components of stations with identical series; ``identical_series_components`` compares event kinds only."""
+    return series_groups(frame(spark, lambda d: _panel(d, select="SELECT station_id, t, obs FROM panel"), **tables(spark, sf_dir, "events")))
+
+
 @sql_query("terrain_representativeness", "events")
 def representativeness(d):
     """Deciles of the network's north coordinate beside those of the whole box, and the share of the box outside its range."""

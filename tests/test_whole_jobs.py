@@ -8,3 +8,12 @@ def test_eligible_cells_reach_the_fixed_point(spark):
     ring = [(100 + i, 200 + (i + k) % 3) for i in range(3) for k in (0, 1)]
     got = diagnostics.settled_cells(spark.createDataFrame(chain + ring, "station_id bigint, t bigint"), 2, 2)
     assert sorted(map(tuple, got.collect())) == sorted(ring)
+
+
+def test_identical_series_are_components(spark):
+    # 1 and 3 differ at time 1, but both equal 2 where they meet it; 4 shares no time with them; 5 differs; 6 and 7 are one
+    series = {1: {0: 1.0, 1: 5.0}, 2: {0: 1.0, 2: 3.0, 3: 4.0}, 3: {1: 6.0, 2: 3.0, 3: 4.0}, 4: {9: 1.0}, 5: {0: 1.1, 2: 3.1}, 6: {7: 2.0, 8: 2.0}, 7: {7: 2.0, 8: 2.0, 9: 3.0}}
+    panel = spark.createDataFrame([(k, t, v) for k, x in series.items() for t, v in x.items()] + [(4, 7, None)], "station_id bigint, t bigint, obs double")
+    got = lambda n: sorted((r.station_id, r.component, r["size"], r.min_overlap) for r in diagnostics.series_groups(panel, n).collect())
+    assert got(1) == [(1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 3, 1), (6, 6, 2, 2), (7, 6, 2, 2)]
+    assert got(2) == [(2, 2, 2, 2), (3, 2, 2, 2), (6, 6, 2, 2), (7, 6, 2, 2)]

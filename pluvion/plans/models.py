@@ -85,7 +85,7 @@ def bootstrap(spark, sf_dir):
 @query("select_joint_covariates")
 def select_covariates(spark, sf_dir):
     rows = _frame(spark, sf_dir, select="SELECT p.station_id, avg(p.obs) AS y, avg(p.a) AS a, avg(p.b) AS b, avg(p.c) AS c, max(s.lon) AS lon, max(s.lat) AS lat FROM panel AS p JOIN stations AS s ON p.station_id = s.station_id GROUP BY p.station_id HAVING avg(p.obs) IS NOT NULL AND avg(p.a) IS NOT NULL AND avg(p.b) IS NOT NULL AND avg(p.c) IS NOT NULL")
-    return M.screen(rows, "y", ["a", "b", "c", "lon", "lat"]).orderBy(F.col("candidate"))
+    return M.select_covariates(rows, "y", ["a", "b", "c", "lon", "lat"]).orderBy(F.col("candidate"))
 
 
 @query("benchmark_smoke")

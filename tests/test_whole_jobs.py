@@ -1,5 +1,8 @@
 """Queries that must reach the end of their job, on hand-made tables with known results."""
 
+import numpy as np
+
+from pluvion.operators import models
 from pluvion.plans import diagnostics
 
 
@@ -17,3 +20,17 @@ def test_identical_series_are_components(spark):
     got = lambda n: sorted((r.station_id, r.component, r["size"], r.min_overlap) for r in diagnostics.series_groups(panel, n).collect())
     assert got(1) == [(1, 1, 3, 1), (2, 1, 3, 1), (3, 1, 3, 1), (6, 6, 2, 2), (7, 6, 2, 2)]
     assert got(2) == [(2, 2, 2, 2), (3, 2, 2, 2), (6, 6, 2, 2), (7, 6, 2, 2)]
+
+
+def test_screen_comes_before_inflation(spark):
+    r = np.random.default_rng(3)
+    n = 80
+    good, noise, lon = r.normal(size=n), r.normal(size=n), np.linspace(109.5, 111.5, n)
+    near = good + 0.1 * noise  # collinear with good
+    slope = np.where(lon < 110.5, 3.0, 0.2)
+    y = slope * good + 0.1 * r.normal(size=n)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(lon, r.uniform(31, 33, n), y, good, near, noise))], "station_id bigint, lon double, lat double, y double, good double, near double, noise double")
+    got = {x.candidate: x for x in models.select_covariates(rows, "y", ["good", "near", "noise"]).collect()}
+    assert got["good"].selected and got["near"].selected and got["good"].kept != got["near"].kept
+    assert not got["noise"].selected and not got["noise"].kept and got["noise"].role is None
+    assert [x.role for x in got.values() if x.kept] == ["local"] and min(x.p for x in got.values()) == 0.001

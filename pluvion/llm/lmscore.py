@@ -8,15 +8,20 @@ combined by weights that a gate selects (how often the two longest contexts were
 has had one count), learned online; an adaptive probability map then refines the mixed prediction. The sum over bits
 gives bits per byte, and log10 P(text).
 
-What a token costs depends on the token alone, so the model learns from distinct tokens with their counts, and scores
+That is a token's own probability. It is mixed with what followed the one and the two tokens before it in training
+(Witten and Bell, 1991): P(w | h) = (count(h, w) + kinds(h) P(w | shorter h)) / (count(h) + kinds(h)), where kinds(h) is the
+number of different tokens seen after h; an unseen h leaves the shorter one. The first token of a text follows the end token.
+
+The token's own cost depends on the token alone, so its model learns from distinct tokens with their counts, and scores
 each distinct token once:
 
 1. one pass over the texts gives, for chunks of documents, the chunk's distinct tokens with their training counts and
-   the documents as token numbers;
+   the documents as token numbers, and its distinct pairs and triples of tokens with theirs, by 64-bit hashes;
 2. counts are summed over the corpus; the bit tables are sums over tokens of count and so merge by addition;
 3. mixer and map learn online on the tokens of each partition, an occurrence never seeing itself (its own count is
    taken out), and are averaged by curvature;
-4. tokens get count and score, go back to their chunks by a join, and are summed over each document there.
+4. tokens, pairs and triples get their counts over the corpus, go back to their chunks by joins, and are mixed and
+   summed over each document there.
 
 The tables have a fixed size (``SLOTS`` counters of 8 bytes), so they may be broadcast; all that grows with the corpus
 stays in distributed tables.
@@ -33,6 +38,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -288,8 +294,49 @@ def _tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(borders)
 
 
+def runs(numbers: np.ndarray, n: np.ndarray, end: int) -> tuple:
+    """(tokens with each text's end, the one before each, text's start?, pair codes, pair of each, triple codes, triple of each).
+
+    Numbers are a chunk's; a pair's code is before * (end + 1) + token, a triple's pair * (end + 1) + token. Texts' first
+    tokens have no triple (-1). Codes depend on the set of texts only.
+    """
+    sizes = n + 1
+    token = np.full(int(sizes.sum()), end, np.int64)
+    token[np.delete(np.arange(len(token)), np.cumsum(sizes) - 1)] = numbers
+    first = np.zeros(len(token), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    before = np.where(first, end, np.concatenate([[end], token[:-1]]))
+    pairs, pair = np.unique(before * (end + 1) + token, return_inverse=True)
+    third = np.concatenate([[0], pair[:-1]]) * (end + 1) + token
+    triples, known = np.unique(third[~first], return_inverse=True)
+    triple = np.full(len(token), -1, np.int64)
+    triple[~first] = known
+    return token, before, first, pairs, pair, triples, triple
+
+
+def hashed(tokens: pa.Array, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of tokens, pairs and triples of their numbers."""
+    one = pd.util.hash_array(tokens.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    k = len(one)
+    two = scramble(one[pairs // k] * np.uint64(0x9E3779B97F4A7C15) + one[pairs % k])
+    three = scramble(two[triples // k] * np.uint64(0xC2B2AE3D27D4EB4F) + one[triples % k])
+    return one.view(np.int64), two.view(np.int64), three.view(np.int64)
+
+
+def mixed(own: np.ndarray, c: np.ndarray, kinds: np.ndarray, c2: np.ndarray, kinds2: np.ndarray, c3: np.ndarray, at: tuple) -> np.ndarray:
+    """log10 probability of each token of ``runs``: own scores, counts and kinds of followers of tokens, pairs and triples."""
+    token, before, first, _, pair, _, triple = at
+    p = 10 ** own[token]
+    total = c[before] + kinds[before]
+    p = np.where(total > 0, (c2[pair] + kinds[before] * p) / np.maximum(total, 1), p)
+    context = np.concatenate([[0], pair[:-1]])
+    n, k = np.where(first, 0, c2[context]), np.where(first, 0, kinds2[context])
+    seen = np.where(first, 0, c3[triple] if len(c3) else 0)
+    return np.log10(np.where(n + k > 0, (seen + k * p) / np.maximum(n + k, 1), p))
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, out: int = 2) -> DataFrame:
-    """Rows of two kinds: a chunk's tokens (chunk, number, token, c) and documents (chunk, id, held_out, numbers)."""
+    """Rows of a chunk's tokens (kind 1), pairs (2) and triples (3) (chunk, kind, number, token, c, key, context), and documents (0) (chunk, id, held_out, numbers)."""
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(fold)) == out
 
     def run(batches):
@@ -310,15 +357,24 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             c = np.bincount(numbers[np.repeat(train, n)], minlength=len(coded.dictionary))
             tokens = pa.concat_arrays([coded.dictionary, pa.array([END])])
             c = np.append(c, train.sum())
-            chunk, k, m = task << 32 | serial, len(tokens), len(ids)
+            chunk, m = task << 32 | serial, len(ids)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(numbers.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk)), pa.array(np.arange(k, dtype=np.int32)), tokens, pa.array(c.astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.list_(pa.int32()))], names=NAMES
-            )
+            _, _, first, pairs, pair, triples, triple = runs(numbers, n, len(tokens) - 1)
+            one, two, three = hashed(tokens, pairs, triples)
+            weight = np.repeat(train, n + 1)
+            c2 = np.bincount(pair, weights=weight, minlength=len(two))
+            c3 = np.bincount(triple[~first], weights=weight[~first], minlength=len(three))
+            for kind, key, count, context in ((1, one, c, None), (2, two, c2, one[pairs // len(tokens)]), (3, three, c3, two[triples // len(tokens)])):
+                for a in range(0, len(key), 200_000):
+                    k = len(key[a : a + 200_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, chunk)), pa.array(np.full(k, kind, np.int32)), pa.array(np.arange(a, a + k, dtype=np.int32)), tokens.slice(a, k) if kind == 1 else pa.nulls(k, pa.string()), pa.array(count[a : a + k].astype(np.int64)),
+                         pa.array(key[a : a + k]), pa.nulls(k, pa.int64()) if context is None else pa.array(context[a : a + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.list_(pa.int32()))], names=NAMES
+                    )
             for a in range(0, m, 2_000):
                 b = min(m, a + 2_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, chunk)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), pa.nulls(b - a, pa.int64()), ids.slice(a, b - a), holds.slice(a, b - a), lists.slice(a, b - a)], names=NAMES
+                    [pa.array(np.full(b - a, chunk)), pa.array(np.zeros(b - a, np.int32)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), *(pa.nulls(b - a, pa.int64()) for _ in range(3)), ids.slice(a, b - a), holds.slice(a, b - a), lists.slice(a, b - a)], names=NAMES
                 )
             waiting.clear()
             serial, size = serial + 1, 0
@@ -334,10 +390,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             yield from close()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return common.arrow(rows, run, "chunk bigint, number int, token string, c bigint, id bigint, held_out boolean, numbers array<int>")
+    return common.arrow(rows, run, "chunk bigint, kind int, number int, token string, c bigint, key bigint, context bigint, id bigint, held_out boolean, numbers array<int>")
 
 
-NAMES = ["chunk", "number", "token", "c", "id", "held_out", "numbers"]
+NAMES = ["chunk", "kind", "number", "token", "c", "key", "context", "id", "held_out", "numbers"]
 
 
 @dataclass
@@ -451,18 +507,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document."""
     ship(docs.sparkSession)
     rows = common.materialise(chunks(docs, id_col, text_col), "lm-chunks")
-    words = rows.filter("token IS NOT NULL").select("chunk", "number", "token", "c")
+    words = rows.filter("kind = 1").select("chunk", "number", "token", "c", "key")
     counts = common.materialise(words.groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
     model = fit(counts)
     scored = common.materialise(score_tokens(counts, model), "lm-scored")
-    back = words.select(F.col("chunk").alias("part"), "number", "token").join(scored, "token").select("part", "number", "c", "score", (F.octet_length("token") + F.when(F.col("token") == END, 0).otherwise(1)).cast("int").alias("size"))
-    texts = rows.filter("token IS NULL").select(F.col("chunk").alias("piece"), "id", "held_out", "numbers")
+    long = lambda kind: rows.filter(F.col("kind") == kind).select("chunk", "number", "c", "key", "context")
+    known = {k: common.materialise(long(k).filter("c > 0").groupBy("key").agg(F.sum("c").alias("c"), F.first("context").alias("context")), f"lm-runs-{k}") for k in (2, 3)}
+    kinds = {k: known[k + 1].groupBy("context").agg(F.count("*").alias("kinds")) for k in (1, 2)}
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
+    back = words.select(F.col("chunk").alias("part"), "number", "token", "key").join(scored, "token").join(kinds[1], F.col("key") == F.col("context"), "left")
+    back = back.select("part", F.lit(1).alias("kind"), "number", zero("c"), "score", (F.octet_length("token") + F.when(F.col("token") == END, 0).otherwise(1)).cast("int").alias("size"), zero("kinds"))
+    none = (F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("size"))
+    seen = known[2].select("key", "c").join(kinds[2].withColumnRenamed("context", "key"), "key", "left")
+    for k, counted in ((2, seen), (3, known[3].select("key", "c", F.lit(0).alias("kinds")))):
+        own = long(k).select(F.col("chunk").alias("part"), "number", "key")
+        back = back.union(own.join(counted, "key", "left").select("part", F.lit(k), "number", zero("c"), *none, zero("kinds")))
+    texts = rows.filter("kind = 0").select(F.col("chunk").alias("piece"), "id", "held_out", "numbers")
     total, distinct = model.train_tokens, model.distinct
     floor = math.log10(total + distinct + 1)
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        c, s, size = (right.column(k).to_numpy()[order] for k in ("c", "score", "size"))
+        parts = {}
+        for kind in (1, 2, 3):
+            part = right.filter(pa.compute.equal(right.column("kind"), kind))
+            order = np.argsort(part.column("number").to_numpy())
+            parts[kind] = [part.column(k).to_numpy()[order] for k in ("c", "kinds")]
+            if kind == 1:
+                s, size = (part.column(k).to_numpy()[order] for k in ("score", "size"))
+        c = parts[1][0]
         base = np.log10(c + 1.0) - floor
         lists = left.column("numbers").combine_chunks()
         flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -471,7 +543,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         owner = np.repeat(np.arange(len(n)), n)
         add = lambda x: np.bincount(owner, weights=x[flat], minlength=len(n)) + x[-1]  # noqa: E731  the end token is the last
         n_bytes = add(size.astype(np.float64))
-        score = add(s)
+        at = runs(flat, n, len(c) - 1)
+        # the two longer contexts mix into the token's own score
+        score = np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=mixed(s, *parts[1], *parts[2], parts[3][0], at), minlength=len(n))
         return pa.table({
             "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n.astype(np.int64) + 1), "n_known": pa.array(add((c > 0).astype(np.float64)).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(score), "n_bytes": pa.array(n_bytes.astype(np.int64)), "bits_per_byte": pa.array(-score / math.log10(2) / n_bytes),

@@ -173,6 +173,36 @@ def test_lm_is_a_distribution_and_learns(spark):
     assert np.allclose(lmscore.token_scores(words[::-1], counts[::-1], tables, mixer)[::-1], s)
 
 
+def test_lm_uses_the_words_before(spark, small):
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"{a} {a}x {a}y" for a in r.choice(["one", "two", "six", "ten"], 40)) for _ in range(60)]
+    shuffled = [" ".join(r.permutation(t.split())) for t in texts]
+    fold = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 7 == 2][:60]  # held out
+    free = [i for i in range(2_000) if i not in fold][:60]
+    docs = [(i, t) for i, t in zip(free, texts)] + [(i, t) for i, t in zip(fold[:30], texts)] + [(i, t) for i, t in zip(fold[30:], shuffled)]
+    got = {x.doc_id: x for x in lmscore.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(got[a].held_out and got[a].score > 0.5 * got[b].score and got[a].base_score < got[a].score for a, b in zip(fold[:30], fold[30:]))
+    # brute force of the mixture, from the tokens' own probabilities
+    plain, train = dict(docs), [t.split() + ["\n"] for i, t in docs if not got[i].held_out]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in train:
+        one.update(t)
+        two.update(zip(["\n", *t[:-1]], t))
+        three.update(zip(["\n", *t[:-2]], t[:-1], t[1:]))
+    kinds2, kinds3 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+    counts = spark.createDataFrame(list(one.items()), "token string, c bigint")
+    own = {x.token: 10**x.score for x in lmscore.score_tokens(counts, lmscore.fit(counts)).collect()}
+    for i in fold[:3] + fold[30:33]:
+        t, want = plain[i].split() + ["\n"], 0.0
+        for j, w in enumerate(t):
+            h = t[j - 1] if j else "\n"
+            p = (two[h, w] + kinds2[h] * own[w]) / (one[h] + kinds2[h])
+            if j and (g := (t[j - 2] if j > 1 else "\n", h)) in kinds3:
+                p = (three[(*g, w)] + kinds3[g] * p) / (two[g] + kinds3[g])
+            want += math.log10(p)
+        assert got[i].score == pytest.approx(want)
+
+
 # --- decontamination
 
 

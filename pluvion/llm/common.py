@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,17 +27,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _LOCAL: list[str] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (one machine) gets a temporary folder; a cluster gets an error.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='pluvion-')}")
+            atexit.register(shutil.rmtree, _LOCAL[0].removeprefix("file://"), ignore_errors=True)
         base = _LOCAL[0]
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
+    return qualified(spark, base)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,14 +80,22 @@ def give_back() -> None:
         pass
 
 
+#: Rows of a batch that a worker's function sees; texts may be long (Spark bounds a batch's bytes besides).
+BATCH_ROWS = 2_000
+
+
 def arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow with this package available on the workers, in batches of few rows, as texts may be long."""
+    """mapInArrow with this package available on the workers, in batches of few rows; the session's settings stay."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+    def few(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(a, BATCH_ROWS)
 
     def run(batches):
         try:
-            yield from function(batches)
+            yield from function(few(batches))
         finally:
             give_back()
 

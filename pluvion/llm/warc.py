@@ -1,8 +1,11 @@
 """WARC archives: an index of byte ranges first, then sorted, coalesced range reads.
 
-The archives are written by Spark's text writer: a record (headers, HTTP block) is one row and the two line ends that
-close a record are the line separator, so every part file is a WARC file and any file system Spark knows will do.
-The index holds archive, offset, length, URL and digest of every record, computed from record lengths in write order.
+Tasks write archive files as they meet the records, each under a name of its own, and give the index: file, offset,
+length, URL and digest of every record. Only files that the index names count, so what a lost or repeated task leaves
+behind is never read. Bodies move at most once, to the ids that their digests refer to, and not at all where those ids
+are few enough for Spark to broadcast; a digest that very many records share is split by Spark's skew join.
+
+Archives are written and read through Arrow's file systems (local, S3, GCS, Azure, and HDFS with its client library).
 
 Duplicates: of the records with one payload of at least ``least`` bytes the largest id is the ``response``, the others
 are ``revisit`` records (headers only, identical-payload-digest profile). Smaller payloads are always stored.
@@ -10,29 +13,33 @@ are ``revisit`` records (headers only, identical-payload-digest profile). Smalle
 Defined results: null html is an empty payload; a null or odd URL is written with its control characters and blanks
 percent-encoded (null: none); rows repeated under one id stay separate records, and if that id is the largest of its
 payload each of them is a response; a null id is stored and returned as null and refers to the largest id that is not
-null, or is a response where all are null; an empty table gives no archives and no rows; other columns take no part.
+null, or is a response where all are null; an empty table gives no archives and no rows; other columns take no part;
+archives may be of any length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 END = "\r\n\r\n"
 LEAST = 1000
-ARCHIVE_BYTES = 16 << 20
+#: A file is closed once it holds so much.
+ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of records that one reading task takes.
+TASK_BYTES = 64 << 20
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-#: Schemes that the Arrow file systems read by range; others are read through Spark's binary files.
-RANGED = ("file", "s3", "gs", "gcs", "abfs", "abfss")
+INDEX = "page_id bigint, url string, digest string, archive string, offset bigint, length bigint"
 
 
 def _facts(pages: DataFrame) -> DataFrame:
@@ -49,8 +56,8 @@ def _kept_ids(facts: DataFrame, least: int) -> DataFrame:
     return large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND kept IS NOT NULL").select("digest", "kept")
 
 
-def _records(facts: DataFrame, kept: DataFrame, archives: int) -> DataFrame:
-    """Adds record_type, refers_to, archive and the record's head (all before its body)."""
+def _records(facts: DataFrame, kept: DataFrame) -> DataFrame:
+    """(page_id, url, digest, head, body): a record's head is all before its body; the body of a revisit is null."""
     out = facts.join(kept, "digest", "left")
     again = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     safe = F.regexp_replace(F.col("url"), r"%", "%25")
@@ -68,32 +75,47 @@ def _records(facts: DataFrame, kept: DataFrame, archives: int) -> DataFrame:
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), name(F.col("kept")), crlf, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), stored.cast("string"), F.lit(END), http,
     )
-    return out.select(
-        "page_id", "url", "digest", "payload_bytes", "body", head.alias("head"), again.alias("again"),
-        F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int").alias("archive"),
-    )
-
-
-ORDER = ("page_id", "digest", "url")
+    return out.select("page_id", "url", "digest", head.alias("head"), F.when(~again, F.col("body")).alias("body"))
 
 
 def write(pages: DataFrame, path: str, *, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``path/index`` and ``path/archives``; gives the index. One archive is written by one task and its size is near ``archive_bytes``."""
+    """Write ``path/archives`` and ``path/index``; gives the index."""
+    spark = pages.sparkSession
     facts = _facts(pages)
-    total = facts.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    kept = common.materialise(_kept_ids(facts, least), "warc-kept")
-    records = _records(facts, kept, archives)
-    record = F.concat("head", F.when(F.col("again"), F.lit("")).otherwise(F.col("body")))
-    length = F.octet_length("head").cast("bigint") + F.when(F.col("again"), F.lit(0)).otherwise(F.col("payload_bytes")) + len(END)
-    narrow = records.select("page_id", "url", "digest", "archive", length.alias("length"))
-    before = Window.partitionBy("archive").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    narrow.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).write.parquet(f"{path}/index")
-    (
-        records.select("archive", *ORDER, record.alias("record")).repartition(F.col("archive")).sortWithinPartitions("archive", *ORDER).select("record", "archive")
-        .write.partitionBy("archive").option("lineSep", END).option("compression", "none").text(f"{path}/archives")
-    )
-    return pages.sparkSession.read.schema("page_id bigint, url string, digest string, archive int, length bigint, offset bigint").parquet(f"{path}/index")
+    kept = common.materialise(_kept_ids(facts.select("page_id", "payload_bytes", "digest"), least), "warc-kept")
+    base = f"{common.qualified(spark, path)}/archives"
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        out, name, at = None, None, 0
+        try:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part = batch.slice(a, 256)
+                    names, places, sizes = [], [], []
+                    for head, body in zip(part.column(3), part.column(4), strict=True):
+                        if out is not None and at >= archive_bytes:
+                            out.close()
+                            out = None
+                        if out is None:
+                            name, at = f"part-{uuid.uuid4().hex}.warc", 0
+                            store.create_dir(root, recursive=True)
+                            out = store.open_output_stream(f"{root}/{name}")
+                        record = head.as_py().encode() + (body.as_py() or "").encode() + END.encode()
+                        out.write(record)
+                        names.append(name)
+                        places.append(at)
+                        sizes.append(len(record))
+                        at += len(record)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["page_id", "url", "digest", "archive", "offset", "length"])
+        finally:
+            if out is not None:
+                out.close()
+
+    common.arrow(_records(facts, kept), run, INDEX).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -133,31 +155,31 @@ def _columns(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read(spark: SparkSession, path: str, selected: DataFrame, *, range_bytes: int = RANGE_BYTES, gap: int = GAP_BYTES) -> DataFrame:
+def read(spark: SparkSession, path: str, selected: DataFrame, *, range_bytes: int = RANGE_BYTES, gap: int = GAP_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Rows of RESULT of the ``selected`` index rows.
 
     They are sorted by archive and offset; neighbours less than ``gap`` apart are read in one range of up to
-    ``range_bytes`` (a longer record is a range of its own).
+    ``range_bytes`` (a longer record is a range of its own). A task takes about ``task_bytes`` of records.
     """
-    base = f"{path}/archives"
-    if base.partition(":")[0] not in RANGED:
-        return _read_binary(spark, base, selected)
+    base = f"{common.qualified(spark, path)}/archives"
 
     def run(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(base)
-        files: dict[int, str] = {}
-        held: list[tuple[int, int, int]] = []
+        held: list[tuple[str, int, int]] = []
         rows: list[tuple] = []
+        name, source = None, None
 
         def fetch():
+            nonlocal name, source
             archive, start = held[0][0], held[0][1]
-            if archive not in files:
-                (files[archive],) = (f.path for f in store.get_file_info(fs.FileSelector(f"{root}/archive={archive}")) if f.base_name.startswith("part-"))
-            with store.open_input_file(files[archive]) as f:
-                data = f.read_at(held[-1][1] + held[-1][2] - start, start)
-            rows.extend(facts_of(data[o - start : o - start + n]) for _, o, n in held)
+            if archive != name:
+                if source is not None:
+                    source.close()
+                name, source = archive, store.open_input_file(f"{root}/{archive}")
+            data = memoryview(source.read_at(held[-1][1] + held[-1][2] - start, start))
+            rows.extend(facts_of(bytes(data[o - start : o - start + n])) for _, o, n in held)
             held.clear()
 
         for batch in batches:
@@ -172,25 +194,15 @@ def read(spark: SparkSession, path: str, selected: DataFrame, *, range_bytes: in
             fetch()
         if rows:
             yield _columns(rows)
+        if source is not None:
+            source.close()
 
+    total = selected.agg(F.sum("length")).first()[0] or 0
     ordered = selected.select("archive", "offset", "length").withColumn("__block", F.floor(F.col("offset") / range_bytes))
-    ordered = ordered.repartition("archive", "__block").sortWithinPartitions("archive", "offset").drop("__block")
+    ordered = ordered.repartition(max(1, -(-total // task_bytes)), "archive", "__block").sortWithinPartitions("archive", "offset").drop("__block")
     return common.arrow(ordered, run, RESULT)
 
 
-def _read_binary(spark: SparkSession, base: str, selected: DataFrame) -> DataFrame:
-    """The same through Spark's binary files, for stores that only Spark reads: archives are read whole, their size is bounded."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1_000):
-                yield _columns([facts_of(x) for x in batch.column(0).slice(i, 1_000).to_pylist()])
-
-    whole = spark.read.format("binaryFile").load(base).select("archive", "content")
-    cut = selected.select("archive", "offset", "length").join(whole, "archive").select(F.expr("substring(content, CAST(offset + 1 AS INT), CAST(length AS INT))").alias("record"))
-    return common.arrow(cut, run, RESULT)
-
-
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write every page, read the archives back and give one row of RESULT a page."""
     spark = pages.sparkSession

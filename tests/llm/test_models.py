@@ -231,6 +231,43 @@ def test_planted_items_are_found(spark, small, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(odd, bench.limit(0)).count() == 0
 
 
+def test_recall_against_all_windows(spark, small):
+    """Pairs that an exact search over every grain of every text finds are found by way of the latent index."""
+    docs, items = common.table(spark, small, "documents").select("doc_id", "text"), common.table(spark, small, "benchmark")
+    r = np.random.default_rng(9)
+    own = [decontaminate.item_of(i.item_id, i.text) for i in items.collect()]
+    planted = []
+    for n, item in enumerate(own):  # from light to heavy changes
+        words = [w if r.random() > (n % 4) * 0.1 else f"z{r.integers(999)}" for w in item.words]
+        planted.append((5_000 + n, " ".join([f"n{x}" for x in r.integers(0, 10**6, 60)] + words + [f"n{x}" for x in r.integers(0, 10**6, 60)])))
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    want = set()
+    for d in docs.collect():
+        words = decontaminate.words_of(d.text)
+        for item in own:
+            size, _ = item.window
+            member, table, answer = set(item.words), decontaminate.masks(item.words), decontaminate.masks(item.answer)
+            inside = np.concatenate([[0], np.cumsum([w in member for w in words])])
+            for a in range(0, max(len(words), 1), decontaminate.GRAIN):
+                b = min(a + size, len(words))
+                if inside[b] - inside[a] < decontaminate.LEAST * len(item.words):
+                    continue
+                n = decontaminate.common_length(table, len(item.words), words[a:b])
+                if n >= decontaminate.COPY * len(item.words) or n >= decontaminate.LEAST * len(item.words) and decontaminate.common_length(answer, len(item.answer), words[a:b]) >= decontaminate.ANSWER * len(item.answer):
+                    want.add((d.doc_id, item.item_id))
+                    break
+    got = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, items).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 30
+
+
+def test_a_copy_without_its_answer_is_found(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank every single morning. Seventeen"
+    docs = spark.createDataFrame([(1, item.replace("Seventeen", "other"), 5), (2, "none of this", 6)], "doc_id bigint, text string, __leak_id int")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert [x.doc_id for x in decontaminate.matches(docs, bench).collect()] == [1]
+    assert [tuple(x) for x in decontaminate.clean(docs, bench).collect()] == [(2, "none of this", 6)]
+
+
 def test_common_length_by_brute_force():
     r = np.random.default_rng(5)
     for _ in range(50):

@@ -271,7 +271,7 @@ def test_warc_selected_ranges(spark, small, tmp_path):
     index = warc.write(pages, path, archive_bytes=200_000)
     some = index.filter("page_id BETWEEN 10 AND 14")
     assert sorted(r.page_id for r in warc.read(spark, path, some).collect()) == [10, 11, 12, 13, 14]
-    assert sorted(r.page_id for r in warc._read_binary(spark, f"{path}/archives", some).collect()) == [10, 11, 12, 13, 14]
+    assert index.select("archive").distinct().count() > 1
     import pathlib
 
     raw = b"".join(p.read_bytes() for p in pathlib.Path(tmp_path, "w/archives").rglob("part-*"))

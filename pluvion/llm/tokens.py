@@ -6,8 +6,8 @@ version-2 writer falls back to delta packing. Row groups, pages and rows a page
 lets a reader take a range of documents, or only the narrow columns, without touching other pages.
 
 Defined results: null or blank text gives the end id alone; very long texts are encoded whole, word by word;
-equal ids (repeated rows) stay as separate rows; an empty table gives an empty file set and no rows; other
-columns of the input do not take part unless named in ``keep``.
+equal ids (repeated rows) stay as separate rows, those of one id in the order of their texts; an empty table gives an empty file set and no rows; other
+columns of the input do not take part unless named in ``keep`` (names of the file's own columns raise an error).
 """
 
 from __future__ import annotations
@@ -123,6 +123,8 @@ class Encoder:
         return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
+#: Columns of the files beside the id and what is kept.
+OWN = frozenset({"ids", "n_tokens", "place", "part"})
 MARKS_AT_END = frozenset(b"%c" % c for c in b".,;:!?")
 
 
@@ -140,21 +142,27 @@ def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, i
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, *keep, ids array<int>, n_tokens) of each row; partitioning and order of rows are kept."""
+    """(id, *keep, ids array<int>, n_tokens, place) of each row; partitioning and order of rows are kept.
+
+    ``place``: ids of the rows before it in its partition.
+    """
     kept = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", ids array<int>, n_tokens bigint"
+    if OWN & {c.lower() for c in kept}:
+        raise ValueError(f"columns of the token files: {sorted(OWN)}")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", ids array<int>, n_tokens bigint, place bigint"
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder.of(tokenizer)
+        encoder, at = Encoder.of(tokenizer), 0
         for batch in batches:
             texts = batch.column(len(kept))
             for a, b in slices(texts, SLICE_BYTES):
                 ids, n = encoder.column(texts.slice(a, b - a))
                 flat = np.insert(ids.astype(np.int32), np.cumsum(n), end_id)
-                n = n + 1
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), lists, pa.array(n)], names=[*kept, "ids", "n_tokens"])
+                ends = np.cumsum(n + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), lists, pa.array(n + 1), pa.array(at + ends - n - 1)], names=[*kept, "ids", "n_tokens", "place"])
+                at += len(flat)
 
     return common.arrow(docs.select(*kept, F.col(text_col).alias("__text")), run, schema)
 
@@ -192,31 +200,25 @@ def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, l
 
 
 def checksums(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, part, n_tokens, ids_crc32) from the stored lists."""
+    """(id, part, place, n_tokens, ids_crc32) from the stored lists."""
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=[id_col, "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=[id_col, "part", "place", "n_tokens", "ids_crc32"])
 
-    return common.arrow(tokens.select(id_col, "part", "ids"), run, f"`{id_col}` {kind}, part int, n_tokens bigint, ids_crc32 bigint")
+    return common.arrow(tokens.select(id_col, "part", "place", "ids"), run, f"`{id_col}` {kind}, part int, place bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def positions(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``start``: tokens of all documents before it. One total a file is summed over files; the rest runs within a file."""
+def positions(counted: DataFrame) -> DataFrame:
+    """Adds ``start``: tokens of all documents before it, from one total a file and the place that the file holds."""
     totals = counted.groupBy("part").agg(F.sum("n_tokens").alias("__total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     bases = totals.select("part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counted.withColumn("__within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        .join(bases, "part")
-        .withColumn("start", F.col("__base") + F.col("__within"))
-        .drop("__base", "__within")
-    )
+    return counted.join(bases, "part").withColumn("start", F.col("__base") + F.col("place")).drop("__base")
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
@@ -224,5 +226,5 @@ def token_digest(docs: DataFrame, tokenizer: str | None = None, path: str | None
     spark = docs.sparkSession
     path = path or common.scratch(spark, "tokens")
     write(docs, path, tokenizer or default_tokenizer())
-    stored = read(spark, path, ["doc_id", "part", "ids"])
+    stored = read(spark, path, ["doc_id", "part", "place", "ids"])
     return positions(common.materialise(checksums(stored), "token-sums")).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -88,7 +88,7 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def pixels(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, height, width, pixels array<tinyint as int>) of each stored row, for consumers that want arrays."""
+    """(id, height, width, pixels binary) of each stored row: the decoded samples row by row, 8 bits each."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -96,9 +96,14 @@ def pixels(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 images = [decode(x.as_py()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in images], pa.int32()), pa.array([WIDTH] * len(images), pa.int32()), pa.array([i.ravel().astype(np.int32) for i in images], pa.list_(pa.int32()))], names=[id_col, "height", "width", "pixels"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in images], pa.int32()), pa.array([WIDTH] * len(images), pa.int32()), pa.array([i.tobytes() for i in images], pa.binary())], names=[id_col, "height", "width", "pixels"])
 
-    return common.arrow(media.select(id_col, "media"), run, f"`{id_col}` {kind}, height int, width int, pixels array<int>")
+    return common.arrow(media.select(id_col, "media"), run, f"`{id_col}` {kind}, height int, width int, pixels binary")
+
+
+def write_pixels(media: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """Pixel arrays of the stored rows as Parquet."""
+    pixels(media, id_col).write.parquet(path)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -4,12 +4,17 @@ Decoded: prefix codes (simple and normal, several groups by an entropy image), b
 distances, the colour cache, and the four transforms (predictor, cross-colour, subtract green, palette with packed
 pixels), undone in reverse order. Pixels are ARGB in a (height, width) uint32 array.
 
-Grey images as this package writes them (subtract green, one group, no cache) take a path where the symbol at every
-bit is looked up at once and only the chain of symbol starts is walked.
+Images whose red, blue and alpha take no bits (grey ones after subtract green, palettes) take a path where the symbol at
+every bit is looked up at once; the chain of symbol starts is walked eight symbols a step.
+
+The encoder of grey images chooses by size: a palette with packed pixels where there are 16 levels or fewer, a left or
+top predictor where the residuals have the smaller entropy, and back-references to earlier passages of 32 samples or
+more, found by sorting the hashes of all runs of eight.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -67,42 +72,38 @@ def _reverse(value: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Bit-reversed canonical code of each symbol with a length."""
-    count = np.bincount(lengths, minlength=17)
-    count[0] = 0
-    first = np.zeros(17, np.int64)
-    code = 0
-    for n in range(1, 16):
-        code = (code + int(count[n - 1])) << 1
-        first[n] = code
+    used = np.flatnonzero(lengths)
+    n = lengths[used]
+    order = np.argsort(n, kind="stable")
+    room = np.int64(1) << (15 - n[order])
     codes = np.zeros(len(lengths), np.int64)
-    for n in np.flatnonzero(count).tolist():
-        at = np.flatnonzero(lengths == n)
-        codes[at] = first[n] + np.arange(len(at))
+    codes[used[order]] = (np.cumsum(room) - room) >> (15 - n[order])
     return _reverse(codes, lengths)
 
 
+@functools.lru_cache(16)
+def _turned(bits: int) -> np.ndarray:
+    """Every number of so many bits, its bits in reverse order."""
+    return _reverse(np.arange(1 << bits), np.full(1 << bits, bits))
+
+
 class Code:
     """A prefix code as a table over ``bits`` next bits; a single symbol takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        if not len(used):
-            used, lengths = np.array([0]), np.ones(1, np.int64)
-        if len(used) == 1:
-            self.bits, self.symbol, self.length = 0, used[:1].copy(), np.zeros(1, np.int64)
+        if len(used) < 2:
+            self.bits, self.symbol, self.length = 0, used[:1] if len(used) else np.zeros(1, np.int64), np.zeros(1, np.int64)
         else:
             n = lengths[used]
-            if abs(float((2.0 ** -n.astype(float)).sum()) - 1) > 1e-9:
-                raise BadImage("prefix code isn't complete")
             self.bits = int(n.max())
-            codes = canonical(lengths)[used]
+            order = np.argsort(n, kind="stable")
             # a code of n bits fills every entry whose lowest n bits it is
-            order = np.argsort(_reverse(codes, n) << (self.bits - n))
-            size = (1 << (self.bits - n))[order]
-            straight = np.repeat(used[order], size)
-            spread = np.repeat(n[order], size)
-            turn = _reverse(np.arange(1 << self.bits), np.full(1 << self.bits, self.bits))
-            self.symbol, self.length = straight[turn], spread[turn]
+            room = np.int64(1) << (self.bits - n[order])
+            if int(room.sum()) != 1 << self.bits:
+                raise BadImage("prefix code isn't complete")
+            turn = _turned(self.bits)
+            self.symbol, self.length = np.repeat(used[order], room)[turn], np.repeat(n[order], room)[turn]
         self.only = int(self.symbol[0]) if self.bits == 0 else None
 
     def lists(self):
@@ -119,13 +120,21 @@ class Code:
         return symbol[at]
 
 
+@functools.lru_cache(256)
+def _only(symbol: int) -> Code:
+    lengths = np.zeros(symbol + 1, np.int64)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
     lengths = np.zeros(alphabet, np.int64)
     if bits.take(1):
         two = bits.take(1)
-        lengths[bits.take(8 if bits.take(1) else 1)] = 1
-        if two:
-            lengths[bits.take(8)] = 1
+        first = bits.take(8 if bits.take(1) else 1)
+        if not two:
+            return _only(first)
+        lengths[first] = lengths[bits.take(8)] = 1
         return Code(lengths)
     first = np.zeros(19, np.int64)
     for i in range(4 + bits.take(4)):
@@ -229,36 +238,54 @@ def _read_green(bits: Bits, width: int, height: int, group: list[Code]) -> np.nd
     words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
     span = (len(words) - 1) * 8
     windows = (words[:-1, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32((1 << green.bits) - 1)
+    symbols = green.symbol.astype(np.int16)[windows]
     steps = np.where(green.symbol >= LITERALS, span, green.length).astype(np.int32)  # a reference leaves the walk
-    step = steps[windows]
-    step += np.arange(span, dtype=np.int32)
-    following = step.tolist()
+    one = np.empty(span + 1, np.int32)
+    np.add(steps[windows], np.arange(span, dtype=np.int32), out=one[:-1])
+    one[-1] = span
+    np.minimum(one, span, out=one)
+    two = one[one]
+    four = two[two]
+    eight = memoryview(four[four])
     out = np.empty(total, np.uint8)
     p, at = bits.at - start * 8, 0
     while at < total:
         walk = []
         keep = walk.append
-        while p < span:
+        left = total - at
+        while p < span and left > 0:
             keep(p)
-            p = following[p]
-        here = green.symbol[windows[walk]]
-        special = bool(len(here)) and here[-1] >= LITERALS
-        literal = here[:-1] if special else here
-        literal = literal[: total - at]
-        out[at : at + len(literal)] = literal
-        at += len(literal)
+            p = eight[p]
+            left -= 8
+        here = np.empty((len(walk), 8), np.int32)
+        here[:, 0] = walk
+        here[:, 4] = four[here[:, 0]]
+        here[:, 2::4] = two[here[:, ::4]]
+        here[:, 1::2] = one[here[:, ::2]]
+        here = here.ravel()
+        here = here[here < span]
+        if not len(here):
+            raise BadImage("image data ends early")
+        got = symbols[here]
+        ends = np.flatnonzero(got >= LITERALS)
+        n = int(ends[0]) if len(ends) else len(got)
+        n = min(n, total - at)
+        out[at : at + n] = got[:n]
+        at += n
         if at >= total:
-            bits.at = start * 8 + (walk[len(literal)] if len(literal) < len(walk) else p)
+            last = int(here[n - 1])
+            bits.at = start * 8 + last + int(green.length[windows[last]])
             break
-        if not special:
+        if not len(ends):
             raise BadImage("image data ends early")
-        bits.at = start * 8 + walk[-1] + int(green.length[windows[walk[-1]]])
-        length = _value(bits, int(here[-1]) - LITERALS)
+        mark = int(here[n])
+        bits.at = start * 8 + mark + int(green.length[windows[mark]])
+        length = _value(bits, int(got[n]) - LITERALS)
         distance = _distance(_value(bits, group[4].read(bits)), width)
         if distance > at or at + length > total:
             raise BadImage("reference outside the image")
         source = out[at - distance : min(at, at - distance + length)]
-        out[at : at + length] = np.resize(source, length)
+        out[at : at + length] = source if length <= distance else np.resize(source, length)
         at += length
         p = bits.at - start * 8
     return (out.astype(np.uint32) << np.uint32(8) | rest).reshape(height, width)
@@ -324,8 +351,31 @@ def _subtract(a: int, b: int) -> int:
     return ((a | 0x00FF00FF) - (b & 0xFF00FF00) & 0xFF00FF00) | ((a | 0xFF00FF00) - (b & 0x00FF00FF) & 0x00FF00FF)
 
 
+def _predict_alike(image: np.ndarray, top: bool, inverse: bool) -> np.ndarray:
+    """Every pixel by the one to its left (first column: above), or above (first row: to its left)."""
+    parts = np.ascontiguousarray(image, "<u4").view(np.uint8).reshape(*image.shape, 4).copy()
+    if inverse:
+        parts[0, 0] += np.array([0, 0, 0, 255], np.uint8)
+        edge = parts[0] if top else parts[:, 0]
+        edge[:] = np.cumsum(edge, axis=0, dtype=np.uint8)
+        parts = np.cumsum(parts, axis=0 if top else 1, dtype=np.uint8)
+    else:
+        whole = parts.copy()
+        parts[0, 0] -= np.array([0, 0, 0, 255], np.uint8)
+        parts[0, 1:] -= whole[0, :-1]
+        parts[1:, 0] -= whole[:-1, 0]
+        if top:
+            parts[1:, 1:] -= whole[:-1, 1:]
+        else:
+            parts[1:, 1:] -= whole[1:, :-1]
+    return np.ascontiguousarray(parts).view("<u4").reshape(image.shape).astype(np.uint32)
+
+
 def _predict(image: np.ndarray, modes: np.ndarray, tile: int, inverse: bool) -> np.ndarray:
     height, width = image.shape
+    kinds = (modes >> 8) & 15
+    if kinds.min() == kinds.max() and kinds[0, 0] in (1, 2):
+        return _predict_alike(image, kinds[0, 0] == 2, inverse)
     flat = image.ravel().tolist()
     whole = flat[:] if not inverse else flat  # the inverse works on what it has restored
     mode = ((modes >> 8) & 15).tolist()
@@ -525,13 +575,9 @@ def _write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         written = lengths
     tokens: list[tuple[int, int, int]] = []
-    values = written[: used[-1] + 1].tolist()
-    i = 0
-    while i < len(values):
-        v, j = values[i], i
-        while j < len(values) and values[j] == v:
-            j += 1
-        n, i = j - i, j
+    values = written[: used[-1] + 1]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1])
+    for v, n in zip(values[starts].tolist(), np.diff(np.append(starts, len(values))).tolist(), strict=True):
         if v == 0:
             while n >= 11:
                 k = min(n, 138)
@@ -715,60 +761,127 @@ def encode(image: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refer
     return _riff(w.bytes())
 
 
-RUN = 16
+#: Shortest reference that the encoder writes.
+LEAST_MATCH = 32
+_EIGHT = 8
+
+
+@functools.lru_cache(8)
+def _near(width: int) -> dict[int, int]:
+    """Distance -> code of the near distances."""
+    return {max(x + y * width, 1): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def references(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of passages that occurred before, in order and without overlap."""
+    n = len(flat) - _EIGHT + 1
+    if n < LEAST_MATCH - _EIGHT + 2:
+        return []
+    runs = np.ascontiguousarray(np.lib.stride_tricks.as_strided(flat, (n, _EIGHT), (1, 1))).view(np.uint64).ravel()
+    room = np.uint64(max(n - 1, 1).bit_length())
+    # runs that are alike stand together, in order of their places
+    keys = np.sort((runs * np.uint64(0x9E3779B97F4A7C15) >> room) << room | np.arange(n, dtype=np.uint64))
+    places = (keys & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+    alike = np.flatnonzero(runs[places[1:]] == runs[places[:-1]])
+    back = np.zeros(n, np.int64)
+    back[places[alike + 1]] = places[alike + 1] - places[alike]
+    # a passage at one distance is a stretch of equal steps back
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(back)) + 1])
+    sizes = np.diff(np.append(starts, n))
+    good = np.flatnonzero((sizes >= LEAST_MATCH - _EIGHT + 1) & (back[starts] > 0))
+    out, at = [], 0
+    for start, size, distance in zip(starts[good].tolist(), sizes[good].tolist(), back[starts[good]].tolist(), strict=True):
+        a, end = max(start, at), start + size + _EIGHT - 1
+        while end - a >= LEAST_MATCH:
+            length = min(end - a, 4096)
+            out.append((a, length, distance))
+            a += length
+        at = max(at, a if out and out[-1][0] >= start else at)
+    return out
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """WebP file of 8-bit samples (height, width): subtract green, one group, long runs as references to the pixel before."""
-    height, width = samples.shape
-    flat = samples.ravel()
-    w = Writer()
-    _header(w, width, height)
-    w.put(1, 1)
-    w.put(SUBTRACT_GREEN, 2)
-    w.put(0, 3)  # no more transforms, no cache, one group
+def _write_green(w: Writer, flat: np.ndarray, width: int, alpha: int) -> None:
+    """One group, no cache: green as given, with references; red and blue 0."""
+    w.put(0, 2)  # no cache, one group
+    found = references(flat)
+    near = _near(width)
     counts = np.zeros(LITERALS + LENGTHS, np.int64)
-    borders = np.flatnonzero(np.diff(flat)) + 1
-    starts = np.concatenate([[0], borders])
-    lengths = np.diff(np.concatenate([starts, [len(flat)]]))
-    runs = np.flatnonzero(lengths > RUN)
     distances = np.zeros(DISTANCES, np.int64)
     pieces, at = [], 0
-    for r in runs.tolist():
-        first = int(starts[r]) + 1
-        left = int(lengths[r]) - 1
-        pieces.append((flat[at:first], 0))
-        at = first
-        while left:
-            n = min(left, 4096)
-            if n < 2:
-                break
-            pieces.append((None, n))
-            counts[LITERALS + _prefix(n)[0]] += 1
-            distances[_prefix(2)[0]] += 1
-            at += n
-            left -= n
-    pieces.append((flat[at:], 0))
-    for part, _ in pieces:
-        if part is not None and len(part):
-            counts[:LITERALS] += np.bincount(part, minlength=LITERALS)
-    alpha = np.zeros(LITERALS, np.int64)
-    alpha[255] = 1
+    for place, length, distance in found:
+        pieces.append((flat[at:place], _prefix(length), _prefix(near.get(distance, distance + len(NEAR)))))
+        at = place + length
+        counts[LITERALS + pieces[-1][1][0]] += 1
+        distances[pieces[-1][2][0]] += 1
+    literal = np.concatenate([*(x[0] for x in pieces), flat[at:]])
+    counts[:LITERALS] += np.bincount(literal, minlength=LITERALS)
+    solid = np.zeros(LITERALS, np.int64)
+    solid[alpha] = 1
     zero = np.zeros(LITERALS, np.int64)
     zero[0] = 1
     code, length = _write_code(w, counts)
-    for t in (zero, zero, alpha):
+    for t in (zero, zero, solid):
         _write_code(w, t)
-    dcode, dlength = _write_code(w, distances)
-    near = _prefix(2)[0]
-    for part, n in pieces:
-        if part is None:
-            p, extra, bits = _prefix(n)
-            w.put(int(code[LITERALS + p]), int(length[LITERALS + p]))
-            w.put(extra, bits)
-            w.put(int(dcode[near]), int(dlength[near]))
-        elif len(part):
+    far, far_length = _write_code(w, distances)
+    for part, (size, extra, bits), (step, more, more_bits) in pieces:
+        if len(part):
             w.many(code[part], length[part])
+        w.put(int(code[LITERALS + size]), int(length[LITERALS + size]))
+        w.put(extra, bits)
+        w.put(int(far[step]), int(far_length[step]))
+        w.put(more, more_bits)
+    if at < len(flat):
+        w.many(code[flat[at:]], length[flat[at:]])
+
+
+def _entropy(values: np.ndarray) -> float:
+    """Bits of the values by their own frequencies."""
+    counts = np.bincount(values, minlength=1)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(len(values) / counts)).sum())
+
+
+def encode_grey(samples: np.ndarray) -> bytes:
+    """WebP file of 8-bit samples (height, width), in the smaller of its forms (see the top)."""
+    height, width = samples.shape
+    flat = np.ascontiguousarray(samples).ravel()
+    levels = np.flatnonzero(np.bincount(flat, minlength=256))
+    w = Writer()
+    _header(w, width, height)
+    if len(levels) <= 16:
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(levels) - 1, 8)
+        colors = levels.astype(np.uint32) * np.uint32(0x10101) | np.uint32(0xFF000000)
+        deltas = np.diff(colors.astype("<u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+        _write_pixels(w, np.ascontiguousarray(deltas).view("<u4").reshape(1, -1), False)
+        place = np.zeros(256, np.uint8)
+        place[levels] = np.arange(len(levels))
+        pack = _pack_bits(len(levels))
+        wide = -(-width >> pack)
+        index = np.zeros((height, wide << pack), np.uint8)
+        index[:, :width] = place[samples]
+        index = (index.reshape(height, wide, -1) << (np.arange(1 << pack, dtype=np.uint8) * (8 >> pack))).sum(axis=2, dtype=np.uint8)
+        w.put(0, 1)
+        _write_green(w, index.ravel(), wide, 255)
+        return _riff(w.bytes())
+    best, mode, plain = _entropy(flat), 0, flat
+    for kind, prediction in ((1, flat[:-1]), (2, flat[:-width])):
+        rest = (flat[len(flat) - len(prediction) :] - prediction).astype(np.uint8)
+        if len(rest) and (bits := _entropy(rest) + 8 * (len(flat) - len(rest)) + 64) < best:
+            best, mode = bits, kind
+    if mode:
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(7, 3)
+        modes = np.full((-(-height >> 9), -(-width >> 9)), mode << 8, np.uint32)
+        _write_pixels(w, modes, False)
+        image = samples.astype(np.uint32) * np.uint32(0x10101) | np.uint32(0xFF000000)
+        plain = (_predict(image, modes, 9, False) & 255).astype(np.uint8).ravel()
+    w.put(1, 1)
+    w.put(SUBTRACT_GREEN, 2)
+    w.put(0, 1)
+    _write_green(w, plain, width, 0 if mode else 255)
     return _riff(w.bytes())
 
 

@@ -23,7 +23,8 @@ def test_token_digest(spark, small, odd, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokens.default_tokenizer())
-    for docs in (common.table(spark, small, "documents"), odd):
+    again = spark.createDataFrame([(1, "aaa one two three four five six"), (1, "zzz"), (2, "last"), (1, "zzz")], "doc_id bigint, text string")
+    for docs in (common.table(spark, small, "documents"), odd, again):
         want, at = [], 0
         for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
             ids = tok.encode(r.text or "", add_special_tokens=False).ids + [1]
@@ -43,6 +44,23 @@ def test_token_reads_are_selective(spark, small, tmp_path):
     assert "GreaterThanOrEqual(doc_id,10)" in plan and "ids" not in plan.split("ReadSchema")[1]
 
 
+def test_token_files_have_the_layout(spark, small, tmp_path):
+    """Version-2 pages, dictionary or delta pages for the ids, several row groups, column and offset indexes."""
+    import pyarrow.parquet as pq
+
+    docs = common.table(spark, small, "documents")
+    for name, most in (("a", 64 << 10), ("b", 32 << 20)):
+        tokens.write(docs, f"file://{tmp_path}/{name}", tokens.default_tokenizer(), files=1, row_group_bytes=most, page_bytes=8 << 10, page_rows=50)
+        (file,) = (tmp_path / name).glob("part-*.parquet")
+        meta = pq.ParquetFile(file).metadata
+        assert (meta.num_row_groups > 1) == (name == "a")
+        column = next(c for c in (meta.row_group(0).column(i) for i in range(meta.num_columns)) if c.path_in_schema.startswith("ids"))
+        assert column.has_offset_index and column.has_column_index
+        assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+    with pytest.raises(ValueError):
+        tokens.write(docs.withColumn("part", docs.doc_id), f"file://{tmp_path}/c", tokens.default_tokenizer(), keep=["part"])
+
+
 # --- mixing
 
 
@@ -76,6 +94,25 @@ def test_mixing(spark, small, odd, none):
     assert mixing.taken(none).count() == 0
 
 
+def test_copies_do_not_depend_on_blocks(spark, small):
+    docs = common.table(spark, small, "documents")
+    many = docs.union(docs.withColumn("text", docs.lang)).union(docs)  # ids with several texts
+    one, more = (sorted(map(str, mixing.mixed(many, block_rows=n).select("doc_id", "text").collect())) for n in (10**6, 7))
+    assert one == more
+    got = rows(mixing.mix(many, block_rows=3))
+    groups = defaultdict(list)
+    for r in got:
+        groups[r["source"], r["__mix_size"]].append(r["__mix_copies"])
+    assert all(max(g) - min(g) <= 1 for g in groups.values())  # a group's copies are dealt evenly
+
+
+def test_many_sources(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 700:03d}", "a " * (i % 13)) for i in range(3000)], "doc_id bigint, source string, text string")
+    sizes = docs.select("source", mixing.words(docs.text).alias("n")).groupBy("source").sum("n").withColumnRenamed("sum(n)", "source_size")
+    got = {r.source: r.rank for r in mixing.ranked(sizes).collect()}
+    assert [got[s] for s in sorted(got)] == list(range(700))
+
+
 def test_mixture_keeps_columns(odd):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
@@ -276,3 +313,46 @@ def test_warc_selected_ranges(spark, small, tmp_path):
 
     raw = b"".join(p.read_bytes() for p in pathlib.Path(tmp_path, "w/archives").rglob("part-*"))
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and raw.count(b"WARC/1.1\r\n") == pages.count()
+
+
+def test_forms_of_grey_images():
+    """Every form that the encoder chooses between comes back whole, and is chosen where it is the smallest."""
+    r = np.random.default_rng(3)
+    ramp = np.cumsum(r.integers(0, 3, (40, 64)), axis=1).astype(np.uint8)
+    rows_alike = np.repeat(r.integers(0, 256, (1, 64)), 40, axis=0).astype(np.uint8) + np.arange(40, dtype=np.uint8)[:, None]
+    passage = r.integers(0, 256, 700).astype(np.uint8)
+    again = np.concatenate([passage, r.integers(0, 256, 500).astype(np.uint8), passage, passage[:660]])[: 64 * 40].reshape(-1, 64)
+    forms = {"palette of 2": r.integers(0, 2, (9, 64)), "palette of 13": r.integers(60, 73, (9, 64)), "one level": np.full((3, 64), 7), "left": ramp, "above": rows_alike, "references": again, "noise": r.integers(0, 256, (50, 64))}
+    size = {}
+    for name, image in forms.items():
+        image = image.astype(np.uint8)
+        data = webp.encode_grey(image)
+        assert np.array_equal(webp.decode_grey(data)[0], image), name
+        size[name] = len(data) / image.size
+    assert size["palette of 2"] < 0.25 and size["palette of 13"] < 0.65 and size["left"] < 0.35 and size["above"] < 0.1 and size["references"] < 0.7
+    for _ in range(60):  # short passages, in any place
+        words = [r.integers(0, 256, int(n)).astype(np.uint8) for n in r.integers(8, 90, 6)]
+        flat = np.concatenate([words[i] for i in r.integers(0, 6, 40)])
+        image = flat[: len(flat) // 64 * 64].reshape(-1, 64)
+        found = webp.references(image.ravel())
+        assert all(a + n <= b for (a, n, _), (b, _, _) in zip(found, found[1:]))
+        assert all(np.array_equal(image.ravel()[a : a + n], np.resize(image.ravel()[a - d : min(a, a - d + n)], n)) for a, n, d in found)
+        assert np.array_equal(webp.decode_grey(webp.encode_grey(image))[0], image)
+
+
+def test_predictors_of_one_kind_by_brute_force():
+    r = np.random.default_rng(8)
+    image = r.integers(0, 2**32, (7, 9), dtype=np.uint64).astype(np.uint32)
+    for mode in (1, 2):
+        alike, mixed = np.full((2, 2), mode << 8, np.uint32), np.full((2, 3), mode << 8, np.uint32)
+        mixed[1, 2] = 3 << 8  # another kind beyond the image's last tile: the general path
+        for inverse in (False, True):
+            assert np.array_equal(webp._predict(image, alike, 3, inverse), webp._predict(image, mixed, 3, inverse))
+
+
+def test_pixel_arrays(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/pixels"
+    media.write_pixels(media.stored(odd.filter("doc_id < 8")), path)
+    got = {(r.doc_id, bytes(r.pixels)) for r in spark.read.parquet(path).collect()}
+    want = {(r.doc_id, media.payload((r.text or "").encode()).tobytes()) for r in odd.filter("doc_id < 8").collect()}
+    assert got == want

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialise
+
 
 class Spark:
     name = "spark"
@@ -89,9 +92,61 @@ SPARK, DUCKDB = Spark(), DuckDB()
 Builder = Callable[[Spark], str]
 
 
+#: After "AS (" of a table expression: where Spark's later ones use it more than once, it is written to the shared folder
+#: and read, as Spark would otherwise work it out anew at each use.
+KEEP = "/*keep*/"
+
+
+def expressions(text: str) -> tuple[list[tuple[str, str]], str]:
+    """(name, body) of the table expressions of "WITH name AS (body), ... SELECT", and the last SELECT."""
+    if not text.startswith("WITH "):
+        return [], text
+    found, at = [], len("WITH ")
+    while True:
+        name, _, _ = text[at:].partition(" AS (")
+        start = at = at + len(name) + len(" AS (")
+        depth, quote = 1, ""
+        while depth:
+            c = text[at]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "'\"":
+                quote = c
+            else:
+                depth += (c == "(") - (c == ")")
+            at += 1
+        found.append((name.strip(), text[start : at - 1]))
+        rest = text[at:].lstrip()
+        at = len(text) - len(rest)
+        if not rest.startswith(","):
+            return found, rest
+        at += 1
+
+
 def frame(spark: SparkSession, builder: Builder, **tables: DataFrame) -> DataFrame:
     """Run a builder's SQL; ``{name}`` in it stands for the table of that name."""
-    return spark.sql(builder(SPARK), **tables)
+    text = builder(SPARK)
+    if KEEP not in text:
+        return spark.sql(text, **tables)
+    found, last = expressions(text)
+    uses = lambda name, body: len(re.findall(rf"(?:FROM|JOIN) {name}\b", body))
+    done: list[tuple[str, str]] = []
+
+    def run(query: str) -> DataFrame:
+        needed, wanted = [], query
+        for name, body in reversed(done):
+            if uses(name, wanted):
+                needed.insert(0, f"{name} AS ({body})")
+                wanted += " " + body
+        return spark.sql(("WITH " + ",\n".join(needed) + "\n" if needed else "") + query, **{k: v for k, v in tables.items() if "{" + k + "}" in wanted})
+
+    for i, (name, body) in enumerate(found):
+        later = sum(uses(name, b) for _, b in found[i + 1 :]) + uses(name, last)
+        if body.startswith(KEEP) and later > 1:
+            tables[f"kept_{name}"] = materialise(run(body), f"plan-{name}")
+            body = f"SELECT * FROM {{kept_{name}}}"
+        done.append((name, body))
+    return run(last)
 
 
 def pmod(a: str, n: str) -> str:

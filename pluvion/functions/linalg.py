@@ -7,6 +7,8 @@ import itertools
 import numpy as np
 
 EPS = np.finfo(float).eps
+#: Fixed value: share of a full turn between rotations (golden section).
+TURN = 0.6180339887498949
 
 
 def kernel_weights(d: np.ndarray, bw, kernel: str = "bisquare") -> np.ndarray:
@@ -47,27 +49,44 @@ def tps_kernel(r2: np.ndarray) -> np.ndarray:
         return np.where(r2 <= EPS, 0.0, 0.5 * r2 * np.log(r2))
 
 
+def flatness(xy: np.ndarray) -> float:
+    """Extent of the points across their main direction, as a share of that along it: 0 where all are on a line or in one place."""
+    s = np.linalg.svd(xy - xy.mean(axis=0), compute_uv=False)
+    return float(s[1] / s[0]) if len(s) > 1 and s[0] > 0 else 0.0
+
+
+def _solved(a: np.ndarray, b: np.ndarray, most_condition: float = 1e14) -> np.ndarray | None:
+    """Solution of a system scaled to a diagonal of about 1; None where it is singular or too ill-conditioned to trust."""
+    scale = 1 / np.sqrt(np.maximum(np.abs(a).max(axis=1), EPS))
+    even = a * scale[:, None] * scale[None]
+    if not np.isfinite(even).all() or np.linalg.cond(even) > most_condition:
+        return None
+    return scale[:, None] * np.linalg.solve(even, scale[:, None] * b.reshape(len(a), -1))
+
+
 def _tps_system(xy: np.ndarray, smooth: float, scale: float | None):
     r2 = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
     k = tps_kernel(r2)
     size = np.abs(k[k != 0])
     scale = (float(np.median(size)) if len(size) >= 2 else 1.0) if scale is None else scale
     p = np.column_stack([np.ones(len(xy)), xy])
-    if len(xy) < 3 or np.linalg.matrix_rank(p) < 3:
+    if len(xy) < 3 or flatness(xy) < 1e-6:
         return None
     return np.block([[k + smooth * scale * np.eye(len(xy)), p], [p.T, np.zeros((3, 3))]])
 
 
 def tps_predict(train: np.ndarray, y: np.ndarray, target: np.ndarray, smooth: float = 0.01, scale: float | None = None) -> np.ndarray:
-    """Smoothing spline through (lon, lat) stations at the targets; NaN with fewer than 3 stations or all on a line."""
+    """Smoothing spline through (lon, lat) stations at the targets; NaN with fewer than 3 stations, all (nearly) on a line, or a singular system."""
     centre = train.mean(axis=0)
     xy, at = local_km(train, centre), local_km(target, centre)
     system = _tps_system(xy, smooth, scale)
     if system is None:
         return np.full(len(target), np.nan)
-    w = np.linalg.solve(system, np.concatenate([y, np.zeros(3)]))
+    w = _solved(system, np.concatenate([y, np.zeros(3)]))
+    if w is None:
+        return np.full(len(target), np.nan)
     k = tps_kernel(((at[:, None] - xy[None]) ** 2).sum(axis=2))
-    return np.column_stack([k, np.ones(len(at)), at]) @ w
+    return np.column_stack([k, np.ones(len(at)), at]) @ w[:, 0]
 
 
 def tps_loo(train: np.ndarray, y: np.ndarray, smooth: float = 0.01) -> np.ndarray:
@@ -79,7 +98,10 @@ def tps_loo(train: np.ndarray, y: np.ndarray, smooth: float = 0.01) -> np.ndarra
     n = len(train)
     plain = system[:n, :n].copy()
     np.fill_diagonal(plain, tps_kernel(np.zeros(n)))
-    hat = np.hstack([plain, system[:n, n:]]) @ np.linalg.inv(system)[:, :n]
+    inverse = _solved(system, np.eye(len(system)))
+    if inverse is None:
+        return np.full(len(train), np.nan)
+    hat = np.hstack([plain, system[:n, n:]]) @ inverse[:, :n]
     left = 1 - np.diag(hat)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(np.abs(left) <= 1e-10, np.nan, y - (y - hat @ y) / left)
@@ -112,23 +134,26 @@ def gwr_calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> dict:
 
 def local_hat(xt: np.ndarray, xg: np.ndarray, d: np.ndarray, bw: float, kernel: str = "bisquare", adaptive: bool = True, ridge: float = 1e-6, loo: bool = False) -> np.ndarray:
     """(targets, train) rows that map training values to local fits; rows without enough stations are 0."""
-    out = np.zeros((len(xg), len(xt)))
     p = xt.shape[1]
-    for t in range(len(xg)):
-        dist = d[t].copy()
-        if loo:
-            dist[t] = np.inf
-        finite = np.sort(dist[np.isfinite(dist)])
-        if not len(finite):
-            continue
-        width = finite[int(np.clip(np.rint(bw), 2, len(finite))) - 1] if adaptive else bw
-        w = np.where(np.isfinite(dist), kernel_weights(np.where(np.isfinite(dist), dist, 0), max(width, EPS), kernel), 0.0)
-        use = w > 0
-        if use.sum() < p + 1:
-            continue
-        a = (xt[use] * w[use, None]).T @ xt[use] + ridge * np.eye(p)
-        out[t, use] = np.linalg.solve(a, xg[t]) @ (xt[use] * w[use, None]).T
-    return out
+    dist = np.array(d, float)
+    if loo:
+        np.fill_diagonal(dist, np.inf)
+    met = np.isfinite(dist)
+    count = met.sum(axis=1)
+    if adaptive:
+        kth = np.clip(np.rint(bw), 2, np.maximum(count, 2)).astype(int) - 1
+        width = np.sort(dist, axis=1)[np.arange(len(dist)), np.minimum(kth, dist.shape[1] - 1)]
+    else:
+        width = np.full(len(dist), float(bw))
+    width = np.where(np.isfinite(width), np.maximum(width, EPS), 1.0)
+    w = np.where(met, kernel_weights(np.where(met, dist, 0), width[:, None], kernel), 0.0)
+    enough = (w > 0).sum(axis=1) >= p + 1
+    products = (xt[:, :, None] * xt[:, None, :]).reshape(len(xt), p * p)
+    a = (w @ products).reshape(-1, p, p) + ridge * np.eye(p)
+    solved = np.zeros((len(xg), p))
+    if enough.any():
+        solved[enough] = np.linalg.solve(a[enough], xg[enough][:, :, None])[:, :, 0]
+    return (solved @ xt.T) * w
 
 
 def backfit(y: np.ndarray, hats: list[np.ndarray], projection: np.ndarray | None, tol: float = 1e-5, most: int = 200, damping: float = 1.0):
@@ -260,47 +285,53 @@ def block_bootstrap(sums: np.ndarray, statistic, reps: int = 2000, seed: int = 0
 # --- balanced spatial folds along a Hilbert curve
 
 
-def hilbert_index(x: int, y: int, order: int = 16) -> int:
-    d, s = 0, 1 << (order - 1)
-    while s:
-        rx, ry = int(x & s > 0), int(y & s > 0)
-        d += s * s * ((3 * rx) ^ ry)
-        if not ry:
-            if rx:
-                x, y = (1 << order) - 1 - x, (1 << order) - 1 - y
-            x, y = y, x
-        s >>= 1
-    return d
+def hilbert_index(x: np.ndarray, y: np.ndarray, order: int = 16) -> np.ndarray:
+    """Place of each cell (x, y) of a 2**order grid along the Hilbert curve from (0, 0) to (2**order - 1, 0).
+
+    The curve visits a square's quarters in the order lower left, upper left, upper right, lower right. The first is the
+    curve mirrored at the diagonal, the last one mirrored at the other diagonal: two signs say how the quarter met lies.
+    """
+    x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+    place = np.zeros(np.broadcast(x, y).shape, np.int64)
+    swapped, turned = np.zeros(place.shape, bool), np.zeros(place.shape, bool)
+    for bit in reversed(range(order)):
+        right, up = ((x >> bit) & 1) ^ turned, ((y >> bit) & 1) ^ turned
+        right, up = np.where(swapped, up, right), np.where(swapped, right, up)
+        place = place << 2 | right << 1 | right ^ up
+        turned ^= (right == 1) & (up == 0)
+        swapped ^= up == 0
+    return place
+
+
+def nearest_with_room(squared: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Centre of each point (rows of squared distances): nearest with room left; who loses most by its second choice goes first."""
+    two = np.partition(squared, 1, axis=1) if squared.shape[1] > 1 else np.hstack([squared, squared])
+    left, out = room.copy(), np.zeros(len(squared), int)
+    for i in np.argsort(-(two[:, 1] - two[:, 0]), kind="stable"):
+        out[i] = np.argmin(np.where(left > 0, squared[i], np.inf))
+        left[out[i]] -= 1
+    return out
 
 
 def hilbert_folds(ids: list, lonlat: np.ndarray, k: int, rotation: int = 0, rounds: int = 100) -> np.ndarray:
-    """Fold 1..k of each station: equal runs along a turned Hilbert curve, then capacity-bound nearest-centre rounds."""
-    n = len(ids)
+    """Fold 1..k of each station: equal runs along a turned Hilbert curve, then rounds of nearest centre with room."""
     xy = local_km(lonlat)
-    angle = 2 * np.pi * ((rotation * 0.6180339887498949) % 1.0)
-    turned = xy @ np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
-    span = np.ptp(turned, axis=0)
-    cells = np.rint((turned - turned.min(axis=0)) / np.where(span > 0, span, 1) * 65535).astype(int)
-    order = sorted(range(n), key=lambda i: (hilbert_index(*cells[i].tolist()), ids[i]))
-    sizes = [n // k + (i < n % k) for i in range(k)]
-    fold = np.zeros(n, int)
-    at = 0
-    for f, size in enumerate(sizes):
-        fold[order[at : at + size]] = f
-        at += size
+    angle = 2 * np.pi * (rotation * TURN % 1.0)
+    c, s = np.cos(angle), np.sin(angle)
+    along = np.column_stack([c * xy[:, 0] - s * xy[:, 1], s * xy[:, 0] + c * xy[:, 1]])
+    low, span = along.min(axis=0), np.ptp(along, axis=0)
+    cells = np.rint((along - low) / np.where(span > 0, span, 1) * 65535).astype(np.int64)
+    runs = np.array_split(np.lexsort((np.asarray(ids), hilbert_index(cells[:, 0], cells[:, 1]))), k)
+    fold = np.empty(len(xy), int)
+    for f, run in enumerate(runs):
+        fold[run] = f
+    room = np.array([len(run) for run in runs])
     for _ in range(rounds):
-        centres = np.array([xy[fold == f].mean(axis=0) for f in range(k)])
-        d2 = ((xy[:, None] - centres[None]) ** 2).sum(axis=2)
-        two = np.sort(d2, axis=1)
-        gap = two[:, 1] - two[:, 0] if k > 1 else np.zeros(n)
-        left, new = sizes[:], np.zeros(n, int)
-        for i in sorted(range(n), key=lambda i: (-gap[i], i)):
-            f = min((f for f in range(k) if left[f]), key=lambda f: (d2[i, f], f))
-            new[i] = f
-            left[f] -= 1
-        if np.array_equal(new, fold):
+        centres = np.column_stack([np.bincount(fold, xy[:, j], k) for j in (0, 1)]) / np.maximum(np.bincount(fold, minlength=k), 1)[:, None]
+        moved = nearest_with_room(((xy[:, None] - centres[None]) ** 2).sum(axis=2), room)
+        if np.array_equal(moved, fold):
             break
-        fold = new
+        fold = moved
     return fold + 1
 
 

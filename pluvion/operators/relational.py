@@ -7,15 +7,18 @@ from ..functions.scalar import num
 EPS = "2.220446049250313e-16"
 
 
+def pearson(x: str, y: str) -> str:
+    """Correlation from centred sums; NULL where a side is constant."""
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
 def scores(y: str, p: str, digits: int = 6) -> str:
     """n, rmse, mae, bias and r of a group as a SELECT list; r is NULL where a side is constant or n < 2."""
     both = f"({y}) IS NOT NULL AND ({p}) IS NOT NULL"
     e = lambda x: f"CASE WHEN {both} THEN {x} END"
     n = f"count({e('1')})"
-    sy, sp = f"sum({e(y)})", f"sum({e(p)})"
-    vy, vp = f"({n} * sum({e(f'({y}) * ({y})')}) - {sy} * {sy})", f"({n} * sum({e(f'({p}) * ({p})')}) - {sp} * {sp})"
-    cov = f"({n} * sum({e(f'({y}) * ({p})')}) - {sy} * {sp})"
-    r = f"CASE WHEN {n} >= 2 AND {vy} > 1e-9 AND {vp} > 1e-9 THEN round({cov} / sqrt({vy} * {vp}), {digits}) END"
+    vary = " AND ".join(f"max({e(x)}) > min({e(x)})" for x in (y, p))
+    r = f"CASE WHEN {n} >= 2 AND {vary} THEN round({pearson(e(y), e(p))}, {digits}) END"
     return (
         f"CAST({n} AS BIGINT) AS n, round(sqrt(avg({e(f'power(({p}) - ({y}), 2)')})), {digits}) AS rmse, round(avg({e(f'abs(({p}) - ({y}))')}), {digits}) AS mae, "
         f"round(avg({e(f'({p}) - ({y})')}), {digits}) AS bias, {r} AS r"
@@ -36,10 +39,9 @@ def event_scores(y: str, p: str, threshold: float, digits: int = 6) -> str:
 
 def correlation(x: str, y: str, least: int = 2, digits: int = 6) -> str:
     both = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL"
-    s = lambda e: f"sum(CASE WHEN {both} THEN {e} END)"
-    n, sx, sy = f"count(CASE WHEN {both} THEN 1 END)", s(x), s(y)
-    vx, vy = f"({n} * {s(f'({x}) * ({x})')} - {sx} * {sx})", f"({n} * {s(f'({y}) * ({y})')} - {sy} * {sy})"
-    return f"CASE WHEN {n} >= {least} AND {vx} > 1e-9 AND {vy} > 1e-9 THEN round(({n} * {s(f'({x}) * ({y})')} - {sx} * {sy}) / sqrt({vx} * {vy}), {digits}) END"
+    e = lambda v: f"CASE WHEN {both} THEN {v} END"
+    vary = " AND ".join(f"max({e(v)}) > min({e(v)})" for v in (x, y))
+    return f"CASE WHEN count({e('1')}) >= {least} AND {vary} THEN round({pearson(e(x), e(y))}, {digits}) END"
 
 
 def solve3(a: tuple[str, ...], b: tuple[str, str, str]) -> tuple[str, str, str, str]:

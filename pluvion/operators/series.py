@@ -20,14 +20,15 @@ def hours_to_rain(d: Spark, wet: float = WET) -> str:
     A wet hour has 0 and 0. Where a missing hour comes first, the hours to it are given and the side is open; NULL
     where the axis ends first or the hour itself is missing.
     """
-    mark = f"CASE WHEN obs IS NULL OR obs >= {num(wet)} THEN h END"
+    # a mark is twice its hour, one more where the hour is missing
+    mark = f"CASE WHEN obs IS NULL THEN 2 * h + 1 WHEN obs >= {num(wet)} THEN 2 * h END"
     back = d.last_value("mark", f"{BY_STATION} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
     ahead = d.first_value("mark", f"{BY_STATION} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
+    hour = lambda m: f"CAST(floor({m} / 2e0) AS BIGINT)"
     return (
-        f"marked AS (SELECT *, {mark} AS mark FROM hours), sided AS (SELECT station_id, h, obs, {back} AS hb, {ahead} AS ha FROM marked), "
-        "to_rain AS (SELECT s.station_id, s.h, s.obs, CASE WHEN s.obs IS NOT NULL THEN s.h - s.hb END AS before, CASE WHEN s.obs IS NOT NULL THEN s.ha - s.h END AS after, "
-        "CASE WHEN s.obs IS NOT NULL AND s.hb IS NOT NULL AND b.obs IS NULL THEN 1 ELSE 0 END AS open_before, CASE WHEN s.obs IS NOT NULL AND s.ha IS NOT NULL AND a.obs IS NULL THEN 1 ELSE 0 END AS open_after "
-        "FROM sided AS s LEFT JOIN hours AS b ON s.station_id = b.station_id AND s.hb = b.h LEFT JOIN hours AS a ON s.station_id = a.station_id AND s.ha = a.h)"
+        f"marked AS (SELECT *, {mark} AS mark FROM hours), sided AS (SELECT station_id, h, obs, {back} AS mb, {ahead} AS ma FROM marked), "
+        f"to_rain AS (SELECT station_id, h, obs, CASE WHEN obs IS NOT NULL THEN h - {hour('mb')} END AS before, CASE WHEN obs IS NOT NULL THEN {hour('ma')} - h END AS after, "
+        f"CASE WHEN obs IS NOT NULL AND mb <> 2 * {hour('mb')} THEN 1 ELSE 0 END AS open_before, CASE WHEN obs IS NOT NULL AND ma <> 2 * {hour('ma')} THEN 1 ELSE 0 END AS open_after FROM sided)"
     )
 
 

@@ -1,12 +1,13 @@
 """Neighbours, interpolation weights and local regression as SQL plans.
 
 Tables that the plans take: ``stations`` (station_id, lon, lat) and ``cells`` (station_id, t, y): what stations report.
-Station pairs are joined to cells by the source station, so the pair table, not the panel, is what is all-against-all;
-nearest-k choices are made among the stations that report at the time.
+Neighbours come from an equal join on cells of a grid, so no plan sets all stations against all; nearest-k choices are
+made among the stations that report at the time.
 """
 
 from __future__ import annotations
 
+from ..functions.dialect import KEEP
 from ..functions.scalar import COINCIDENT_KM, RADIUS, east_km, haversine, kernel, north_km, num
 from .relational import EPS, solve3
 
@@ -21,37 +22,64 @@ def pairs(radius: float = RADIUS) -> str:
 
 
 REACH = 96
+#: Stations that a grid cell holds on average; its block of 5 x 5 has a full circle of some 12 cells.
+PER_CELL = 8
+
+
+def close_by(radius: float = RADIUS, reach: int = REACH) -> str:
+    """close_by(target, source, km, e, n, place): the nearest stations of each, up to ``reach``, those within a circle that is sure to be whole.
+
+    Stations of the 5 x 5 cells around one are met by an equal join; two cell sides from it nothing is missed. Networks
+    that span more than half the globe get none (the circle would wrap), so all their cells take the slow way.
+    """
+    km, side = haversine("a.lon", "a.lat", "b.lon", "b.lat", radius), f"radians(1e0) * {num(radius)}"
+    five = "(SELECT -2 AS {0} UNION ALL SELECT -1 UNION ALL SELECT 0 UNION ALL SELECT 1 UNION ALL SELECT 2)"
+    return (
+        "extents AS (SELECT min(lon) AS lon0, min(lat) AS lat0, greatest(max(lon) - min(lon), 1e-6) AS dx, greatest(max(lat) - min(lat), 1e-6) AS dy, max(abs(lat)) AS far, count(*) AS n FROM stations), "
+        f"grid_of AS (SELECT *, greatest(dx / floor(sqrt(n / {num(PER_CELL)}) + 1), 1e-6) AS sx, greatest(dy / floor(sqrt(n / {num(PER_CELL)}) + 1), 1e-6) AS sy FROM extents), "
+        "placed_in AS (SELECT s.station_id, s.lon, s.lat, CAST(floor((s.lon - g.lon0) / g.sx) AS BIGINT) AS cx, CAST(floor((s.lat - g.lat0) / g.sy) AS BIGINT) AS cy, "
+        f"CASE WHEN g.dx > 180 THEN -1e0 ELSE 1.99e0 * {side} * least(g.sy, g.sx * cos(radians(least(g.far, 89.9e0)))) END AS sure FROM stations AS s CROSS JOIN grid_of AS g), "
+        f"around_of AS (SELECT p.*, cx + i AS nx, cy + j AS ny FROM placed_in AS p CROSS JOIN {five.format('i')} AS di CROSS JOIN {five.format('j')} AS dj), "
+        f"met_near AS (SELECT a.station_id AS target, b.station_id AS source, {km} AS km, {east_km('b.lon', 'b.lat', 'a.lon', 'a.lat')} AS e, {north_km('b.lat', 'a.lat')} AS n, a.sure "
+        "FROM around_of AS a JOIN placed_in AS b ON a.nx = b.cx AND a.ny = b.cy WHERE a.station_id <> b.station_id), "
+        f"close_by AS ({KEEP}SELECT * FROM (SELECT target, source, km, e, n, row_number() OVER (PARTITION BY target ORDER BY km, source) AS place FROM met_near WHERE km <= sure) AS o WHERE place <= {reach})"
+    )
+
+
+def _apart(target: str, source: str, radius: float = RADIUS) -> str:
+    """km, e and n of two rows of stations as a SELECT list."""
+    lon, lat, at_lon, at_lat = f"{source}.lon", f"{source}.lat", f"{target}.lon", f"{target}.lat"
+    return f"{haversine(at_lon, at_lat, lon, lat, radius)} AS km, {east_km(lon, lat, at_lon, at_lat)} AS e, {north_km(lat, at_lat)} AS n"
 
 
 def nearest_reporting(k: int, wanted: str, reports: str = "reports", reach: int = REACH) -> str:
     """met(target, t, source, y, km, e, n, rn <= k): the k nearest of the ``reports`` (station_id, t, y) at each ``wanted`` (target, t).
 
-    The ``reach`` nearest stations of each are tried first; where fewer than k of them report, all stations are.
+    The stations close by are tried first; where fewer than k of them report, all that report at that time are.
     """
-    ranked = "row_number() OVER (PARTITION BY w.target, w.t ORDER BY p.km, p.source) AS rn"
-    columns = "w.target, w.t, p.source, r.y, p.km, p.e, p.n"
+    ranked = "row_number() OVER (PARTITION BY target, t ORDER BY km, source) AS rn, count(*) OVER (PARTITION BY target, t) AS held"
     return (
-        f"close_by AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, source) AS place FROM pairs) AS o WHERE place <= {reach}), "
-        f"wanted_cells AS ({wanted}), "
-        f"quick AS (SELECT * FROM (SELECT {columns}, {ranked} FROM wanted_cells AS w JOIN close_by AS p ON w.target = p.target JOIN {reports} AS r ON p.source = r.station_id AND w.t = r.t) AS q WHERE rn <= {k}), "
+        f"{close_by(reach=reach)}, wanted_cells AS ({wanted}), "
+        f"quick AS ({KEEP}SELECT * FROM (SELECT *, {ranked} FROM (SELECT w.target, w.t, p.source, r.y, p.km, p.e, p.n FROM wanted_cells AS w JOIN close_by AS p ON w.target = p.target JOIN {reports} AS r ON p.source = r.station_id AND w.t = r.t) AS c) AS q WHERE rn <= {k}), "
         f"enough AS (SELECT target, t FROM quick WHERE rn = {k}), "
         "lacking AS (SELECT w.target, w.t FROM wanted_cells AS w LEFT JOIN enough AS g ON w.target = g.target AND w.t = g.t WHERE g.target IS NULL), "
-        f"slow AS (SELECT * FROM (SELECT {columns}, {ranked} FROM lacking AS w JOIN {reports} AS r ON w.t = r.t JOIN pairs AS p ON w.target = p.target AND r.station_id = p.source) AS q WHERE rn <= {k}), "
-        "met AS (SELECT q.* FROM quick AS q JOIN enough AS g ON q.target = g.target AND q.t = g.t UNION ALL SELECT * FROM slow)"
+        f"slow AS (SELECT * FROM (SELECT *, {ranked} FROM (SELECT w.target, w.t, r.station_id AS source, r.y, {_apart('a', 'b')} FROM lacking AS w JOIN {reports} AS r ON w.t = r.t "
+        f"JOIN stations AS a ON w.target = a.station_id JOIN stations AS b ON r.station_id = b.station_id WHERE r.station_id <> w.target) AS c) AS q WHERE rn <= {k}), "
+        f"met AS (SELECT target, t, source, y, km, e, n, rn FROM quick WHERE held >= {k} UNION ALL SELECT target, t, source, y, km, e, n, rn FROM slow)"
     )
 
 
 def candidates(k: int | None = None) -> str:
     """near(target, t, y0, source, y, km, e, n, rn): for each reported cell the other stations that report then, the k nearest or all."""
-    base = "reports AS (SELECT station_id, t, y FROM cells WHERE y IS NOT NULL), "
+    base = f"reports AS ({KEEP}SELECT station_id, t, y FROM cells WHERE y IS NOT NULL), "
     if k:
         base += nearest_reporting(k, "SELECT station_id AS target, t FROM reports") + ", "
     else:
         base += (
-            "met AS (SELECT o.station_id AS target, o.t, p.source, r.y, p.km, p.e, p.n, row_number() OVER (PARTITION BY o.station_id, o.t ORDER BY p.km, p.source) AS rn "
-            "FROM reports AS o JOIN reports AS r ON o.t = r.t AND o.station_id <> r.station_id JOIN pairs AS p ON p.target = o.station_id AND p.source = r.station_id), "
+            f"met AS (SELECT *, row_number() OVER (PARTITION BY target, t ORDER BY km, source) AS rn FROM (SELECT o.station_id AS target, o.t, r.station_id AS source, r.y, {_apart('a', 'b')} "
+            "FROM reports AS o JOIN reports AS r ON o.t = r.t AND o.station_id <> r.station_id JOIN stations AS a ON o.station_id = a.station_id JOIN stations AS b ON r.station_id = b.station_id) AS c), "
         )
-    return base + "near AS (SELECT m.target, m.t, o.y AS y0, m.source, m.y, m.km, m.e, m.n, m.rn FROM met AS m JOIN reports AS o ON m.target = o.station_id AND m.t = o.t)"
+    return base + f"near AS ({KEEP}SELECT m.target, m.t, o.y AS y0, m.source, m.y, m.km, m.e, m.n, m.rn FROM met AS m JOIN reports AS o ON m.target = o.station_id AND m.t = o.t)"
 
 
 def idw(power: float = 2.0) -> str:
@@ -68,7 +96,7 @@ def adw(power: float = 2.0) -> str:
     """adw(target, t, y0, pred): inverse distance with Shepard's correction for directions, over the stations chosen."""
     c = num(COINCIDENT_KM)
     return (
-        f"based AS (SELECT *, CASE WHEN km > {c} THEN power(km, {num(-power)}) ELSE 0e0 END AS w, e / nullif(sqrt(e * e + n * n), 0) AS ux, n / nullif(sqrt(e * e + n * n), 0) AS uy FROM near), "
+        f"based AS ({KEEP}SELECT *, CASE WHEN km > {c} THEN power(km, {num(-power)}) ELSE 0e0 END AS w, e / nullif(sqrt(e * e + n * n), 0) AS ux, n / nullif(sqrt(e * e + n * n), 0) AS uy FROM near), "
         "summed AS (SELECT target, t, sum(w) AS sw, sum(w * ux) AS sx, sum(w * uy) AS sy, "
         f"sum(CASE WHEN km <= {c} THEN 1 ELSE 0 END) AS same, avg(CASE WHEN km <= {c} THEN y END) AS mean_same FROM based GROUP BY target, t), "
         "turned AS (SELECT b.target, b.t, b.y0, b.y, s.same, s.mean_same, "
@@ -83,10 +111,10 @@ def weights(name: str = "bisquare", k: int | None = 12, km: float | None = None)
     if k:
         return (
             f"width AS (SELECT target, t, max(CASE WHEN rn <= {k} THEN km END) AS bw FROM near GROUP BY target, t), "
-            f"weighted AS (SELECT a.*, {kernel(name, 'a.km', 'b.bw')} AS w FROM near AS a JOIN width AS b ON a.target = b.target AND a.t = b.t)"
+            f"weighted AS ({KEEP}SELECT a.*, {kernel(name, 'a.km', 'b.bw')} AS w FROM near AS a JOIN width AS b ON a.target = b.target AND a.t = b.t)"
         )
     bw = num(km) if km else "CAST(NULL AS DOUBLE)"
-    return f"weighted AS (SELECT *, {kernel(name, 'km', bw)} AS w FROM near)"
+    return f"weighted AS ({KEEP}SELECT *, {kernel(name, 'km', bw)} AS w FROM near)"
 
 
 def local_linear(ridge: float = 1e-4, least: int = 3) -> str:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.dialect import DUCKDB, frame
+from ..operators.graph import components
 from ..operators import relational as R
 from ..operators import series as T
 from ..operators import spatial as O
+from ..storage import materialise
 from . import adapter as A
 from .catalogue import query, sql_query, tables
 
@@ -105,8 +107,8 @@ def coverage(d):
 
 @sql_query("identical_series", "events")
 def identical_series(d):
-    """Station pairs whose shared days never differ by more than a resolution step."""
-    return _panel(d, select="SELECT x.station_id AS one, y.station_id AS two, CAST(count(*) AS BIGINT) AS overlap FROM panel AS x JOIN panel AS y ON x.t = y.t AND x.station_id < y.station_id WHERE x.obs IS NOT NULL AND y.obs IS NOT NULL GROUP BY x.station_id, y.station_id HAVING bool_and(abs(x.obs - y.obs) < 0.5e0)")
+    """Station pairs whose shared days never differ, with at least two of them."""
+    return _panel(d, select="SELECT x.station_id AS one, y.station_id AS two, CAST(count(*) AS BIGINT) AS overlap FROM panel AS x JOIN panel AS y ON x.t = y.t AND x.station_id < y.station_id WHERE x.obs IS NOT NULL AND y.obs IS NOT NULL GROUP BY x.station_id, y.station_id HAVING bool_and(x.obs = y.obs) AND count(*) >= 2")
 
 
 def series_groups(panel, min_overlap: int = 1):
@@ -115,9 +117,6 @@ def series_groups(panel, min_overlap: int = 1):
     panel: (station_id, t, obs). Equality is exact; a pair with fewer than ``min_overlap`` shared times is no link. The
     relation is not transitive, so a group may hold stations that differ: min_overlap is its thinnest link.
     """
-    from ..llm.common import materialise
-    from ..llm.graph import components
-
     x, y = (panel.filter("obs IS NOT NULL").select(F.col("station_id").alias(n), "t", F.col("obs").alias(f"obs_{n}")) for n in ("a", "b"))
     same = F.min(F.col("obs_a") == F.col("obs_b"))
     links = x.join(y, "t").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"), same.alias("same")).filter(F.col("same") & (F.col("overlap") >= min_overlap)).select("a", "b", "overlap")
@@ -139,7 +138,7 @@ _GROUPS = _panel(
 
 @query("identical_series_groups", _GROUPS.format(events="events"))
 def identical_series_groups(spark, sf_dir):
-    """Components of stations with identical series; ``identical_series_components`` compares event kinds only."""
+    """Components of stations with identical series."""
     return series_groups(frame(spark, lambda d: _panel(d, select="SELECT station_id, t, obs FROM panel"), **tables(spark, sf_dir, "events")))
 
 
@@ -170,7 +169,7 @@ def extraction(d):
     """Nearest value against the mean of the surroundings, by station and over all."""
     return _panel(
         d, O.pairs(), "around AS (SELECT p.target, x.t, avg(x.a) AS mean FROM pairs AS p JOIN panel AS x ON p.source = x.station_id WHERE p.km <= 25e0 GROUP BY p.target, x.t)",
-        select=f"SELECT p.station_id, {R.scores('p.a', 'm.mean', 5)} FROM panel AS p JOIN around AS m ON p.station_id = m.target AND p.t = m.t WHERE p.a IS NOT NULL AND m.mean IS NOT NULL GROUP BY ROLLUP (p.station_id)",
+        select=f"SELECT p.station_id, {R.scores('p.a', 'm.mean', 9)} FROM panel AS p JOIN around AS m ON p.station_id = m.target AND p.t = m.t WHERE p.a IS NOT NULL AND m.mean IS NOT NULL GROUP BY ROLLUP (p.station_id)",
     )
 
 
@@ -180,7 +179,7 @@ def day_total(d):
     h = d.hour_index("ts")
     return A.sql(
         f"slots AS (SELECT user_id, {h} * 2 + CASE WHEN minute(ts) >= 30 THEN 1 ELSE 0 END AS slot, avg(value) AS rate FROM {{events}} GROUP BY 1, 2)",
-        select="SELECT user_id, CAST(FLOOR(slot / 48e0) AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS slots, round(sum(0.5e0 * rate) + 1e-9, 6) AS total FROM slots GROUP BY 1, 2",
+        select="SELECT user_id, CAST(FLOOR(slot / 48e0) AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS slots, round(sum(0.5e0 * rate), 6) AS total FROM slots GROUP BY 1, 2",
     )
 
 
@@ -210,8 +209,6 @@ def eligible(d):
 
 def settled_cells(cells, days: int = 5, stations: int = 4):
     """Cells (station_id, t) of stations with enough days among days with enough stations, repeated until no cell is lost."""
-    from ..llm.common import materialise
-
     now = materialise(cells.select("station_id", "t"), "cells")
     left = now.count()
     while True:
@@ -242,13 +239,13 @@ def weighted_correlation(d):
 
 @sql_query("panel_sufficient_statistics", "events")
 def sufficient(d):
-    names = [f"round({c} + 1e-9, 4) AS {c}" for c in ("a0_1", "a1_1", "b0", "b1", "yy")]
+    names = [f"round({c}, 8) AS {c}" for c in ("a0_1", "a1_1", "b0", "b1", "yy")]
     return _panel(d, f"g AS (SELECT station_id, {R.gram(['1e0', 'a'], 'obs')} FROM panel WHERE obs IS NOT NULL AND a IS NOT NULL GROUP BY station_id)", select=f"SELECT station_id, n, {', '.join(names)} FROM g")
 
 
 @sql_query("monthly_rows", "events")
 def monthly(d):
-    return _panel(d, select=f"SELECT CAST(FLOOR(t / 10e0) AS BIGINT) AS period, CAST(count(*) AS BIGINT) AS cells, {R.correlation('obs', 'a', 3, 5)} AS r, round(avg(obs) + 1e-9, 6) AS mean_obs FROM panel WHERE obs IS NOT NULL GROUP BY 1")
+    return _panel(d, select=f"SELECT CAST(FLOOR(t / 10e0) AS BIGINT) AS period, CAST(count(*) AS BIGINT) AS cells, {R.correlation('obs', 'a', 3, 5)} AS r, round(avg(obs), 6) AS mean_obs FROM panel WHERE obs IS NOT NULL GROUP BY 1")
 
 
 @sql_query("input_audit", "events")
@@ -270,7 +267,7 @@ def neighbour_labels(d):
 def network_labels(d):
     return A.sql(
         A.stations(), A.hours(d), f"share AS (SELECT h, avg(CASE WHEN obs >= {_WET} THEN 1e0 ELSE 0e0 END) AS share FROM hours WHERE obs IS NOT NULL GROUP BY h)",
-        select=f"SELECT CASE WHEN s.share = 0 THEN 'none' WHEN s.share < 0.05e0 THEN 'few' WHEN s.share < 0.25e0 THEN 'some' ELSE 'many' END AS network, CASE WHEN x.obs >= {_WET} THEN 1 ELSE 0 END = 1 AS wet, CAST(count(*) AS BIGINT) AS n, round(avg(x.a) + 1e-9, 6) AS product FROM hours AS x JOIN share AS s ON x.h = s.h WHERE x.obs IS NOT NULL GROUP BY 1, 2",
+        select=f"SELECT CASE WHEN s.share = 0 THEN 'none' WHEN s.share < 0.05e0 THEN 'few' WHEN s.share < 0.25e0 THEN 'some' ELSE 'many' END AS network, CASE WHEN x.obs >= {_WET} THEN 1 ELSE 0 END = 1 AS wet, CAST(count(*) AS BIGINT) AS n, round(avg(x.a), 6) AS product FROM hours AS x JOIN share AS s ON x.h = s.h WHERE x.obs IS NOT NULL GROUP BY 1, 2",
     )
 
 
@@ -280,7 +277,7 @@ def stratifiers(d):
     return A.sql(
         A.stations(), A.hours(d),
         f"x AS (SELECT CASE WHEN s.lon < 110.5e0 THEN 'west' ELSE 'east' END AS region, CASE WHEN s.lat < 32.3e0 THEN 'south' ELSE 'north' END AS belt, CASE WHEN h.h % 24 BETWEEN 6 AND 17 THEN 'day' ELSE 'night' END AS half, {S.classed('h.obs', S.RAIN_EDGES)} AS rain, h.obs, h.a FROM hours AS h JOIN stations AS s ON h.station_id = s.station_id WHERE h.obs IS NOT NULL AND h.a IS NOT NULL)",
-        select="SELECT region, belt, half, rain, CAST(count(*) AS BIGINT) AS n, round(avg(a - obs) + 1e-9, 6) AS bias FROM x GROUP BY GROUPING SETS ((region), (belt), (half), (rain), (region, half))",
+        select="SELECT region, belt, half, rain, CAST(count(*) AS BIGINT) AS n, round(avg(a - obs), 6) AS bias FROM x GROUP BY GROUPING SETS ((region), (belt), (half), (rain), (region, half))",
     )
 
 
@@ -291,7 +288,7 @@ def station_audit(d):
 
 @sql_query("mean_wet_residual", "events")
 def mean_wet_residual(d):
-    return _panel(d, select=f"SELECT station_id, CAST(count(*) AS BIGINT) AS n, round(avg(obs - a) + 1e-9, 6) AS residual FROM panel WHERE obs >= {_WET} AND a IS NOT NULL GROUP BY station_id HAVING count(*) >= 2")
+    return _panel(d, select=f"SELECT station_id, CAST(count(*) AS BIGINT) AS n, round(avg(obs - a), 6) AS residual FROM panel WHERE obs >= {_WET} AND a IS NOT NULL GROUP BY station_id HAVING count(*) >= 2")
 
 
 @sql_query("role_stability", "events")
@@ -314,4 +311,4 @@ _CONTEXT_CELLS = "x AS (SELECT p.station_id, p.t, f.fold, p.obs, p.a FROM panel
 
 @sql_query("joint_fold_context", "events")
 def joint_context(d):
-    return _panel(d, O.strip_folds(), _CONTEXT_CELLS, O.joint_context(), select="SELECT held, station_id, t, round(y + 1e-9, 5) AS y, round(z + 1e-9, 5) AS z FROM context WHERE fold = held")
+    return _panel(d, O.strip_folds(), _CONTEXT_CELLS, O.joint_context(), select="SELECT held, station_id, t, round(y, 5) AS y, round(z, 5) AS z FROM context WHERE fold = held")

@@ -59,7 +59,7 @@ def unpivot(d):
 def dup_qc(d):
     """Hourly means of each user and kind, with how many records and different values they come from."""
     h = d.hour_index("ts")
-    return f"SELECT user_id, event_type, {h} + 9 AS h, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT value) AS BIGINT) AS distinct_values, round(avg(value) + 1e-9, 6) AS value FROM {{events}} GROUP BY user_id, event_type, {h}"
+    return f"SELECT user_id, event_type, {h} + 9 AS h, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT value) AS BIGINT) AS distinct_values, round(avg(value), 6) AS value FROM {{events}} GROUP BY user_id, event_type, {h}"
 
 
 @sql_query("time_parse_formats", "events")
@@ -120,7 +120,7 @@ def rank_stability(d):
 def mse_decomposition(d):
     return _panel(
         d, "m AS (SELECT station_id, count(*) AS n, avg(obs) AS mo, avg(a) AS ma, avg(obs * obs) - avg(obs) * avg(obs) AS vo, avg(a * a) - avg(a) * avg(a) AS va, avg(obs * a) - avg(obs) * avg(a) AS cov, avg(power(a - obs, 2)) AS mse FROM panel WHERE obs IS NOT NULL AND a IS NOT NULL GROUP BY station_id HAVING count(*) > 2)",
-        select="SELECT station_id, CAST(n AS BIGINT) AS n, round(mse + 1e-9, 5) AS mse, round(power(ma - mo, 2) + 1e-9, 5) AS bias_part, round(power(sqrt(greatest(va, 0e0)) - sqrt(greatest(vo, 0e0)), 2) + 1e-9, 5) AS spread_part, round(2 * (sqrt(greatest(va, 0e0) * greatest(vo, 0e0)) - cov) + 1e-9, 5) AS pattern_part FROM m",
+        select="SELECT station_id, CAST(n AS BIGINT) AS n, round(mse, 5) AS mse, round(power(ma - mo, 2), 5) AS bias_part, round(power(sqrt(greatest(va, 0e0)) - sqrt(greatest(vo, 0e0)), 2), 5) AS spread_part, round(2 * (sqrt(greatest(va, 0e0) * greatest(vo, 0e0)) - cov), 5) AS pattern_part FROM m",
     )
 
 
@@ -171,7 +171,7 @@ def run_comparison(d):
 
 @sql_query("monthly_anomaly", "events")
 def anomaly(d):
-    return _panel(d, select="SELECT station_id, t, round(obs - avg(obs) OVER (PARTITION BY station_id, CAST(FLOOR(t / 30e0) AS BIGINT)) + 1e-9, 6) AS anomaly FROM panel WHERE obs IS NOT NULL")
+    return _panel(d, select="SELECT station_id, t, round(obs - avg(obs) OVER (PARTITION BY station_id, CAST(FLOOR(t / 30e0) AS BIGINT)), 6) AS anomaly FROM panel WHERE obs IS NOT NULL")
 
 
 # --- fusion, blending, stacking
@@ -179,7 +179,7 @@ def anomaly(d):
 
 @sql_query("fusion_mean", "events")
 def fusion_mean(d):
-    return _panel(d, select="SELECT station_id, t, round((a + b + c) / 3 + 1e-9, 6) AS fused FROM panel WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
+    return _panel(d, select="SELECT station_id, t, round((a + b + c) / 3, 6) AS fused FROM panel WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
 
 
 _FOLD_CELLS = f"x AS (SELECT p.*, f.fold FROM panel AS p JOIN folds AS f ON p.station_id = f.station_id WHERE {_ALL})"
@@ -218,7 +218,7 @@ def lag_features(d):
         A.stations(), A.hours(d), O.pairs(), f"shifted AS (SELECT station_id, h, a, {T.shifted('a', 1, 'before')}, {T.shifted('a', -1, 'after')} FROM hours)",
         "near8 AS (SELECT target, source FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, source) AS rn FROM pairs) AS r WHERE rn <= 8)",
         "around AS (SELECT n.target, x.h, avg(x.a) AS mean FROM near8 AS n JOIN hours AS x ON n.source = x.station_id GROUP BY n.target, x.h)",
-        select="SELECT s.station_id, s.h, round(s.a, 6) AS a, round(s.before, 6) AS before, round(s.after, 6) AS after, round(coalesce(m.mean, s.a) + 1e-9, 6) AS around FROM shifted AS s LEFT JOIN around AS m ON s.station_id = m.target AND s.h = m.h",
+        select="SELECT s.station_id, s.h, round(s.a, 6) AS a, round(s.before, 6) AS before, round(s.after, 6) AS after, round(coalesce(m.mean, s.a), 6) AS around FROM shifted AS s LEFT JOIN around AS m ON s.station_id = m.target AND s.h = m.h",
     )
 
 
@@ -318,12 +318,12 @@ def vif_gram(d):
 
 @sql_query("station_pair_moments", "events")
 def pair_moments(d):
-    return _panel(d, select="SELECT x.station_id AS one, y.station_id AS two, CAST(count(*) AS BIGINT) AS n, round(sum(x.obs * y.a) + 1e-9, 4) AS xy, round(sum(x.obs), 4) AS sx, round(sum(y.a), 4) AS sy FROM panel AS x JOIN panel AS y ON x.t = y.t WHERE x.obs IS NOT NULL AND y.a IS NOT NULL AND x.station_id < y.station_id GROUP BY x.station_id, y.station_id")
+    return _panel(d, select="SELECT x.station_id AS one, y.station_id AS two, CAST(count(*) AS BIGINT) AS n, round(sum(x.obs * y.a), 8) AS xy, round(sum(x.obs), 8) AS sx, round(sum(y.a), 8) AS sy FROM panel AS x JOIN panel AS y ON x.t = y.t WHERE x.obs IS NOT NULL AND y.a IS NOT NULL AND x.station_id < y.station_id GROUP BY x.station_id, y.station_id")
 
 
 @sql_query("hour_centred_panel", "events")
 def hour_centred(d):
-    return _panel(d, select="SELECT station_id, t, round(obs - avg(obs) OVER (PARTITION BY t) + 1e-9, 6) AS centred, round(1e0 / count(*) OVER (PARTITION BY station_id), 8) AS weight FROM panel WHERE obs IS NOT NULL")
+    return _panel(d, select="SELECT station_id, t, round(obs - avg(obs) OVER (PARTITION BY t), 6) AS centred, round(1e0 / count(*) OVER (PARTITION BY station_id), 8) AS weight FROM panel WHERE obs IS NOT NULL")
 
 
 @sql_query("tuning_hour_sample", "events")
@@ -393,7 +393,7 @@ def segments(d):
 def block_relief(d):
     """Highest less lowest value per block of k x k cells, for several k, and its mean."""
     per = lambda k: f"SELECT {k} AS k, CAST(FLOOR(i / {float(k)!r}e0) AS BIGINT) AS bi, CAST(FLOOR(j / {float(k)!r}e0) AS BIGINT) AS bj, max(z) - min(z) AS relief FROM grid GROUP BY 1, 2, 3"
-    return A.sql("grid AS (SELECT CAST(l_suppkey % 30 AS BIGINT) AS i, CAST(l_partkey % 30 AS BIGINT) AS j, max(CAST(l_quantity AS DOUBLE)) AS z FROM {lineitem} GROUP BY 1, 2)", f"blocks AS ({' UNION ALL '.join(map(per, (2, 3, 5)))})", select="SELECT CAST(k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS blocks, round(avg(relief) + 1e-9, 6) AS mean_relief, round(max(relief), 6) AS highest FROM blocks GROUP BY k")
+    return A.sql("grid AS (SELECT CAST(l_suppkey % 30 AS BIGINT) AS i, CAST(l_partkey % 30 AS BIGINT) AS j, max(CAST(l_quantity AS DOUBLE)) AS z FROM {lineitem} GROUP BY 1, 2)", f"blocks AS ({' UNION ALL '.join(map(per, (2, 3, 5)))})", select="SELECT CAST(k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS blocks, round(avg(relief), 6) AS mean_relief, round(max(relief), 6) AS highest FROM blocks GROUP BY k")
 
 
 @sql_query("bilinear_combine", "lineitem")
@@ -403,7 +403,7 @@ def bilinear(d):
         "points AS (SELECT DISTINCT l_orderkey AS id, (l_orderkey * 37) % 190 / 10e0 AS x, (l_orderkey * 53) % 190 / 10e0 AS y FROM {lineitem})",
         "corners AS (SELECT id, CAST(FLOOR(x) AS BIGINT) + dx AS i, CAST(FLOOR(y) AS BIGINT) + dy AS j, (CASE WHEN dx = 1 THEN x - FLOOR(x) ELSE 1 - x + FLOOR(x) END) * (CASE WHEN dy = 1 THEN y - FLOOR(y) ELSE 1 - y + FLOOR(y) END) AS w FROM points CROSS JOIN ("
         + d.values("(0, 0), (0, 1), (1, 0), (1, 1)", "dx, dy") + ") AS o)",
-        select="SELECT c.id, CAST(count(g.z) AS BIGINT) AS valid, round(sum(CASE WHEN g.z IS NOT NULL THEN c.w * g.z END) / nullif(sum(CASE WHEN g.z IS NOT NULL THEN c.w END), 0) + 1e-9, 6) AS value FROM corners AS c LEFT JOIN grid AS g ON c.i = g.i AND c.j = g.j GROUP BY c.id",
+        select="SELECT c.id, CAST(count(g.z) AS BIGINT) AS valid, round(sum(CASE WHEN g.z IS NOT NULL THEN c.w * g.z END) / nullif(sum(CASE WHEN g.z IS NOT NULL THEN c.w END), 0), 6) AS value FROM corners AS c LEFT JOIN grid AS g ON c.i = g.i AND c.j = g.j GROUP BY c.id",
     )
 
 

@@ -145,7 +145,7 @@ def false_alarm_cube(d):
 
 @sql_query("diurnal_cycle", "events")
 def diurnal_cycle(d):
-    return _hours(d, _LABELLED, select=f"SELECT coalesce(region, 'all') AS region, CAST({_HOUR} AS BIGINT) AS hour, CAST(count(*) AS BIGINT) AS n, round(avg(obs) + 1e-9, 6) AS obs, round(avg(a) + 1e-9, 6) AS sat, round(avg(CASE WHEN obs >= {_WET} THEN 1e0 ELSE 0e0 END), 6) AS wet_share FROM labelled GROUP BY {_HOUR}, ROLLUP (region)")
+    return _hours(d, _LABELLED, select=f"SELECT coalesce(region, 'all') AS region, CAST({_HOUR} AS BIGINT) AS hour, CAST(count(*) AS BIGINT) AS n, round(avg(obs), 8) AS obs, round(avg(a), 8) AS sat, round(avg(CASE WHEN obs >= {_WET} THEN 1e0 ELSE 0e0 END), 8) AS wet_share FROM labelled GROUP BY {_HOUR}, ROLLUP (region)")
 
 
 @sql_query("diurnal_phase", "events")
@@ -266,13 +266,3 @@ def deficit_attribution(d):
         "parts AS (SELECT p.station_id, p.t, greatest(p.obs - p.a, 0e0) AS deficit, least(greatest(p.obs - p.a, 0e0), greatest(coalesce(n.highest, p.a) - p.a, 0e0)) AS displaced, least(greatest(p.obs - p.a, 0e0), greatest(r.mean - p.a, 0e0)) AS smoothed FROM panel AS p LEFT JOIN nearby AS n ON p.station_id = n.target AND p.t = n.t JOIN areal AS r ON p.t = r.t WHERE p.obs IS NOT NULL AND p.a IS NOT NULL)",
         select="SELECT station_id, t, round(deficit, 6) AS deficit, round(displaced, 6) AS displaced, round(smoothed, 6) AS smoothed, round(greatest(deficit - greatest(displaced, smoothed), 0e0), 6) AS missed FROM parts",
     )
-
-
-@sql_query("identical_series_components", "events")
-def identical_series(d):
-    """Stations whose wet hours never contradict each other on shared days, and the smallest of each such pair's partners."""
-    return A.sql(
-        A.stations(), "flags AS (SELECT DISTINCT user_id AS station_id, event_type FROM {events} WHERE event_type <> 'view')",
-        f"sets AS (SELECT station_id, {d.list_sorted('event_type')} AS kinds FROM flags GROUP BY station_id)",
-        select="SELECT station_id, kinds, min(station_id) OVER (PARTITION BY kinds) AS component, CAST(count(*) OVER (PARTITION BY kinds) AS BIGINT) AS size FROM sets",
-    )

@@ -35,7 +35,7 @@ for _kernel in S.KERNELS:
         lambda d, kernel=_kernel: A.sql(
             A.stations(), O.pairs(),
             select=f"SELECT target, source, round({S.kernel(kernel, 'km', S.num(50.0))}, 6) AS fixed, round({S.kernel(kernel, 'km', 'bw')}, 6) AS adaptive FROM "
-            "(SELECT *, max(CASE WHEN rn <= 10 THEN km END) OVER (PARTITION BY target) AS bw FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, source) AS rn FROM pairs) AS r) AS w WHERE rn <> 10",
+            "(SELECT *, max(CASE WHEN rn <= 10 THEN km END) OVER (PARTITION BY target) AS bw FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY km, source) AS rn FROM pairs) AS r) AS w",
         )
     )
 

@@ -21,7 +21,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     cols = sorted(df.columns)
-    text = lambda v: "N" if v is None or v != v else f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    text = lambda v: "N" if pd.isna(v) else f"{float(v) + 0.0:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in row) for row in df[cols].astype(object).itertuples(index=False))
 
 

@@ -89,7 +89,35 @@ def test_hilbert_folds_are_balanced_and_fixed():
     f = L.hilbert_folds(list(range(23)), p, 5)
     assert sorted(np.bincount(f)[1:].tolist()) == [4, 4, 5, 5, 5]
     assert (f == L.hilbert_folds(list(range(23)), p, 5)).all()
-    assert sorted({L.hilbert_index(x, y, 3) for x in range(8) for y in range(8)}) == list(range(64))
+    for order in (1, 3, 5):  # every cell once, each next to the one before, corner to corner
+        side = 1 << order
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(side), np.arange(side)))
+        place = L.hilbert_index(x, y, order)
+        assert sorted(place.tolist()) == list(range(side * side))
+        at = np.argsort(place)
+        assert (np.abs(np.diff(x[at])) + np.abs(np.diff(y[at])) == 1).all()
+        assert (x[at[0]], y[at[0]], x[at[-1]], y[at[-1]]) == (0, 0, side - 1, 0)
+
+
+def test_local_hats_by_brute_force():
+    r = np.random.default_rng(6)
+    place, x = r.random((14, 2)), np.column_stack([np.ones(14), r.random(14)])
+    d = L.haversine_km(place, place)
+    hat = L.local_hat(x, x, d, 6, "bisquare", True, 1e-6, True)
+    for t in range(14):
+        others = np.delete(d[t], t)
+        w = L.kernel_weights(d[t], np.sort(others)[5])
+        w[t] = 0
+        a = (x * w[:, None]).T @ x + 1e-6 * np.eye(2)
+        assert np.allclose(hat[t], np.linalg.solve(a, x[t]) @ (x * w[:, None]).T)
+
+
+def test_spline_of_bad_networks_is_missing():
+    line = np.column_stack([np.linspace(110, 111, 4), np.linspace(31, 32, 4)])
+    bent = line + np.array([[0, 0], [0, 1e-9], [0, 0], [0, 0]])
+    for place in (line, bent, np.repeat([[110.0, 31.0]], 5, axis=0), line[:2]):
+        n = len(place)
+        assert np.isnan(L.tps_predict(place, np.arange(n, dtype=float), place[:1] + 0.1)).all() and np.isnan(L.tps_loo(place, np.arange(n, dtype=float))).all()
 
 
 def test_bootstrap_and_permutation():

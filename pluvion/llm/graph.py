@@ -1,41 +1,3 @@
-"""Connected components of large graphs as DataFrame rounds."""
+"""Connected components, as the engine's own operator gives them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import common
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): smallest node reachable from each node that has an edge; edges: (a, b), any direction.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). A node's smallest neighbour comes from a
-    pre-aggregated minimum and is joined back, so that a node with very many neighbours is never gathered in one
-    task; each round is written to the shared folder.
-    """
-    now = common.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
-        # large star: each larger neighbour goes to the smallest of the node and its neighbours
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: the node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m")).filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        now = common.materialise(small, "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+from pluvion.operators.graph import components  # noqa: F401

@@ -3,28 +3,27 @@
 A token is a word (A-Z lower-cased) or the end of a text. It is spelled as bytes (a blank closes a word, a line feed is
 the end), and each bit is predicted from the counts of several contexts inside the token: place, the last one, two and
 three bytes, and the whole of the token so far. Short contexts live in hashed tables of fixed size; the beginnings of
-tokens are counted exactly where tokens of one head (first bytes) are sorted together. The predictions' logits are
-combined by weights that a gate selects (how often the two longest contexts were seen, and for how long the beginning
-has had one count), learned online; an adaptive probability map then refines the mixed prediction. The sum over bits
-gives bits per byte, and log10 P(text).
-
-That is a token's own probability. It is mixed with what followed the one and the two tokens before it in training
-(Witten and Bell, 1991): P(w | h) = (count(h, w) + kinds(h) P(w | shorter h)) / (count(h) + kinds(h)), where kinds(h) is the
-number of different tokens seen after h; an unseen h leaves the shorter one. The first token of a text follows the end token.
-
-The token's own cost depends on the token alone, so its model learns from distinct tokens with their counts, and scores
-each distinct token once:
-
-1. one pass over the texts gives, for chunks of documents, the chunk's distinct tokens with their training counts and
-   the documents as token numbers, and its distinct pairs and triples of tokens with theirs, by 64-bit hashes;
-2. counts are summed over the corpus; the bit tables are sums over tokens of count and so merge by addition;
-3. mixer and map learn online on the tokens of each partition, an occurrence never seeing itself (its own count is
-   taken out), and are averaged by curvature;
-4. tokens, pairs and triples get their counts over the corpus, go back to their chunks by joins, and are mixed and
-   summed over each document there.
-
-The tables have a fixed size (``SLOTS`` counters of 8 bytes), so they may be broadcast; all that grows with the corpus
-stays in distributed tables.
+tokens are counted exactly where tokens of one head (first bytes) are sorted together; a head that very many tokens share
+is lengthened until few do. The predictions' logits are combined by weights that a gate selects (how often the two
+longest contexts were seen, and for how long the beginning has had one count), learned online; an adaptive probability
+map then refines the mixed prediction. The sum over bits gives bits per byte, and log10 P(text).
+
+That is a token's own probability. Two longer contexts are mixed in, the token before and the two before, by their exact
+counts in training: P(w | h) = g count(h, w) / count(h) + (1 - g) P(w | shorter h). The weight g is chosen by a gate, the
+size of count(h), and learned over all training tokens, each left out of its own counts. An unseen h leaves the shorter
+one. The first token of a text follows the end token.
+
+1. One pass over the texts gives, for chunks of documents, the chunk's distinct tokens with their training counts, the
+   documents as token numbers, and its distinct pairs and triples of tokens, as hashes in buckets, with theirs.
+2. Counts are summed over the corpus: tokens by a group-by, pairs and triples a bucket at a time. A chunk sends each key
+   once, so frequent ones make no bucket large, and buckets are as many as the corpus needs.
+3. The bit tables are sums over tokens of count and so merge by addition; mixer and map learn online on the tokens of
+   each partition, an occurrence never seeing itself, and are averaged by curvature; each distinct token is scored once.
+4. Counts and scores go back to their chunks, are laid along the documents' tokens, and written. Gates are learned and
+   documents are scored by passes over that.
+
+The bit tables have a fixed size (``SLOTS`` counters of 8 bytes), so they may be broadcast; all that grows with the
+corpus stays in distributed tables.
 
 Defined results: null and empty texts are one end token; texts are read whole; rows repeated get equal results; a null
 id counts as the text ''; with no training tokens every known count is 0 and predictions are those of empty tables;
@@ -58,8 +57,10 @@ SLOTS = STARTS[-1]
 PIECE = 1 << 16
 #: Tokens that share so many bytes are scored together, and their common beginnings counted exactly from there on,
 HEAD = 3
-#: up to this place; further on only the hashed contexts count.
-DEEP = 48
+#: or from further on where more distinct tokens than this share a head; heads grow by doubling up to the last length.
+HOT_HEAD, LONGEST_HEAD = 200_000, 48
+#: Bytes of tokens that are compared side by side; longer common beginnings are looked at one by one.
+WIDE = 48
 PRIOR = (0.4, 0.4, 0.2, 0.1, 0.02)
 RUNS, SEEN, MIDDLE = 4, 16, 3
 GATES = RUNS * SEEN * MIDDLE
@@ -68,6 +69,10 @@ CELLS = 33
 #: Weight of the first weights against what is learned, and most that a weight moves in one step.
 STIFF, STEP = 3000.0, 0.1
 CHUNK_BYTES = 16 << 20
+#: Bytes of text for each bucket of pairs and triples, and bytes of a hash kept beside the bucket's number.
+BUCKET_BYTES, KEY_BYTES = 8 << 20, 5
+#: Gates of the longer contexts (by powers of 2 of their count), and bins of their odds against the shorter one.
+SIZES, BINS = 24, 64
 #: Distinct tokens of one training task, and least number of one online step.
 TASK_TOKENS = 1_000_000
 BATCH_TOKENS = 4_096
@@ -85,11 +90,12 @@ class Bytes:
     place: np.ndarray
     data: np.ndarray
     bases: list[np.ndarray]
+    head: np.ndarray
     ends: np.ndarray | None = None
 
     @classmethod
-    def of(cls, tokens: list[bytes], counts: np.ndarray | None = None) -> "Bytes":
-        """Of spelled tokens; with ``counts`` they are sorted, whole groups of one head."""
+    def of(cls, tokens: list[bytes], heads: np.ndarray, counts: np.ndarray | None = None) -> "Bytes":
+        """Of spelled tokens and the lengths of their heads; with ``counts`` they are sorted, whole groups of one head."""
         n = np.fromiter(map(len, tokens), np.int64, len(tokens))
         owner = np.repeat(np.arange(len(n)), n)
         first = np.cumsum(n) - n
@@ -105,25 +111,35 @@ class Bytes:
         depth = np.minimum(place, 15).astype(np.uint64)
         # a head of up to HEAD - 1 bytes is the last bytes and the place
         bases = [depth << np.uint64(8), one << np.uint64(8), scramble(two + np.uint64(1 << 40)), scramble(three + np.uint64(2 << 40)), scramble(two + (depth + np.uint64(3)) * np.uint64(1 << 40))]
-        return cls(owner, place, data, bases, None if counts is None else beginnings(tokens, n, first, counts, len(data)))
+        return cls(owner, place, data, bases, heads[owner], None if counts is None else beginnings(tokens, n, first, counts, owner, place))
 
 
-def beginnings(tokens: list[bytes], n: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+def common_bits(tokens: list[bytes]) -> np.ndarray:
+    """Bits that each token has in common with the one before it (0 for the first); tokens are sorted and different."""
+    width = min(max(map(len, tokens)), WIDE)
+    grid = np.frombuffer(b"".join([t[:width].ljust(width, b"\0") for t in tokens]), np.uint8).reshape(len(tokens), width)
+    differs = grid[1:] ^ grid[:-1]
+    at = (differs != 0).argmax(axis=1).astype(np.int64)
+    byte = differs[np.arange(len(at)), at].astype(np.int64)
+    for i in np.flatnonzero(byte == 0).tolist():  # alike for WIDE bytes
+        a, b = tokens[i], tokens[i + 1]
+        k = next((k for k in range(width, min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        at[i], byte[i] = k, (a[k] ^ b[k]) if k < min(len(a), len(b)) else 128
+    return np.concatenate([[0], 8 * at + 7 - np.floor(np.log2(np.maximum(byte, 1))).astype(np.int64)])
+
+
+def beginnings(tokens: list[bytes], n: np.ndarray, first: np.ndarray, counts: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
     """(bytes, 9): how often tokens begin with what precedes bit 0 to 7 of each byte, and with the byte itself.
 
-    The tokens are sorted, so those with a common beginning stand together; zero outside HEAD .. DEEP.
+    The tokens are sorted, so those with a common beginning stand together; zero before HEAD. Beyond the longest common
+    beginning a token is alone, and has its own count.
     """
-    out = np.zeros((size, 9), np.float32)
-    width = min(int(n.max()), DEEP) if len(n) else 0
-    if width <= HEAD:
-        return out
-    grid = np.frombuffer(b"".join([t[:width].ljust(width, b"\0") for t in tokens]), np.uint8).reshape(len(tokens), width)
-    differs = grid[1:] ^ grid[:-1]
-    at = (differs != 0).argmax(axis=1)
-    byte = differs[np.arange(len(at)), at]
-    same = np.where(byte == 0, 8 * width, 8 * at + 7 - np.floor(np.log2(np.maximum(byte, 1))).astype(np.int64))
-    same = np.concatenate([[0], same])
-    for d in range(HEAD, width):
+    if not len(tokens):
+        return np.zeros((0, 9), np.float32)
+    same = common_bits(tokens)
+    width = int(same.max()) // 8 + 1
+    out = np.where((place >= max(width, HEAD))[:, None], counts[owner][:, None], 0).astype(np.float32) * np.ones((1, 9), np.float32)
+    for d in range(HEAD, min(width, int(n.max()))):
         alive = np.flatnonzero(n > d)
         if not len(alive):
             break
@@ -147,11 +163,11 @@ def bit_slots(b: Bytes, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return ((b.data >> (7 - k)) & 1).astype(np.int64), out
 
 
-def count_bits(tokens: list[bytes], counts: np.ndarray, tables: np.ndarray) -> None:
+def count_bits(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray) -> None:
     """Add the bits of the tokens, each ``counts`` times, to tables (SLOTS, 2)."""
-    b = Bytes.of(tokens)
+    b = Bytes.of(tokens, heads)
     weight = counts[b.owner].astype(np.float64)
-    short = b.place < HEAD
+    short = b.place < b.head
     for k in range(8):
         bit, slots = bit_slots(b, k)
         for c, at in enumerate(slots):
@@ -172,7 +188,7 @@ def inputs(b: Bytes, k: int, tables: np.ndarray, unseen: bool) -> tuple[np.ndarr
         pair = tables[at]
         zero, one = pair[:, 0], pair[:, 1]
         if c == len(slots) - 1:
-            deep = b.place >= HEAD
+            deep = b.place >= b.head
             own, node = b.ends[:, k + 1], b.ends[:, k]
             one = np.where(deep, np.where(bit == 1, own, node - own), one)
             zero = np.where(deep, np.where(bit == 1, node - own, own), zero)
@@ -185,7 +201,7 @@ def inputs(b: Bytes, k: int, tables: np.ndarray, unseen: bool) -> tuple[np.ndarr
     x[:, -1] = 0.3
     # Bytes for which the count of the beginning has not changed: the longer, the surer that the token is the known one.
     total = b.ends[:, 0]
-    stays = np.concatenate([[False], total[1:] == total[:-1]]) & (b.place > HEAD) & (total > 0)
+    stays = np.concatenate([[False], total[1:] == total[:-1]]) & (b.place > b.head) & (total > 0)
     index = np.arange(len(stays))
     run = np.minimum(index - np.maximum.accumulate(np.where(stays, 0, index)), 5)
     run = np.asarray([0, 1, 2, 2, 3, 3])[run]
@@ -258,20 +274,20 @@ def in_groups(tokens: list[bytes], *columns: np.ndarray) -> tuple:
     return [spelled[i] for i in order], *(c[order] for c in columns), np.asarray(order, np.int64)
 
 
-def learn_mixer(tokens: list[bytes], counts: np.ndarray, tables: np.ndarray, mixer: Mixer) -> None:
+def learn_mixer(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray, mixer: Mixer) -> None:
     """Online pass over tokens (whole groups of one head)."""
-    tokens, counts, _ = in_groups(tokens, counts)
-    b = Bytes.of(tokens, counts)
+    tokens, heads, counts, _ = in_groups(tokens, heads, counts)
+    b = Bytes.of(tokens, heads, counts)
     weight = counts[b.owner].astype(np.float64)
     for k in range(8):
         bit, x, gate = inputs(b, k, tables, True)
         mixer.learn(x, gate, bit, weight)
 
 
-def token_scores(tokens: list[bytes], counts: np.ndarray, tables: np.ndarray, mixer: Mixer) -> np.ndarray:
+def token_scores(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray, mixer: Mixer) -> np.ndarray:
     """log10 probability of each token (whole groups of one head)."""
-    sorted_tokens, c, order = in_groups(tokens, counts)
-    b = Bytes.of(sorted_tokens, c)
+    sorted_tokens, heads, c, order = in_groups(tokens, heads, counts)
+    b = Bytes.of(sorted_tokens, heads, c)
     log = np.zeros(len(b.data))
     for k in range(8):
         bit, x, gate = inputs(b, k, tables, False)
@@ -317,28 +333,83 @@ def runs(numbers: np.ndarray, n: np.ndarray, end: int) -> tuple:
 def hashed(tokens: pa.Array, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of tokens, pairs and triples of their numbers."""
     one = pd.util.hash_array(tokens.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    return one.view(np.int64), *_combined(one, pairs, triples)
+
+
+def _combined(one: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = len(one)
     two = scramble(one[pairs // k] * np.uint64(0x9E3779B97F4A7C15) + one[pairs % k])
     three = scramble(two[triples // k] * np.uint64(0xC2B2AE3D27D4EB4F) + one[triples % k])
-    return one.view(np.int64), two.view(np.int64), three.view(np.int64)
+    return two.view(np.int64), three.view(np.int64)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes; those of 255 and more follow in 8 bytes each."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+    return out
+
 
+def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the hashes, first place of each bucket in it and the end, KEY_BYTES bytes of each hash in order)."""
+    hashes = keys.view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    starts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    rest = np.ascontiguousarray((hashes << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES))
+    return order, starts, rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
 
-def mixed(own: np.ndarray, c: np.ndarray, kinds: np.ndarray, c2: np.ndarray, kinds2: np.ndarray, c3: np.ndarray, at: tuple) -> np.ndarray:
-    """log10 probability of each token of ``runs``: own scores, counts and kinds of followers of tokens, pairs and triples."""
-    token, before, first, _, pair, _, triple = at
-    p = 10 ** own[token]
-    total = c[before] + kinds[before]
-    p = np.where(total > 0, (c2[pair] + kinds[before] * p) / np.maximum(total, 1), p)
-    context = np.concatenate([[0], pair[:-1]])
-    n, k = np.where(first, 0, c2[context]), np.where(first, 0, kinds2[context])
-    seen = np.where(first, 0, c3[triple] if len(c3) else 0)
-    return np.log10(np.where(n + k > 0, (seen + k * p) / np.maximum(n + k, 1), p))
 
+def widened(keys: bytes) -> np.ndarray:
+    out = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, out: int = 2) -> DataFrame:
-    """Rows of a chunk's tokens (kind 1), pairs (2) and triples (3) (chunk, kind, number, token, c, key, context), and documents (0) (chunk, id, held_out, numbers)."""
+
+def size_of(count: np.ndarray) -> np.ndarray:
+    """Gate of a context's count; 0: unseen."""
+    return np.where(count > 0, np.minimum(1 + np.floor(np.log2(np.maximum(count, 1))), SIZES - 1), 0).astype(np.int64)
+
+
+def mixed_in(p: np.ndarray, count: np.ndarray, context: np.ndarray, gates: np.ndarray) -> np.ndarray:
+    g = gates[size_of(context)]
+    return g * count / np.maximum(context, 1) + (1 - g) * p
+
+
+def odds_seen(p: np.ndarray, count: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """(SIZES, BINS + 1) training tokens by gate and by the odds of the longer context against ``p``, each left out of its counts.
+
+    Bin 0: the context never had the token.
+    """
+    count, context = count - 1, context - 1
+    odds = np.log2(np.maximum(count / np.maximum(context, 1), 1e-30) / p)
+    bin_ = np.where(count > 0, 1 + np.clip(np.floor(odds + 16), 0, BINS - 1), 0).astype(np.int64)
+    return np.bincount(size_of(context) * (BINS + 1) + bin_, minlength=SIZES * (BINS + 1)).reshape(SIZES, BINS + 1)
+
+
+def gates_of(seen: np.ndarray) -> np.ndarray:
+    """The weight of each gate under which its training tokens are most likely (expectation maximisation)."""
+    odds = np.concatenate([[0.0], 2.0 ** (np.arange(BINS) - 15.5)])
+    g = np.full(SIZES, 0.5)
+    for _ in range(300):
+        share = g[:, None] * odds / (g[:, None] * odds + 1 - g[:, None])
+        g = np.clip((seen * share).sum(axis=1) / np.maximum(seen.sum(axis=1), 1), 0.0, 1 - 1e-6)
+    g[0] = 0.0  # unseen
+    return g
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, out: int = 2, bits: int = 3) -> DataFrame:
+    """Rows of a chunk's documents (kind 0: id, held_out, numbers), tokens (1: number, token, c, key), and pairs and triples by bucket (2: keys and counts of each)."""
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(fold)) == out
 
+    def batch_of(size: int, chunk: int, kind: int, **columns) -> pa.RecordBatch:
+        have = {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int32)), **columns}
+        return pa.RecordBatch.from_arrays([have.get(f.name, pa.nulls(size, f.type)) for f in FIELDS], schema=pa.schema(FIELDS))
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -349,6 +420,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         def close():
             nonlocal serial, size
             table = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
             ids, holds, texts = (table.column(i).combine_chunks() for i in range(3))
             words, n = _tokenised(texts)
             coded = words.dictionary_encode()
@@ -356,27 +428,26 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             train = ~holds.to_numpy(zero_copy_only=False)
             c = np.bincount(numbers[np.repeat(train, n)], minlength=len(coded.dictionary))
             tokens = pa.concat_arrays([coded.dictionary, pa.array([END])])
-            c = np.append(c, train.sum())
+            c = np.append(c, train.sum()).astype(np.int64)
             chunk, m = task << 32 | serial, len(ids)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(numbers.astype(np.int32)))
             _, _, first, pairs, pair, triples, triple = runs(numbers, n, len(tokens) - 1)
             one, two, three = hashed(tokens, pairs, triples)
             weight = np.repeat(train, n + 1)
-            c2 = np.bincount(pair, weights=weight, minlength=len(two))
-            c3 = np.bincount(triple[~first], weights=weight[~first], minlength=len(three))
-            for kind, key, count, context in ((1, one, c, None), (2, two, c2, one[pairs // len(tokens)]), (3, three, c3, two[triples // len(tokens)])):
-                for a in range(0, len(key), 200_000):
-                    k = len(key[a : a + 200_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, chunk)), pa.array(np.full(k, kind, np.int32)), pa.array(np.arange(a, a + k, dtype=np.int32)), tokens.slice(a, k) if kind == 1 else pa.nulls(k, pa.string()), pa.array(count[a : a + k].astype(np.int64)),
-                         pa.array(key[a : a + k]), pa.nulls(k, pa.int64()) if context is None else pa.array(context[a : a + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.list_(pa.int32()))], names=NAMES
-                    )
+            blobs = []
+            for key, count in ((two, np.bincount(pair, weights=weight, minlength=len(two))), (three, np.bincount(triple[~first], weights=weight[~first], minlength=len(three)))):
+                order, starts, rest = dealt(key, bits)
+                count = count[order].astype(np.int64)
+                spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+                blobs += [[rest[a:b].tobytes() for a, b in spans], [packed(count[a:b]) for a, b in spans]]
+            buckets = [i for i in range(1 << bits) if blobs[0][i] or blobs[2][i]]
+            yield batch_of(len(buckets), chunk, 2, bucket=pa.array(buckets, pa.int32()), **{name: pa.array([blob[i] for i in buckets], pa.binary()) for name, blob in zip(("keys2", "counts2", "keys3", "counts3"), blobs, strict=True)})
+            for a in range(0, len(one), 100_000):
+                k = len(one[a : a + 100_000])
+                yield batch_of(k, chunk, 1, number=pa.array(np.arange(a, a + k, dtype=np.int32)), token=tokens.slice(a, k), c=pa.array(c[a : a + k]), key=pa.array(one[a : a + k]))
             for a in range(0, m, 2_000):
-                b = min(m, a + 2_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, chunk)), pa.array(np.zeros(b - a, np.int32)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), *(pa.nulls(b - a, pa.int64()) for _ in range(3)), ids.slice(a, b - a), holds.slice(a, b - a), lists.slice(a, b - a)], names=NAMES
-                )
-            waiting.clear()
+                k = min(m - a, 2_000)
+                yield batch_of(k, chunk, 0, id=ids.slice(a, k), held_out=holds.slice(a, k), numbers=lists.slice(a, k))
             serial, size = serial + 1, 0
 
         for batch in batches:
@@ -390,10 +461,31 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             yield from close()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return common.arrow(rows, run, "chunk bigint, kind int, number int, token string, c bigint, key bigint, context bigint, id bigint, held_out boolean, numbers array<int>")
+    return common.arrow(rows, run, "chunk bigint, kind int, number int, token string, c bigint, key bigint, id bigint, held_out boolean, numbers array<int>, bucket int, keys2 binary, counts2 binary, keys3 binary, counts3 binary")
+
+
+FIELDS = [
+    *(pa.field(n, t) for n, t in (("chunk", pa.int64()), ("kind", pa.int32()), ("number", pa.int32()), ("token", pa.string()), ("c", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()))),
+    pa.field("numbers", pa.list_(pa.field("item", pa.int32()))), pa.field("bucket", pa.int32()), *(pa.field(n, pa.binary()) for n in ("keys2", "counts2", "keys3", "counts3")),
+]
 
 
-NAMES = ["chunk", "kind", "number", "token", "c", "key", "context", "id", "held_out", "numbers"]
+def answers(rows: DataFrame) -> DataFrame:
+    """(chunk, bucket, c2, c3): counts over the corpus of the pairs and triples of ``chunks``, in the order of their keys."""
+
+    def one(table: pa.Table) -> pa.Table:
+        sums = []
+        for name in ("2", "3"):
+            keys = [widened(x) for x in table.column("keys" + name).to_pylist()]
+            n = [len(k) for k in keys]
+            counts = [unpacked(x, k) for x, k in zip(table.column("counts" + name).to_pylist(), n, strict=True)]
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+            del keys, counts
+            sums.append(pa.array([packed(total[part]) for part in np.split(at, np.cumsum(n)[:-1])], pa.binary()))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "c2": sums[0], "c3": sums[1]})
+
+    return rows.filter("kind = 2").select("chunk", "bucket", "keys2", "counts2", "keys3", "counts3").groupBy("bucket").applyInArrow(one, "chunk bigint, bucket int, c2 binary, c3 binary")
 
 
 @dataclass
@@ -407,82 +499,114 @@ class Model:
 
 
 def _collected(batches, least: int, whole: bool = False):
-    """(tokens, counts) of at least ``least`` rows a time; ``whole``: never parting the tokens of one head (third column)."""
+    """(tokens, lengths of their heads, counts) of at least ``least`` rows a time; ``whole``: never parting the tokens of one head."""
     tokens: list[bytes] = []
+    lengths: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     head = None
     for batch in batches:
         if not batch.num_rows:
             continue
         own, c = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()
-        borders = [0, len(own)]
-        if whole:
-            heads = batch.column(2).to_pylist()
-            borders = [0, *(i for i in range(1, len(own)) if heads[i] != heads[i - 1]), len(own)]
+        heads = batch.column(2).to_pylist()
+        size = np.maximum(np.fromiter(map(len, heads), np.int64, len(heads)), HEAD)
+        borders = [0, *(i for i in range(1, len(own)) if heads[i] != heads[i - 1]), len(own)] if whole else [0, len(own)]
         for a, b in zip(borders, borders[1:]):
             if len(tokens) >= least and not (whole and heads[a] == head):
-                yield tokens, np.concatenate(counts)
-                tokens, counts = [], []
+                yield tokens, np.concatenate(lengths), np.concatenate(counts)
+                tokens, lengths, counts = [], [], []
             tokens += own[a:b]
+            lengths.append(size[a:b])
             counts.append(c[a:b])
-            head = heads[a] if whole else None
+            head = heads[a]
     if tokens:
-        yield tokens, np.concatenate(counts)
+        yield tokens, np.concatenate(lengths), np.concatenate(counts)
+
+
+def by_head(counts: DataFrame) -> tuple[DataFrame, int]:
+    """((token, c, head), rows): tokens of one head together, heads in an order that has nothing to do with their bytes; written.
+
+    A head is a token's first HEAD bytes, or twice as many and so on where more than HOT_HEAD tokens share it.
+    """
+    raw = F.encode("token", "UTF-8")
+    rows = counts.count()
+    head, length = F.substring(raw, 1, HEAD), HEAD
+    while length < LONGEST_HEAD:
+        # rows / HOT_HEAD heads at most
+        hot = [r["head"] for r in counts.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_HEAD).collect()]
+        hot = [h for h in hot if len(h) == length]
+        if not hot:
+            break
+        length *= 2
+        head = F.when(head.isin(hot), F.substring(raw, 1, length)).otherwise(head)
+    out = counts.select("token", "c", head.alias("head"))
+    out = out.repartition(max(1, -(-rows // (TASK_TOKENS // 8))), "head").sortWithinPartitions(F.xxhash64("head"), "head")
+    return common.materialise(out, "lm-heads"), rows
+
+
+#: Partial sums that one task adds up, so that no task takes one from every other.
+FAN_IN = 64
 
 
-def by_head(counts: DataFrame, rows: int) -> DataFrame:
-    """(token, c, head) with the tokens of one head together, heads in an order that has nothing to do with their bytes."""
-    out = counts.select("token", "c", F.substring(F.encode("token", "UTF-8"), 1, HEAD).alias("head"))
-    return out.repartition(max(1, -(-rows // (TASK_TOKENS // 8))), "head").sortWithinPartitions(F.xxhash64("head"), "head")
+def _added(parts: DataFrame, columns: dict[str, str], key: str = "piece") -> DataFrame:
+    """Sums by ``key`` of compressed arrays (columns: name -> type of their numbers), in rounds of bounded fan-in."""
+    kinds = f"{key} int, " + ", ".join(f"{c} binary" for c in columns)
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = {c: sum(np.frombuffer(zlib.decompress(x), t) for x in table.column(c).to_pylist()) for c, t in columns.items()}
+        return pa.table({key: table.column(key).slice(0, 1).cast(pa.int32()), **{c: pa.array([zlib.compress(v.astype(columns[c]).tobytes(), 1)]) for c, v in sums.items()}})
+
+    few = parts.groupBy(key, F.pmod(F.col("task"), F.lit(FAN_IN))).applyInArrow(lambda table: add(table), kinds)
+    return few.groupBy(key).applyInArrow(lambda table: add(table), kinds)
 
 
-def fit(counts: DataFrame) -> Model:
-    """Model of (token, c); tokens with c = 0 take no part."""
-    spark = counts.sparkSession
-    counts = counts.filter("c > 0").select("token", "c")
-    rows, total = counts.agg(F.count(F.lit(1)), F.sum("c")).first()
+def fit(heads: DataFrame, rows: int) -> Model:
+    """Model of (token, c, head) from ``by_head``; tokens with c = 0 take no part."""
+    spark = heads.sparkSession
+    seen = heads.filter("c > 0")
+    known, total = seen.agg(F.count(F.lit(1)), F.sum("c")).first()
     tables = np.zeros((SLOTS, 2), np.float32)
     mixer = Mixer.new()
-    model = Model(tables, mixer, int(total or 0), int(rows), spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1)))
-    if not rows:
+    model = Model(tables, mixer, int(total or 0), int(known), spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1)))
+    if not known:
         return model
 
     def tally(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         own = np.zeros((SLOTS, 2), np.float64)
-        for tokens, c in _collected(batches, 20_000):
-            count_bits(spell(tokens), c, own)
+        for tokens, lengths, c in _collected(batches, 20_000):
+            count_bits(spell(tokens), lengths, c, own)
         for i in range(0, SLOTS, PIECE):
             part = own[i : i + PIECE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE]), pa.array([zlib.compress(part.astype("<f8").tobytes(), 1)])], names=["piece", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(zlib.decompress(x), "<f8") for x in table.column("counts").to_pylist())
-        return pa.table({"piece": table.column("piece").slice(0, 1), "counts": pa.array([zlib.compress(out.astype("<f4").tobytes(), 1)])})
+                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(part.astype("<f8").tobytes(), 1)])], names=["piece", "task", "counts"])
 
     # Few, large tasks: each sends tables of the fixed size.
-    parts = common.arrow(counts.repartition(max(6, -(-rows // TASK_TOKENS)), "token"), tally, "piece bigint, counts binary")
-    merged = parts.groupBy("piece").applyInArrow(add, "piece bigint, counts binary").toArrow()
+    parts = common.arrow(seen.coalesce(max(6, -(-rows // TASK_TOKENS))), tally, "piece int, task int, counts binary")
+    merged = _added(parts, {"counts": "<f8"}).toArrow()  # the tables' size
     for piece, data in zip(merged.column("piece").to_pylist(), merged.column("counts").to_pylist(), strict=True):
-        part = np.frombuffer(zlib.decompress(data), "<f4").reshape(-1, 2)
+        part = np.frombuffer(zlib.decompress(data), "<f8").reshape(-1, 2)
         tables[piece * PIECE : piece * PIECE + len(part)] = part
     model.shared = shared = spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1))
 
     def online(batches):
+        from pyspark import TaskContext
+
         known, own = _table(shared), Mixer.new()
         start = own.cells.copy()
-        for tokens, c in _collected(batches, BATCH_TOKENS, True):
-            learn_mixer(tokens, c.astype(np.float64), known, own)
+        for tokens, lengths, c in _collected(batches, BATCH_TOKENS, True):
+            learn_mixer(tokens, lengths, c.astype(np.float64), known, own)
         pulled = np.einsum("gij,gj->gi", own.curves, own.weights)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (own.curves, pulled, own.cells - start)], names=["curves", "pulled", "cells"])
+        out = [pa.array([zlib.compress(x.tobytes(), 1)]) for x in (own.curves, pulled, own.cells - start)]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), *out], names=["piece", "task", "curves", "pulled", "cells"])
 
     # Means of the weights by their curvature: the sums that a mean needs are sums over tasks.
-    curves, pulled = np.zeros_like(mixer.curves), np.zeros_like(mixer.weights)
-    for row in common.arrow(by_head(counts, rows), online, "curves binary, pulled binary, cells binary").toArrow().to_pylist():
-        curves += np.frombuffer(row["curves"]).reshape(curves.shape)
-        pulled += np.frombuffer(row["pulled"]).reshape(pulled.shape)
-        mixer.cells += np.frombuffer(row["cells"]).reshape(mixer.cells.shape)
-    mixer.weights = np.linalg.solve(curves, pulled[:, :, None])[:, :, 0]
+    row = _added(common.arrow(seen, online, "piece int, task int, curves binary, pulled binary, cells binary"), {c: "<f8" for c in ("curves", "pulled", "cells")}).first()
+    curves, pulled, cells = (np.frombuffer(zlib.decompress(row[c])) for c in ("curves", "pulled", "cells"))
+    mixer.cells += cells.reshape(mixer.cells.shape)
+    mixer.weights = np.linalg.solve(curves.reshape(mixer.curves.shape), pulled.reshape(*mixer.weights.shape, 1))[:, :, 0]
     return model
 
 
@@ -491,65 +615,130 @@ def _table(shared) -> np.ndarray:
     return common.kept(f"tables {zlib.crc32(shared.value)}", lambda: np.frombuffer(zlib.decompress(shared.value), np.float32).reshape(SLOTS, 2))
 
 
-def score_tokens(counts: DataFrame, model: Model) -> DataFrame:
-    """(token, c, score) of (token, c)."""
+def score_tokens(heads: DataFrame, model: Model) -> DataFrame:
+    """(token, c, score) of ``by_head``."""
     mixer, shared = model.mixer, model.shared
 
     def run(batches):
         known = _table(shared)
-        for tokens, c in _collected(batches, BATCH_TOKENS, True):
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(c), pa.array(token_scores(tokens, c.astype(np.float64), known, mixer))], names=["token", "c", "score"])
+        for tokens, lengths, c in _collected(batches, BATCH_TOKENS, True):
+            found = token_scores(tokens, lengths, c.astype(np.float64), known, mixer)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(c), pa.array(found.astype(np.float32))], names=["token", "c", "score"])
 
-    return common.arrow(by_head(counts, counts.count()), run, "token string, c bigint, score double")
+    return common.arrow(heads, run, "token string, c bigint, score float")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document."""
-    ship(docs.sparkSession)
-    rows = common.materialise(chunks(docs, id_col, text_col), "lm-chunks")
-    words = rows.filter("kind = 1").select("chunk", "number", "token", "c", "key")
-    counts = common.materialise(words.groupBy("token").agg(F.sum("c").alias("c")), "lm-counts")
-    model = fit(counts)
-    scored = common.materialise(score_tokens(counts, model), "lm-scored")
-    long = lambda kind: rows.filter(F.col("kind") == kind).select("chunk", "number", "c", "key", "context")
-    known = {k: common.materialise(long(k).filter("c > 0").groupBy("key").agg(F.sum("c").alias("c"), F.first("context").alias("context")), f"lm-runs-{k}") for k in (2, 3)}
-    kinds = {k: known[k + 1].groupBy("context").agg(F.count("*").alias("kinds")) for k in (1, 2)}
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
-    back = words.select(F.col("chunk").alias("part"), "number", "token", "key").join(scored, "token").join(kinds[1], F.col("key") == F.col("context"), "left")
-    back = back.select("part", F.lit(1).alias("kind"), "number", zero("c"), "score", (F.octet_length("token") + F.when(F.col("token") == END, 0).otherwise(1)).cast("int").alias("size"), zero("kinds"))
-    none = (F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("size"))
-    seen = known[2].select("key", "c").join(kinds[2].withColumnRenamed("context", "key"), "key", "left")
-    for k, counted in ((2, seen), (3, known[3].select("key", "c", F.lit(0).alias("kinds")))):
-        own = long(k).select(F.col("chunk").alias("part"), "number", "key")
-        back = back.union(own.join(counted, "key", "left").select("part", F.lit(k), "number", zero("c"), *none, zero("kinds")))
+ALONG = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, own binary, c1 binary, c2 binary, c3 binary"
+
+
+def along(rows: DataFrame, scored: DataFrame, floor: float, bits: int) -> DataFrame:
+    """Each document with its tokens' own scores and the counts of the token before, the pair and the triple that each ends."""
+    found = answers(rows)
+    nothing = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
+    words = rows.filter("kind = 1").select("chunk", "number", "token", "key").join(scored, "token")
+    size = (F.octet_length("token") + F.when(F.col("token") == END, 0).otherwise(1)).cast("int")
+    back = words.select(F.col("chunk").alias("part"), "number", "key", "c", "score", size.alias("size"), *nothing("binary", "binary"))
+    back = back.union(found.select("chunk", "bucket", *nothing("bigint", "bigint", "float", "int"), "c2", "c3"))
+    back = back.toDF("part", "number", "key", "c", "score", "size", "c2", "c3")
     texts = rows.filter("kind = 0").select(F.col("chunk").alias("piece"), "id", "held_out", "numbers")
-    total, distinct = model.train_tokens, model.distinct
-    floor = math.log10(total + distinct + 1)
-
-    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = {}
-        for kind in (1, 2, 3):
-            part = right.filter(pa.compute.equal(right.column("kind"), kind))
-            order = np.argsort(part.column("number").to_numpy())
-            parts[kind] = [part.column(k).to_numpy()[order] for k in ("c", "kinds")]
-            if kind == 1:
-                s, size = (part.column(k).to_numpy()[order] for k in ("score", "size"))
-        c = parts[1][0]
-        base = np.log10(c + 1.0) - floor
+
+    def lay(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens = right.filter(pa.compute.is_valid(right.column("key")))
+        blobs = right.filter(pa.compute.is_null(right.column("key"))).sort_by("number")
+        order = np.argsort(tokens.column("number").to_numpy())
+        key, c, own, size = (tokens.column(k).to_numpy()[order] for k in ("key", "c", "score", "size"))
         lists = left.column("numbers").combine_chunks()
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        n = np.diff(offsets)
-        owner = np.repeat(np.arange(len(n)), n)
-        add = lambda x: np.bincount(owner, weights=x[flat], minlength=len(n)) + x[-1]  # noqa: E731  the end token is the last
-        n_bytes = add(size.astype(np.float64))
-        at = runs(flat, n, len(c) - 1)
-        # the two longer contexts mix into the token's own score
-        score = np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=mixed(s, *parts[1], *parts[2], parts[3][0], at), minlength=len(n))
+        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
+        n = np.diff(offsets - offsets[0])
+        token, before, first, pairs, pair, triples, triple = runs(flat, n, len(c) - 1)
+        two, three = _combined(key.view(np.uint64), pairs, triples)
+        counts = []
+        for name, keys in (("c2", two), ("c3", three)):
+            turn, starts, _ = dealt(keys, bits)
+            sizes = np.diff(starts)
+            parts = dict(zip(blobs.column("number").to_pylist(), blobs.column(name).to_pylist(), strict=True))
+            held = [unpacked(parts[i], int(sizes[i])) for i in np.flatnonzero(sizes).tolist()]
+            total = np.zeros(len(keys), np.int64)
+            if held:
+                total[turn] = np.concatenate(held)
+            counts.append(total)
+        c2 = counts[0][pair]
+        c3 = np.where(first, 0, counts[1][triple] if len(counts[1]) else 0)
+        ends = np.cumsum(n + 1)
+        starts = ends - n - 1
+        add = lambda x: np.add.reduceat(x, starts)
+        cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+        log = np.log10(c + 1.0) - floor
         return pa.table({
-            "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n.astype(np.int64) + 1), "n_known": pa.array(add((c > 0).astype(np.float64)).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(n), total)), "base_score": pa.array(add(base)), "score": pa.array(score), "n_bytes": pa.array(n_bytes.astype(np.int64)), "bits_per_byte": pa.array(-score / math.log10(2) / n_bytes),
+            "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array((n + 1).astype(np.int64)), "n_known": pa.array(add((c > 0)[token].astype(np.int64))),
+            "base_score": pa.array(add(log[token])), "n_bytes": pa.array(add(size[token].astype(np.int64))), "own": cut(own[token], "<f4"), "c1": cut(c[before], "<i8"), "c2": cut(c2, "<i4"), "c3": cut(c3, "<i4"),
         })
 
-    out = texts.groupBy("piece").cogroup(back.groupBy("part")).applyInArrow(sums, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
+    return texts.groupBy("piece").cogroup(back.groupBy("part")).applyInArrow(lay, ALONG)
+
+
+def _probabilities(batch: pa.RecordBatch, gates: list[np.ndarray]):
+    """(rows' borders, counts of the context and of what follows for each order, probabilities with the first ``gates`` orders mixed in)."""
+    own, c1, c2, c3 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("own", "<f4"), ("c1", "<i8"), ("c2", "<i4"), ("c3", "<i4")))
+    n = batch.column("n_tokens").to_numpy()
+    borders = np.concatenate([[0], np.cumsum(n)])
+    context = np.concatenate([[0], c2[:-1]]).astype(np.int64)
+    context[borders[:-1]] = 0  # no two tokens before a text's first
+    orders = [(c2, c1), (c3, context)]
+    p = 10.0 ** own.astype(np.float64)
+    for (count, context), g in zip(orders, gates):
+        p = mixed_in(p, count, context, g)
+    return borders, orders, p
+
+
+def learned_gates(laid: DataFrame) -> list[np.ndarray]:
+    """Gates of the longer contexts, one order after the other, over all training tokens."""
+    gates: list[np.ndarray] = []
+    for order in range(2):
+
+        def run(batches, order=order):
+            seen = np.zeros((SIZES, BINS + 1), np.int64)
+            for batch in batches:
+                train = batch.filter(pa.compute.invert(batch.column("held_out")))
+                for a in range(0, train.num_rows, 500):
+                    _, orders, p = _probabilities(train.slice(a, 500), gates)
+                    count, context = orders[order]
+                    some = context > 0
+                    seen += odds_seen(p[some], count[some], context[some])
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["cell", "n"])
+
+        seen = np.zeros(SIZES * (BINS + 1))
+        for cell, n in common.arrow(laid, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # SIZES * (BINS + 1) at most
+            seen[cell] = n
+        gates.append(gates_of(seen.reshape(SIZES, BINS + 1)))
+    return gates
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document."""
+    ship(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
+    bits = max(3, (max(1, -(-size // BUCKET_BYTES)) - 1).bit_length())
+    rows = common.materialise(chunks(docs, id_col, text_col, bits=bits), "lm-chunks")
+    heads, distinct = by_head(rows.filter("kind = 1").groupBy("token").agg(F.sum("c").alias("c")))
+    model = fit(heads, distinct)
+    scored = common.materialise(score_tokens(heads, model), "lm-scored")
+    total = model.train_tokens
+    laid = common.materialise(along(rows, scored, math.log10(total + model.distinct + 1), bits), "lm-along")
+    gates = learned_gates(laid)
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                borders, _, p = _probabilities(part, gates)
+                score = np.add.reduceat(np.log10(p), borders[:-1])
+                n_bytes = part.column("n_bytes").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(score), total, np.int64)), part.column("base_score"), pa.array(score), part.column("n_bytes"), pa.array(-score / math.log10(2) / n_bytes)],
+                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
+                )
+
+    out = common.arrow(laid, run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
     return out.withColumnRenamed("id", id_col)

@@ -162,15 +162,16 @@ def test_lm_is_a_distribution_and_learns(spark):
     words = [f"{a}{b}{c}".encode() for a in "abcde" for b in "fghij" for c in "klm"] + [b"\n"]
     counts = np.linspace(1, 400, len(words)).round()
     tables = np.zeros((lmscore.SLOTS, 2))
-    lmscore.count_bits(lmscore.spell(words), counts, tables)
+    heads = np.full(len(words), lmscore.HEAD)
+    lmscore.count_bits(lmscore.spell(words), heads, counts, tables)
     tables, mixer = tables.astype(np.float32), lmscore.Mixer.new()
     for _ in range(5):
-        lmscore.learn_mixer(words, counts, tables, mixer)
-    s = lmscore.token_scores(words, counts, tables, mixer)
+        lmscore.learn_mixer(words, heads, counts, tables, mixer)
+    s = lmscore.token_scores(words, heads, counts, tables, mixer)
     assert 0.9 < (10**s).sum() <= 1 + 1e-9
     entropy = (counts * np.log10(counts / counts.sum())).sum()
     assert (counts * s).sum() > 1.1 * entropy
-    assert np.allclose(lmscore.token_scores(words[::-1], counts[::-1], tables, mixer)[::-1], s)
+    assert np.allclose(lmscore.token_scores(words[::-1], heads, counts[::-1], tables, mixer)[::-1], s)
 
 
 def test_lm_uses_the_words_before(spark, small):
@@ -189,18 +190,59 @@ def test_lm_uses_the_words_before(spark, small):
         one.update(t)
         two.update(zip(["\n", *t[:-1]], t))
         three.update(zip(["\n", *t[:-2]], t[:-1], t[1:]))
-    kinds2, kinds3 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
     counts = spark.createDataFrame(list(one.items()), "token string, c bigint")
-    own = {x.token: 10**x.score for x in lmscore.score_tokens(counts, lmscore.fit(counts)).collect()}
-    for i in fold[:3] + fold[30:33]:
-        t, want = plain[i].split() + ["\n"], 0.0
+    heads, n = lmscore.by_head(counts)
+    own = {x.token: 10.0**x.score for x in lmscore.score_tokens(heads, lmscore.fit(heads, n)).collect()}
+
+    def orders(t):
+        """(token's own probability, ((count, context's count) of the pair, of the triple)) along a text."""
         for j, w in enumerate(t):
             h = t[j - 1] if j else "\n"
-            p = (two[h, w] + kinds2[h] * own[w]) / (one[h] + kinds2[h])
-            if j and (g := (t[j - 2] if j > 1 else "\n", h)) in kinds3:
-                p = (three[(*g, w)] + kinds3[g] * p) / (two[g] + kinds3[g])
+            g = (t[j - 2] if j > 1 else "\n", h)
+            yield own[w], ((two[h, w], one[h]), (three[(*g, w)], two[g]) if j else (0, 0))
+
+    gates = []
+    for k in range(2):
+        seen = np.zeros((lmscore.SIZES, lmscore.BINS + 1))
+        for t in train:
+            for p, o in orders(t):
+                for (c, n), gate in zip(o, gates):
+                    p = float(lmscore.mixed_in(np.array(p), np.array(c), np.array(n), gate))
+                c, n = o[k]
+                if n:
+                    odds = math.log2(max((c - 1) / max(n - 1, 1), 1e-30) / p)
+                    seen[int(math.log2(n - 1)) + 1 if n > 1 else 0, 1 + min(max(math.floor(odds + 16), 0), lmscore.BINS - 1) if c > 1 else 0] += 1
+        gates.append(lmscore.gates_of(seen))
+    for i in fold[:3] + fold[30:33]:
+        want = 0.0
+        for p, o in orders(plain[i].split() + ["\n"]):
+            for (c, n), gate in zip(o, gates):
+                g = gate[int(math.log2(n)) + 1 if n else 0]
+                p = g * c / max(n, 1) + (1 - g) * p
             want += math.log10(p)
-        assert got[i].score == pytest.approx(want)
+        assert got[i].score == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_beats_the_base_on_held_out_text(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    held = [r for r in lmscore.score(docs).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_heads_and_long_tokens(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    tokens = sorted({"http://example.org/" + "".join(r.choice(list("abcdef"), 3)) for _ in range(300)} | {"a", "ab", "z" * 400 + "x", "z" * 400 + "y", "q" * 5000} | {f"w{i}" for i in range(50)})
+    counts = spark.createDataFrame([(t, int(i % 9)) for i, t in enumerate(tokens)], "token string, c bigint")
+    monkeypatch.setattr(lmscore, "HOT_HEAD", 100)
+    heads, n = lmscore.by_head(counts)
+    found = {x.token: bytes(x.head) for x in heads.collect()}
+    assert n == len(tokens) == len(found) and all(t.encode().startswith(h) for t, h in found.items())
+    assert max(Counter(found.values()).values()) <= 100 and found["ab"] == b"ab" and found["w1"] == b"w1"
+    got = {x.token: x.score for x in lmscore.score_tokens(heads, lmscore.fit(heads, n)).collect()}
+    assert set(got) == set(tokens) and all(v < 0 for v in got.values())
+    assert lmscore.common_bits([b"abc ", b"abd ", b"abd" + b"e" * 60 + b" ", b"abd" + b"e" * 60 + b"f "]).tolist() == [0, 21, 25, 8 * 63 + 1]
+    for values in ([0, 1, 254, 255, 256, 70_000, 3], []):
+        assert lmscore.unpacked(lmscore.packed(np.array(values, np.int64)), len(values)).tolist() == values
 
 
 # --- decontamination

@@ -40,4 +40,4 @@ def sql_query(name: str, *sources: str):
     return keep
 
 
-from . import diagnostics, evaluation, models, reports, spatial  # noqa: E402, F401
+from . import diagnostics, evaluation, inventory, models, reports, spatial  # noqa: E402, F401

@@ -101,10 +101,15 @@ def align(products: dict[str, DataFrame], reference: DataFrame) -> DataFrame:
 
 
 def era5_hours(raw: DataFrame, ids: DataFrame, variables: list[str], offset_hours: int = UTC_SHIFT_HOURS) -> tuple[DataFrame, DataFrame]:
-    """(rows at local labels, quality counts): of rows repeated at one UTC hour the first counts; unknown stations and part hours are left out."""
-    known = F.broadcast(ids.select("station_id").withColumn("__known", F.lit(True)))
-    x = raw.join(known, "station_id", "left").withColumn("__row", F.monotonically_increasing_id())
-    x = x.withColumn("__rn", F.row_number().over(Window.partitionBy("station_id", "time_utc").orderBy("__row")))
+    """(rows at local labels, quality counts): unknown stations and part hours are left out.
+
+    Of rows repeated at one UTC hour the first counts: by source_file and source_row where the rows say where they stood, else
+    by their values, so the choice doesn't hang on how files are split.
+    """
+    known = ids.select("station_id").distinct().withColumn("__known", F.lit(True))
+    order = [c for c in ("source_file", "source_row") if c in raw.columns] or sorted(variables)
+    x = raw.join(known, "station_id", "left")
+    x = x.withColumn("__rn", F.row_number().over(Window.partitionBy("station_id", "time_utc").orderBy(*order)))
     part = (F.minute("time_utc") != 0) | (F.second("time_utc") != 0)
     finite = [F.col(v).isNotNull() & ~F.isnan(v) for v in variables]
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))

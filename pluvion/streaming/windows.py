@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,8 +38,15 @@ def rain_events(hours: DataFrame, wet: float = 0.1, gap: str = "3 hours", delay:
     )
 
 
-def first_of_each(rows: DataFrame, keys: list[str], time: str = "time", delay: str = "1 hour") -> DataFrame:
-    """The first row that comes for each key within the watermark."""
+def first_of_each(rows: DataFrame, keys: list[str], time: str = "time", delay: str = "1 hour", order: list[str] | None = None) -> DataFrame:
+    """A stream's first row that comes for each key within the watermark; of a batch, the first by ``order`` (then by time)."""
     if rows.isStreaming:
         return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    return rows.dropDuplicates(keys)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or []), time, *(c for c in rows.columns if c not in keys and c != time)))
+    return rows.withColumn("__first", first).filter("__first = 1").drop("__first")
+
+
+def whole_blocks(hours: DataFrame, width: int, delay: str = "1 day") -> DataFrame:
+    """Sums of blocks of ``width`` hours (1, 3, 24 ...) by station; NULL where an hour is missing."""
+    out = hours.withWatermark("time", delay).groupBy("station_id", F.window("time", f"{width} hours").alias("w")).agg(F.count("value").alias("known"), F.sum("value").alias("sum"))
+    return out.select("station_id", F.col("w.start").alias("start"), F.when(F.col("known") == width, F.col("sum")).alias("total"), "known")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -37,6 +38,12 @@ def give_back() -> None:
         pass
 
 
+def settle() -> None:
+    """Give back what the driver no longer needs after a fit: arrays that waited for the collector, and freed memory."""
+    gc.collect()
+    give_back()
+
+
 #: Rows of a batch that a worker's function sees; texts may be long (Spark bounds a batch's bytes besides).
 BATCH_ROWS = 2_000
 

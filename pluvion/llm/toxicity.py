@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
     lists = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("features")]
     model = fit_features(lists, np.asarray(got.column("toxic").to_pylist(), bool), most_features)
     del got, lists
-    pa.default_memory_pool().release_unused()
+    common.settle()
     return model
 
 
@@ -191,11 +191,12 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject: floa
         weights = model.weights
         cache = common.Cache(lambda word: tuple(f for f in features_of_word(word) if f in weights))
         for batch in batches:
-            keep = []
-            for t in batch.column(at).to_pylist():
-                found = _features(set(common.words_of(t)), cache)
-                keep.append(bool(model.above(sum(weights[f] for f in sorted(found)))[0] < reject))
-            cache.trim()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for a, b in slices(batch.column(at)):
+                part, keep = batch.slice(a, b - a), []
+                for t in part.column(at).to_pylist():
+                    found = _features(set(common.words_of(t)), cache)
+                    keep.append(bool(model.above(sum(weights[f] for f in sorted(found)))[0] < reject))
+                cache.trim()
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return common.arrow(docs, run, docs.schema)

@@ -433,7 +433,8 @@ def quantile_mapped(rows: DataFrame, value: str, bins: int = 100) -> DataFrame:
         return rows.withColumn("mapped", F.lit(None).cast("double")).limit(0)
     joined = rows.join(table, "fold")
     # the first quantile not below the value, and the one before it
-    place = F.greatest(F.lit(1), F.least(F.lit(bins), F.coalesce(F.array_position(F.transform("q_value", lambda q: q >= F.col(value)), True) - 1, F.lit(bins))).cast("int"))
+    first = F.array_position(F.transform("q_value", lambda q: q >= F.col(value)), True)  # 0: above all
+    place = F.when(first == 0, bins).otherwise(F.greatest(first - 1, F.lit(1))).cast("int")
     out = joined.withColumn("__k", place)
     low, high = F.col("q_value")[F.col("__k") - 1], F.col("q_value")[F.col("__k")]
     share = F.when(high > low, F.least(F.greatest((F.col(value) - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(1.0))

@@ -202,7 +202,7 @@ class Descent:
         if not new:
             return
         found = scan(predict(self.rows, self.groups, "mgwr", [Candidate(c, self.kernel, self.adaptive) for c in new], loo=True), (1.0,))
-        total = found.groupBy("candidate").agg(F.sqrt(F.sum(F.col("n") * F.col("rmse") * F.col("rmse")) / F.sum("n")).alias("rmse"), (F.sum(F.col("n") * F.col("mae")) / F.sum("n")).alias("mae"), F.avg("coverage").alias("coverage"))
+        total = found.groupBy("candidate").agg(F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("rmse") * F.col("rmse")), F.sum("n"))).alias("rmse"), F.try_divide(F.sum(F.col("n") * F.col("mae")), F.sum("n")).alias("mae"), F.avg("coverage").alias("coverage"))
         got = {r["candidate"]: (r["rmse"], r["mae"], r["coverage"]) for r in total.collect()}  # a row a combination
         for i, c in enumerate(new):
             rmse, mae, coverage = got.get(i, (None, None, 0.0))

@@ -263,16 +263,6 @@ def blend_banded(d):
     )
 
 
-@sql_query("quantile_map", "events")
-def quantile_map(d):
-    """Product values replaced by the observation of the same rank share."""
-    return _panel(
-        d, f"x AS (SELECT station_id, t, obs, a FROM panel WHERE obs IS NOT NULL AND a IS NOT NULL)",
-        "o AS (SELECT obs, row_number() OVER (ORDER BY obs, station_id, t) AS rn FROM x)", "p AS (SELECT station_id, t, a, row_number() OVER (ORDER BY a, station_id, t) AS rn FROM x)",
-        select="SELECT p.station_id, p.t, round(p.a, 6) AS a, round(o.obs, 6) AS mapped FROM p JOIN o ON p.rn = o.rn",
-    )
-
-
 @sql_query("stack_features", "events")
 def stack_features(d):
     return A.sql(A.stations(), A.hours(d), f"f AS (SELECT station_id, h, a, b, c, {T.shifted('a', 1, 'a_before')}, {T.shifted('a', -1, 'a_after')}, {T.shifted('b', 1, 'b_before')}, {T.shifted('b', -1, 'b_after')} FROM hours)", select="SELECT station_id, h, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(a_before, 6) AS a_before, round(a_after, 6) AS a_after, round(b_before, 6) AS b_before, round(b_after, 6) AS b_after FROM f")

@@ -87,6 +87,8 @@ def merged(data: bytes) -> tuple[pd.DataFrame, float, float]:
 
 HOURS = "station_id string, station_lon double, station_lat double, grid_lon double, grid_lat double, time_utc timestamp, d2m double, t2m double, sp double, u10 double, v10 double"
 
+HOUR_FIELDS = pa.schema([("station_id", pa.string()), *((c, pa.float64()) for c in ("station_lon", "station_lat", "grid_lon", "grid_lat")), ("time_utc", pa.timestamp("us", "UTC")), *((v, pa.float64()) for v in VARIABLES)])
+
 
 def archive_hours(spark: SparkSession, folder: str, stations: DataFrame, first: str = "2022-01-01 00:00:00", last: str = "2024-12-31 23:00:00") -> DataFrame:
     """Raw hours of ``folder/<station>/*.zip``: exactly one archive a station and every hour from first to last, else the job stops."""
@@ -107,7 +109,7 @@ def archive_hours(spark: SparkSession, folder: str, stations: DataFrame, first:
                 out = pd.DataFrame({"station_id": r["station_id"], "station_lon": r["lon"], "station_lat": r["lat"], "grid_lon": lon, "grid_lat": lat, "time_utc": time.dt.tz_localize("UTC")})
                 for v in VARIABLES:
                     out[v] = hours[v].astype(float)
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(out, HOUR_FIELDS, preserve_index=False)
 
     ship(spark)
     return rows.filter("fault IS NULL").select("station_id", "lon", "lat", "content").mapInArrow(run, HOURS)
@@ -263,7 +265,7 @@ def image_points(files: DataFrame, stations: DataFrame, reader=npz_reader) -> Da
                 except (ValueError, KeyError, OSError, zipfile.BadZipFile):
                     found = {"unreadable": np.full(len(network), np.nan)}
                 for mode, values in found.items():
-                    out = pd.DataFrame({"path": r["path"], "station_id": network["station_id"].astype(str), "value": values, "mode": mode})
+                    out = pd.DataFrame({"path": r["path"], "station_id": network["station_id"].astype(str), "value": np.asarray(values, float), "mode": mode})
                     yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     ship(files.sparkSession)

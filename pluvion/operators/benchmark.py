@@ -440,3 +440,41 @@ def quantile_mapped(rows: DataFrame, value: str, bins: int = 100) -> DataFrame:
     share = F.when(high > low, F.least(F.greatest((F.col(value) - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(1.0))
     mapped = F.col("q_obs")[F.col("__k") - 1] + share * (F.col("q_obs")[F.col("__k")] - F.col("q_obs")[F.col("__k") - 1])
     return out.withColumn("mapped", F.when(F.col(value).isNotNull(), mapped)).drop("__k", "q_value", "q_obs")
+
+
+def kernel_runs(panel: DataFrame, stations: DataFrame, config: Config, kernels: tuple[str, ...], method: str = "residual_gwr") -> DataFrame:
+    """(kernel, held, n, rmse, mae, coverage): held-out scores of one method under each kernel, tuned by itself, and under "nested", the kernel that the inner folds choose."""
+    from dataclasses import replace
+
+    name, residual = ("gwr", True) if method == "residual_gwr" else (method, method in RESIDUAL and method != "gwr")
+    places = materialise(split(stations, config), "kernel-split")
+    cells = panel.join(places, "station_id").select("held", "fold", "inner", "station_id", "lon", "lat", "t", "obs", "product")
+    out = []
+    for label, some in (*((k, (k,)) for k in kernels), ("nested", kernels)):
+        options = grid(replace(config, kernels=some), name)
+        pick = chosen(scores(tried(cells, name, options, residual, True), "held", "candidate"), config.least_coverage, "held").select("held", "candidate")
+        held = tried(cells, name, options, residual, False).join(pick, ["held", "candidate"])
+        out.append(scores(held, "held").drop("failed").withColumn("kernel", F.lit(label)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def terrain_by_fold(stations: pd.DataFrame, response: str, groups: dict[str, list[str]], rules) -> pd.DataFrame:
+    """Terrain screen of all stations (fold 0) and without each fold's: what a fold's model may use. stations: (fold, ...)."""
+    from . import selection as N
+
+    parts = [N.stamped(N.terrain_screen(stations, response, groups, rules), fold=0)]
+    parts += [N.stamped(N.terrain_screen(stations[stations["fold"] != f], response, groups, rules), fold=int(f)) for f in sorted(stations["fold"].unique())]
+    return pd.concat(parts, ignore_index=True)
+
+
+def terrain_widths(place: np.ndarray, y: np.ndarray, groups: list[np.ndarray], fixed: np.ndarray, grid_: list[int], sweeps: int = 5) -> tuple[tuple, bool]:
+    """Neighbour counts of a mixed (one group) or multiscale model by the self-excluding fit's error."""
+
+    def score(new):
+        found = {}
+        for c in new:
+            fit = G.damped(y, place, groups, fixed, place, groups, fixed, [min(b, len(y) - 1) for b in c], loo=True)
+            found[c] = float(np.sqrt(np.mean((y - fit) ** 2))) if np.isfinite(fit).all() else math.inf
+        return found
+
+    return coordinate_descent(score, grid_, len(groups), sweeps)

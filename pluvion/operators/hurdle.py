@@ -208,3 +208,13 @@ def predict(fitted: Fitted, cells: DataFrame, leave_out: bool = False) -> DataFr
     rows = check_places(cells).select(F.col("station_id").cast("bigint").alias("target"), "lon", "lat", "ts", "product", month.alias("month"), model.category(F.col("product")).alias("category"), features.alias("features"))
     out = rows.groupBy("target").applyInPandas(one, PREDICTION)
     return out.select("target", "ts", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("corrected", "wet_chance", "amount")), "effective_stations", "whole_network", "code")
+
+
+def scan(cells: DataFrame, models: list[Hurdle]) -> DataFrame:
+    """(candidate, n, rmse, mae, coverage) of each model, every station left out of its own neighbours; cells as in ``fit``."""
+    from functools import reduce
+
+    truth = cells.select(F.col("station_id").cast("bigint").alias("target"), "ts", "obs", "product").filter("obs IS NOT NULL AND product IS NOT NULL")
+    parts = [predict(fit(cells, m), cells, leave_out=True).select("target", "ts", "corrected").withColumn("candidate", F.lit(i)) for i, m in enumerate(models)]
+    e = F.col("corrected") - F.col("obs")
+    return reduce(DataFrame.unionByName, parts).join(truth, ["target", "ts"]).groupBy("candidate").agg(F.count("corrected").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (F.count("corrected") / F.count(F.lit(1))).alias("coverage"))

@@ -190,3 +190,49 @@ def test_terrain_screen():
     s["r"] = 3 * s["elevation"] + s["aspect_sin"] + 0.1 * R.normal(size=n)
     out = N.terrain_screen(s, "r", {"elevation": ["elevation"], "slope": ["slope"], "aspect": ["aspect_sin", "aspect_cos"], "flat": ["flat"]}, N.Rules(shuffles=199)).set_index("group")
     assert out["kept"].to_dict() == {"elevation": True, "slope": False, "aspect": True, "flat": False} and out.loc["flat", "failed"]
+
+
+def test_paired_rows_and_event_skill(spark):
+    from pluvion.operators import models as M
+
+    n = 400
+    rows = pd.DataFrame({"stratum": np.where(np.arange(n) % 2, "x", "y"), "day": np.arange(n) // 10, "obs": R.random(n)})
+    rows["good"], rows["bad"], rows["worse"] = rows["obs"] + 0.05 * R.normal(size=n), rows["obs"] + 0.5 * R.normal(size=n), rows["obs"] + R.normal(size=n)
+    out = M.paired_rows(spark.createDataFrame(rows), ["good"], ["bad", "worse"], reps=300).toPandas()
+    assert len(out) == 4 and (out["low"] > 0).all() and (out["holm"] >= out["p"]).all()
+    r = rows[rows["stratum"] == "x"]
+    rmse = lambda c: np.sqrt(((r[c] - r["obs"]) ** 2).mean())
+    got = out[(out["stratum"] == "x") & (out["baseline"] == "bad")]["delta"].iloc[0]
+    assert got == pytest.approx(rmse("bad") - rmse("good"), abs=1e-5)
+    assert M.holm(np.array([0.01, 0.04, 0.03])).tolist() == pytest.approx([0.03, 0.06, 0.06])
+    daily = spark.createDataFrame([("k", d, 1, 3, 2, 3, 1, 1) for d in range(20)], "k string, day int, hits_a int, misses_a int, false_a int, hits_b int, misses_b int, false_b int")
+    row = M.bootstrap_events(daily, "k", "csi", 200).first()
+    assert row.delta == pytest.approx(3 / 5 - 1 / 6, abs=1e-6) and row.low == pytest.approx(row.high) and row.p == 0.0
+
+
+def test_kernels_terrain_and_provenance(spark, cells, tmp_path):
+    from pluvion.sources import sinks
+
+    config = B.Config(adaptive=(12, 16), fixed=(), least_coverage=0.2)
+    out = B.kernel_runs(cells.select("station_id", "t", "obs", "product"), spark.createDataFrame(PLACE), config, ("bisquare", "gaussian")).toPandas()
+    assert set(out["kernel"]) == {"bisquare", "gaussian", "nested"} and len(out) == 15
+    place = PLACE[["lon", "lat"]].to_numpy()
+    x = R.random(N_STATIONS)
+    widths, settled = B.terrain_widths(place, 1 + 2 * x, [np.ones((N_STATIONS, 1)), x[:, None]], np.zeros((N_STATIONS, 0)), [10, 20], 2)
+    assert len(widths) == 2
+    s = PLACE.assign(e=x, r=3 * x + 0.01 * R.normal(size=N_STATIONS))
+    by = B.terrain_by_fold(s, "r", {"e": ["e"]}, N.Rules(shuffles=99))
+    assert by["fold"].tolist() == [0, 1, 2, 3, 4, 5] and by["kept"].all()
+    (tmp_path / "a.csv").write_text("x")
+    rows = {r.item: r.value for r in sinks.provenance(spark, {"k": 1}, {"a": str(tmp_path / "a.csv")}, None).collect()}
+    assert rows["setting:k"] == "1" and len(rows["sha256:a"]) == 64 and rows["commit"] == "unknown"
+    assert sinks.write_tables({"t": spark.createDataFrame(s.head(2))}, str(tmp_path / "o")) == [f"{tmp_path}/o/t"] and spark.read.csv(str(tmp_path / "o" / "t"), header=True).count() == 2
+
+
+def test_hurdle_scan(spark, panel):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(panel[["station_id", "lon", "lat", "t", "obs", "product"]]).withColumn("obs", F.when(~F.isnan("obs"), F.col("obs"))).withColumn("ts", F.timestamp_seconds(F.col("t") * 3600))
+    models = [H.Hurdle(bandwidth=H.AdaptiveBandwidth(k), annual=False, diurnal=False, least_samples=20, least_stations=3) for k in (8, 20)]
+    out = H.scan(rows, models).toPandas()
+    assert sorted(out["candidate"]) == [0, 1] and (out["coverage"] > 0.9).all()

@@ -44,6 +44,22 @@ def settle() -> None:
     give_back()
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialise`` with a stronger compression, and the path, for what ``freed`` is to delete."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def freed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that are used up, and let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    spark._jvm.System.gc()
+
+
 #: Rows of a batch that a worker's function sees; texts may be long (Spark bounds a batch's bytes besides).
 BATCH_ROWS = 2_000
 

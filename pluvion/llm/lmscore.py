@@ -13,14 +13,14 @@ counts in training: P(w | h) = g count(h, w) / count(h) + (1 - g) P(w | shorter
 size of count(h), and learned over all training tokens, each left out of its own counts. An unseen h leaves the shorter
 one. The first token of a text follows the end token.
 
-1. One pass over the texts gives, for chunks of documents, the chunk's distinct tokens with their training counts, the
-   documents as token numbers, and its distinct pairs and triples of tokens, as hashes in buckets, with theirs.
-2. Counts are summed over the corpus: tokens by a group-by, pairs and triples a bucket at a time. A chunk sends each key
-   once, so frequent ones make no bucket large, and buckets are as many as the corpus needs.
+1. One pass over the texts writes, for each chunk of documents, a file of the documents as token numbers, and gives its
+   distinct tokens, pairs and triples, in buckets of their hashes, with their training counts.
+2. Counts are summed over the corpus a bucket at a time. A chunk sends each key once, so frequent ones make no bucket
+   large, and buckets are as many as the corpus needs.
 3. The bit tables are sums over tokens of count and so merge by addition; mixer and map learn online on the tokens of
    each partition, an occurrence never seeing itself, and are averaged by curvature; each distinct token is scored once.
-4. Counts and scores go back to their chunks, are laid along the documents' tokens, and written. Gates are learned and
-   documents are scored by passes over that.
+4. Counts and scores go back to their chunks. Gates are learned and documents are scored by passes over the chunks' files
+   and what came back for them. What a step has used up is deleted.
 
 The bit tables have a fixed size (``SLOTS`` counters of 8 bytes), so they may be broadcast; all that grows with the
 corpus stays in distributed tables.
@@ -33,6 +33,8 @@ an empty table gives no rows; other columns take no part.
 from __future__ import annotations
 
 import math
+import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -68,7 +70,7 @@ INPUTS = len(BITS) + 1
 CELLS = 33
 #: Weight of the first weights against what is learned, and most that a weight moves in one step.
 STIFF, STEP = 3000.0, 0.1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 #: Bytes of text for each bucket of pairs and triples, and bytes of a hash kept beside the bucket's number.
 BUCKET_BYTES, KEY_BYTES = 8 << 20, 5
 #: Gates of the longer contexts (by powers of 2 of their count), and bins of their odds against the shorter one.
@@ -310,11 +312,11 @@ def _tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(borders)
 
 
-def runs(numbers: np.ndarray, n: np.ndarray, end: int) -> tuple:
+def runs(numbers: np.ndarray, n: np.ndarray, end: int, size: int) -> tuple:
     """(tokens with each text's end, the one before each, text's start?, pair codes, pair of each, triple codes, triple of each).
 
-    Numbers are a chunk's; a pair's code is before * (end + 1) + token, a triple's pair * (end + 1) + token. Texts' first
-    tokens have no triple (-1). Codes depend on the set of texts only.
+    Numbers are a chunk's, below ``size``; a pair's code is before * size + token, a triple's pair * size + token. Texts'
+    first tokens have no triple (-1). Codes depend on the set of texts only.
     """
     sizes = n + 1
     token = np.full(int(sizes.sum()), end, np.int64)
@@ -322,18 +324,16 @@ def runs(numbers: np.ndarray, n: np.ndarray, end: int) -> tuple:
     first = np.zeros(len(token), bool)
     first[np.cumsum(sizes) - sizes] = True
     before = np.where(first, end, np.concatenate([[end], token[:-1]]))
-    pairs, pair = np.unique(before * (end + 1) + token, return_inverse=True)
-    third = np.concatenate([[0], pair[:-1]]) * (end + 1) + token
+    pairs, pair = np.unique(before * size + token, return_inverse=True)
+    third = np.concatenate([[0], pair[:-1]]) * size + token
     triples, known = np.unique(third[~first], return_inverse=True)
     triple = np.full(len(token), -1, np.int64)
     triple[~first] = known
     return token, before, first, pairs, pair, triples, triple
 
 
-def hashed(tokens: pa.Array, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of tokens, pairs and triples of their numbers."""
-    one = pd.util.hash_array(tokens.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    return one.view(np.int64), *_combined(one, pairs, triples)
+def hashes(tokens: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(tokens.to_numpy(zero_copy_only=False).astype(object), categorize=False)
 
 
 def _combined(one: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,13 +344,14 @@ def _combined(one: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more follow in 8 bytes each."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """Counts as bytes, their number before them; those of 255 and more follow in 8 bytes each."""
+    return np.array([len(counts)], "<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
+def unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", offset=4 + n)
     return out
 
 
@@ -402,53 +403,67 @@ def gates_of(seen: np.ndarray) -> np.ndarray:
     return g
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, out: int = 2, bits: int = 3) -> DataFrame:
-    """Rows of a chunk's documents (kind 0: id, held_out, numbers), tokens (1: number, token, c, key), and pairs and triples by bucket (2: keys and counts of each)."""
-    held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(fold)) == out
+def _stored(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
 
-    def batch_of(size: int, chunk: int, kind: int, **columns) -> pa.RecordBatch:
-        have = {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int32)), **columns}
-        return pa.RecordBatch.from_arrays([have.get(f.name, pa.nulls(size, f.type)) for f in FIELDS], schema=pa.schema(FIELDS))
+def chunks(docs: DataFrame, base: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, out: int = 2, bits: int = 3) -> DataFrame:
+    """Rows (chunk, bucket, tokens, counts1, keys2, counts2, keys3, counts3): a chunk's distinct tokens, pairs and triples of one bucket, in the order of their hashes.
+
+    ``chunk`` names a file under ``base`` with the documents (id, held_out, numbers) and the tokens by number; files of
+    lost tasks are never named.
+    """
+    held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(fold)) == out
 
     def run(batches):
-        from pyspark import TaskContext
+        from pyarrow import fs
 
-        task, serial = TaskContext.get().partitionId(), 0
+        store, root = fs.FileSystem.from_uri(base)
+        store.create_dir(root, recursive=True)
         waiting: list[pa.RecordBatch] = []
         size = 0
 
         def close():
-            nonlocal serial, size
             table = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             ids, holds, texts = (table.column(i).combine_chunks() for i in range(3))
             words, n = _tokenised(texts)
             coded = words.dictionary_encode()
-            numbers = coded.indices.to_numpy(zero_copy_only=False)
-            train = ~holds.to_numpy(zero_copy_only=False)
-            c = np.bincount(numbers[np.repeat(train, n)], minlength=len(coded.dictionary))
             tokens = pa.concat_arrays([coded.dictionary, pa.array([END])])
-            c = np.append(c, train.sum()).astype(np.int64)
-            chunk, m = task << 32 | serial, len(ids)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(numbers.astype(np.int32)))
-            _, _, first, pairs, pair, triples, triple = runs(numbers, n, len(tokens) - 1)
-            one, two, three = hashed(tokens, pairs, triples)
+            one = hashes(tokens)
+            # numbers are places in the order of hashes
+            order, starts, _ = dealt(one.view(np.int64), bits)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            tokens, one = tokens.take(pa.array(order)), one[order]
+            numbers = rank[coded.indices.to_numpy(zero_copy_only=False)]
+            end = int(rank[-1])
+            train = ~holds.to_numpy(zero_copy_only=False)
+            c = np.bincount(numbers[np.repeat(train, n)], minlength=len(tokens))
+            c[end] = train.sum()
+            chunk = f"{uuid.uuid4().hex}.chunk"
+            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])), pa.array(numbers.astype(np.uint32)))
+            parts = [_stored(pa.table({"id": ids, "held_out": holds, "numbers": lists})), _stored(pa.table({"token": tokens}))]
+            with store.open_output_stream(f"{root}/{chunk}") as f:
+                f.write(struct.pack("<q", len(parts[0])) + parts[0] + parts[1])
+            _, _, first, pairs, pair, triples, triple = runs(numbers, n, end, len(tokens))
+            two, three = _combined(one, pairs, triples)
             weight = np.repeat(train, n + 1)
-            blobs = []
+            words_of = pa.compute.if_else(pa.compute.equal(tokens, END), "", tokens).to_pylist()
+            spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+            blobs = [[zlib.compress("\n".join(words_of[a:b]).encode("utf-8", "surrogatepass"), 1) if b > a else None for a, b in spans], [packed(c[a:b].astype(np.int64)) for a, b in spans]]
             for key, count in ((two, np.bincount(pair, weights=weight, minlength=len(two))), (three, np.bincount(triple[~first], weights=weight[~first], minlength=len(three)))):
                 order, starts, rest = dealt(key, bits)
                 count = count[order].astype(np.int64)
                 spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
                 blobs += [[rest[a:b].tobytes() for a, b in spans], [packed(count[a:b]) for a, b in spans]]
-            buckets = [i for i in range(1 << bits) if blobs[0][i] or blobs[2][i]]
-            yield batch_of(len(buckets), chunk, 2, bucket=pa.array(buckets, pa.int32()), **{name: pa.array([blob[i] for i in buckets], pa.binary()) for name, blob in zip(("keys2", "counts2", "keys3", "counts3"), blobs, strict=True)})
-            for a in range(0, len(one), 100_000):
-                k = len(one[a : a + 100_000])
-                yield batch_of(k, chunk, 1, number=pa.array(np.arange(a, a + k, dtype=np.int32)), token=tokens.slice(a, k), c=pa.array(c[a : a + k]), key=pa.array(one[a : a + k]))
-            for a in range(0, m, 2_000):
-                k = min(m - a, 2_000)
-                yield batch_of(k, chunk, 0, id=ids.slice(a, k), held_out=holds.slice(a, k), numbers=lists.slice(a, k))
-            serial, size = serial + 1, 0
+            some = [i for i in range(1 << bits) if blobs[0][i] or blobs[2][i] or blobs[4][i]]
+            for a in range(0, len(some), 64):
+                part = some[a : a + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), pa.array(part, pa.int32()), *(pa.array([blob[i] for i in part], pa.binary()) for blob in blobs)], names=["chunk", "bucket", "tokens", "counts1", "keys2", "counts2", "keys3", "counts3"])
 
         for batch in batches:
             for a, b in slices(batch.column(2), CHUNK_BYTES):
@@ -457,35 +472,70 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 size += pa.compute.sum(pa.compute.binary_length(part.column(2))).as_py() or 0
                 if size >= CHUNK_BYTES:
                     yield from close()
+                    size = 0
         if waiting:
             yield from close()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    return common.arrow(rows, run, "chunk bigint, kind int, number int, token string, c bigint, key bigint, id bigint, held_out boolean, numbers array<int>, bucket int, keys2 binary, counts2 binary, keys3 binary, counts3 binary")
+    return common.arrow(rows, run, "chunk string, bucket int, tokens binary, counts1 binary, keys2 binary, counts2 binary, keys3 binary, counts3 binary")
 
 
-FIELDS = [
-    *(pa.field(n, t) for n, t in (("chunk", pa.int64()), ("kind", pa.int32()), ("number", pa.int32()), ("token", pa.string()), ("c", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()))),
-    pa.field("numbers", pa.list_(pa.field("item", pa.int32()))), pa.field("bucket", pa.int32()), *(pa.field(n, pa.binary()) for n in ("keys2", "counts2", "keys3", "counts3")),
-]
+SUMMED = pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("bucket", pa.int32()), ("place", pa.int32()), ("token", pa.string()), ("c", pa.int64()), ("at", pa.binary()), ("c2", pa.binary()), ("c3", pa.binary())])
 
 
-def answers(rows: DataFrame) -> DataFrame:
-    """(chunk, bucket, c2, c3): counts over the corpus of the pairs and triples of ``chunks``, in the order of their keys."""
+def summed(rows: DataFrame) -> DataFrame:
+    """Of the rows of ``chunks``: a bucket's tokens with their counts over the corpus (kind 0: bucket, place, token, c), and for each chunk (kind 1) the places of its tokens and the corpus's counts of its pairs and triples."""
 
     def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        size, bucket = len(table), table.column("bucket")[0].as_py()
+        lists = [zlib.decompress(x).split(b"\n") if x is not None else [] for x in table.column("tokens").to_pylist()]
+        coded = pa.array([t for x in lists for t in x], pa.binary()).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        counts = np.concatenate([unpacked(x) for x in table.column("counts1").to_pylist()])
+        total = np.bincount(at, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+        places = [x.astype("<u4").tobytes() for x in np.split(at, np.cumsum([len(x) for x in lists])[:-1])]
+        del lists, counts, at
         sums = []
         for name in ("2", "3"):
             keys = [widened(x) for x in table.column("keys" + name).to_pylist()]
             n = [len(k) for k in keys]
-            counts = [unpacked(x, k) for x, k in zip(table.column("counts" + name).to_pylist(), n, strict=True)]
+            counts = np.concatenate([unpacked(x) for x in table.column("counts" + name).to_pylist()])
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-            del keys, counts
-            sums.append(pa.array([packed(total[part]) for part in np.split(at, np.cumsum(n)[:-1])], pa.binary()))
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "c2": sums[0], "c3": sums[1]})
+            own = np.bincount(at, weights=counts).astype(np.int64)
+            sums.append(pa.array([packed(own[part]) for part in np.split(at, np.cumsum(n)[:-1])], pa.binary()))
+            del keys, counts, at
+        tokens = coded.dictionary.cast(pa.string())
+        tokens = pa.compute.if_else(pa.compute.equal(tokens, ""), END, tokens)
+        m = len(tokens)
+        have = [
+            {"kind": pa.array(np.zeros(m, np.int32)), "bucket": pa.array(np.full(m, bucket, np.int32)), "place": pa.array(np.arange(m, dtype=np.int32)), "token": tokens, "c": pa.array(total)},
+            {"kind": pa.array(np.ones(size, np.int32)), "chunk": table.column("chunk").combine_chunks(), "bucket": pa.array(np.full(size, bucket, np.int32)), "at": pa.array(places, pa.binary()), "c2": sums[0], "c3": sums[1]},
+        ]
+        return pa.concat_tables([pa.Table.from_arrays([x.get(f.name, pa.nulls(len(x["kind"]), f.type)) for f in SUMMED], schema=SUMMED) for x in have])
+
+    return rows.groupBy("bucket").applyInArrow(one, "kind int, chunk string, bucket int, place int, token string, c bigint, at binary, c2 binary, c3 binary")
+
+
+def returned(scored: DataFrame, sums: DataFrame) -> DataFrame:
+    """(chunk, own, c1, c2, c3): for each chunk the scores and counts of its tokens, and the counts of its pairs and triples, in the order of their hashes."""
+
+    def in_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(left.column("place").to_numpy())
+        score, c = (left.column(k).to_numpy()[order] for k in ("score", "c"))
+        at = [np.frombuffer(x, "<u4") for x in right.column("at").to_pylist()]
+        return pa.table({
+            "chunk": right.column("chunk"), "bucket": right.column("bucket"), "own": pa.array([score[x].astype("<f4").tobytes() for x in at], pa.binary()), "c1": pa.array([packed(c[x]) for x in at], pa.binary()),
+            "c2": right.column("c2"), "c3": right.column("c3"),
+        })
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        joined = {k: packed(np.concatenate([unpacked(x) for x in table.column(k).to_pylist()])) for k in ("c1", "c2", "c3")}
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "own": pa.array([b"".join(table.column("own").to_pylist())], pa.binary()), **{k: pa.array([v], pa.binary()) for k, v in joined.items()}})
 
-    return rows.filter("kind = 2").select("chunk", "bucket", "keys2", "counts2", "keys3", "counts3").groupBy("bucket").applyInArrow(one, "chunk bigint, bucket int, c2 binary, c3 binary")
+    back = scored.groupBy("bucket").cogroup(sums.filter("kind = 1").select("chunk", "bucket", "at", "c2", "c3").groupBy("bucket")).applyInArrow(in_bucket, "chunk string, bucket int, own binary, c1 binary, c2 binary, c3 binary")
+    return back.groupBy("chunk").applyInArrow(whole, "chunk string, own binary, c1 binary, c2 binary, c3 binary")
 
 
 @dataclass
@@ -499,32 +549,35 @@ class Model:
 
 
 def _collected(batches, least: int, whole: bool = False):
-    """(tokens, lengths of their heads, counts) of at least ``least`` rows a time; ``whole``: never parting the tokens of one head."""
+    """(tokens, lengths of their heads, counts, further columns) of at least ``least`` rows a time; ``whole``: never parting the tokens of one head."""
     tokens: list[bytes] = []
-    lengths: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     head = None
+
+    def ready():
+        lengths, counts, *more = (np.concatenate(x) for x in zip(*parts))
+        return tokens, lengths, counts, more
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        own, c = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()
+        own = batch.column(0).cast(pa.binary()).to_pylist()
         heads = batch.column(2).to_pylist()
-        size = np.maximum(np.fromiter(map(len, heads), np.int64, len(heads)), HEAD)
+        columns = [np.maximum(np.fromiter(map(len, heads), np.int64, len(heads)), HEAD), batch.column(1).to_numpy(), *(batch.column(i).to_numpy() for i in range(3, batch.num_columns))]
         borders = [0, *(i for i in range(1, len(own)) if heads[i] != heads[i - 1]), len(own)] if whole else [0, len(own)]
         for a, b in zip(borders, borders[1:]):
             if len(tokens) >= least and not (whole and heads[a] == head):
-                yield tokens, np.concatenate(lengths), np.concatenate(counts)
-                tokens, lengths, counts = [], [], []
+                yield ready()
+                tokens, parts = [], []
             tokens += own[a:b]
-            lengths.append(size[a:b])
-            counts.append(c[a:b])
+            parts.append(tuple(x[a:b] for x in columns))
             head = heads[a]
     if tokens:
-        yield tokens, np.concatenate(lengths), np.concatenate(counts)
+        yield ready()
 
 
 def by_head(counts: DataFrame) -> tuple[DataFrame, int]:
-    """((token, c, head), rows): tokens of one head together, heads in an order that has nothing to do with their bytes; written.
+    """((token, c, head, ...), rows) of (token, c, ...): tokens of one head together, heads in an order that has nothing to do with their bytes; written.
 
     A head is a token's first HEAD bytes, or twice as many and so on where more than HOT_HEAD tokens share it.
     """
@@ -539,7 +592,7 @@ def by_head(counts: DataFrame) -> tuple[DataFrame, int]:
             break
         length *= 2
         head = F.when(head.isin(hot), F.substring(raw, 1, length)).otherwise(head)
-    out = counts.select("token", "c", head.alias("head"))
+    out = counts.select("token", "c", head.alias("head"), *(c for c in counts.columns if c not in ("token", "c")))
     out = out.repartition(max(1, -(-rows // (TASK_TOKENS // 8))), "head").sortWithinPartitions(F.xxhash64("head"), "head")
     return common.materialise(out, "lm-heads"), rows
 
@@ -576,7 +629,7 @@ def fit(heads: DataFrame, rows: int) -> Model:
 
         task = TaskContext.get().partitionId()
         own = np.zeros((SLOTS, 2), np.float64)
-        for tokens, lengths, c in _collected(batches, 20_000):
+        for tokens, lengths, c, _ in _collected(batches, 20_000):
             count_bits(spell(tokens), lengths, c, own)
         for i in range(0, SLOTS, PIECE):
             part = own[i : i + PIECE]
@@ -596,7 +649,7 @@ def fit(heads: DataFrame, rows: int) -> Model:
 
         known, own = _table(shared), Mixer.new()
         start = own.cells.copy()
-        for tokens, lengths, c in _collected(batches, BATCH_TOKENS, True):
+        for tokens, lengths, c, _ in _collected(batches, BATCH_TOKENS, True):
             learn_mixer(tokens, lengths, c.astype(np.float64), known, own)
         pulled = np.einsum("gij,gj->gi", own.curves, own.weights)
         out = [pa.array([zlib.compress(x.tobytes(), 1)]) for x in (own.curves, pulled, own.cells - start)]
@@ -616,100 +669,98 @@ def _table(shared) -> np.ndarray:
 
 
 def score_tokens(heads: DataFrame, model: Model) -> DataFrame:
-    """(token, c, score) of ``by_head``."""
+    """(token, c, score, ...) of ``by_head``."""
     mixer, shared = model.mixer, model.shared
+    more = [c for c in heads.columns if c not in ("token", "c", "head")]
 
     def run(batches):
         known = _table(shared)
-        for tokens, lengths, c in _collected(batches, BATCH_TOKENS, True):
+        for tokens, lengths, c, rest in _collected(batches, BATCH_TOKENS, True):
             found = token_scores(tokens, lengths, c.astype(np.float64), known, mixer)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(c), pa.array(found.astype(np.float32))], names=["token", "c", "score"])
-
-    return common.arrow(heads, run, "token string, c bigint, score float")
-
-
-ALONG = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, own binary, c1 binary, c2 binary, c3 binary"
-
-
-def along(rows: DataFrame, scored: DataFrame, floor: float, bits: int) -> DataFrame:
-    """Each document with its tokens' own scores and the counts of the token before, the pair and the triple that each ends."""
-    found = answers(rows)
-    nothing = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
-    words = rows.filter("kind = 1").select("chunk", "number", "token", "key").join(scored, "token")
-    size = (F.octet_length("token") + F.when(F.col("token") == END, 0).otherwise(1)).cast("int")
-    back = words.select(F.col("chunk").alias("part"), "number", "key", "c", "score", size.alias("size"), *nothing("binary", "binary"))
-    back = back.union(found.select("chunk", "bucket", *nothing("bigint", "bigint", "float", "int"), "c2", "c3"))
-    back = back.toDF("part", "number", "key", "c", "score", "size", "c2", "c3")
-    texts = rows.filter("kind = 0").select(F.col("chunk").alias("piece"), "id", "held_out", "numbers")
-
-    def lay(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = right.filter(pa.compute.is_valid(right.column("key")))
-        blobs = right.filter(pa.compute.is_null(right.column("key"))).sort_by("number")
-        order = np.argsort(tokens.column("number").to_numpy())
-        key, c, own, size = (tokens.column(k).to_numpy()[order] for k in ("key", "c", "score", "size"))
-        lists = left.column("numbers").combine_chunks()
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
-        n = np.diff(offsets - offsets[0])
-        token, before, first, pairs, pair, triples, triple = runs(flat, n, len(c) - 1)
-        two, three = _combined(key.view(np.uint64), pairs, triples)
-        counts = []
-        for name, keys in (("c2", two), ("c3", three)):
-            turn, starts, _ = dealt(keys, bits)
-            sizes = np.diff(starts)
-            parts = dict(zip(blobs.column("number").to_pylist(), blobs.column(name).to_pylist(), strict=True))
-            held = [unpacked(parts[i], int(sizes[i])) for i in np.flatnonzero(sizes).tolist()]
-            total = np.zeros(len(keys), np.int64)
-            if held:
-                total[turn] = np.concatenate(held)
-            counts.append(total)
-        c2 = counts[0][pair]
-        c3 = np.where(first, 0, counts[1][triple] if len(counts[1]) else 0)
-        ends = np.cumsum(n + 1)
-        starts = ends - n - 1
-        add = lambda x: np.add.reduceat(x, starts)
-        cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-        log = np.log10(c + 1.0) - floor
-        return pa.table({
-            "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array((n + 1).astype(np.int64)), "n_known": pa.array(add((c > 0)[token].astype(np.int64))),
-            "base_score": pa.array(add(log[token])), "n_bytes": pa.array(add(size[token].astype(np.int64))), "own": cut(own[token], "<f4"), "c1": cut(c[before], "<i8"), "c2": cut(c2, "<i4"), "c3": cut(c3, "<i4"),
-        })
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(c), pa.array(found.astype(np.float32)), *map(pa.array, rest)], names=["token", "c", "score", *more])
 
-    return texts.groupBy("piece").cogroup(back.groupBy("part")).applyInArrow(lay, ALONG)
+    return common.arrow(heads, run, "token string, c bigint, score float" + "".join(f", `{c}` {heads.schema[c].dataType.simpleString()}" for c in more))
 
 
-def _probabilities(batch: pa.RecordBatch, gates: list[np.ndarray]):
-    """(rows' borders, counts of the context and of what follows for each order, probabilities with the first ``gates`` orders mixed in)."""
-    own, c1, c2, c3 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("own", "<f4"), ("c1", "<i8"), ("c2", "<i4"), ("c3", "<i4")))
-    n = batch.column("n_tokens").to_numpy()
-    borders = np.concatenate([[0], np.cumsum(n)])
-    context = np.concatenate([[0], c2[:-1]]).astype(np.int64)
-    context[borders[:-1]] = 0  # no two tokens before a text's first
-    orders = [(c2, c1), (c3, context)]
-    p = 10.0 ** own.astype(np.float64)
-    for (count, context), g in zip(orders, gates):
-        p = mixed_in(p, count, context, g)
-    return borders, orders, p
+@dataclass
+class Laid:
+    """A chunk's documents with what came back for them, along their tokens."""
+
+    ids: pa.Array
+    held: np.ndarray
+    borders: np.ndarray
+    token: np.ndarray
+    own: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+    #: (count of what follows, count of the context) of the pair and of the triple that each token ends
+    orders: list
 
+    @classmethod
+    def of(cls, data: bytes, row: dict, bits: int) -> "Laid":
+        (cut,) = struct.unpack_from("<q", data)
+        docs, tokens = (pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in (memoryview(data)[8 : 8 + cut], memoryview(data)[8 + cut :]))
+        tokens = tokens.column("token").combine_chunks()
+        lists = docs.column("numbers").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        end = tokens.index(END).as_py()
+        token, before, first, pairs, pair, triples, triple = runs(flat, n, end, len(tokens))
+        two, three = _combined(hashes(tokens), pairs, triples)
+        c = unpacked(row["c1"])
+        totals = []
+        for keys, name in ((two, "c2"), (three, "c3")):
+            total = np.empty(len(keys), np.int64)
+            total[dealt(keys, bits)[0]] = unpacked(row[name])
+            totals.append(total)
+        c2 = totals[0][pair]
+        context = np.concatenate([[0], c2[:-1]])
+        context[first] = 0  # no two tokens before a text's first
+        c3 = np.where(first, 0, totals[1][triple] if len(totals[1]) else 0)
+        size = pa.compute.binary_length(tokens.cast(pa.binary())).to_numpy().astype(np.int64) + 1
+        size[end] = 1
+        return cls(docs.column("id").combine_chunks(), docs.column("held_out").to_numpy(), np.concatenate([[0], np.cumsum(n + 1)]), token, np.frombuffer(row["own"], "<f4")[token], c, size, [(c2, c[before]), (c3, context)])
+
+    def probabilities(self, gates: list[np.ndarray]) -> np.ndarray:
+        """Of each token, with the first ``gates`` orders mixed in."""
+        p = 10.0 ** self.own.astype(np.float64)
+        for (count, context), g in zip(self.orders, gates):
+            p = mixed_in(p, count, context, g)
+        return p
+
+
+def _laid(rows: DataFrame, base: str, bits: int, function, schema: str) -> DataFrame:
+    """``function`` of each chunk laid out."""
 
-def learned_gates(laid: DataFrame) -> list[np.ndarray]:
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                with store.open_input_stream(f"{root}/{row['chunk']}") as f:
+                    laid = Laid.of(f.read(), row, bits)
+                yield from function(laid)
+
+    return common.arrow(rows, run, schema)
+
+
+def learned_gates(rows: DataFrame, base: str, bits: int) -> list[np.ndarray]:
     """Gates of the longer contexts, one order after the other, over all training tokens."""
     gates: list[np.ndarray] = []
     for order in range(2):
 
-        def run(batches, order=order):
-            seen = np.zeros((SIZES, BINS + 1), np.int64)
-            for batch in batches:
-                train = batch.filter(pa.compute.invert(batch.column("held_out")))
-                for a in range(0, train.num_rows, 500):
-                    _, orders, p = _probabilities(train.slice(a, 500), gates)
-                    count, context = orders[order]
-                    some = context > 0
-                    seen += odds_seen(p[some], count[some], context[some])
+        def seen_in(laid: Laid, order=order):
+            p = laid.probabilities(gates)
+            count, context = laid.orders[order]
+            some = (context > 0) & np.repeat(~laid.held, np.diff(laid.borders))
+            seen = odds_seen(p[some], count[some], context[some]).ravel()
             at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "n"])
 
         seen = np.zeros(SIZES * (BINS + 1))
-        for cell, n in common.arrow(laid, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # SIZES * (BINS + 1) at most
+        for cell, n in _laid(rows, base, bits, seen_in, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # SIZES * (BINS + 1) at most
             seen[cell] = n
         gates.append(gates_of(seen.reshape(SIZES, BINS + 1)))
     return gates
@@ -717,28 +768,32 @@ def learned_gates(laid: DataFrame) -> list[np.ndarray]:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each document."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     size = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
     bits = max(3, (max(1, -(-size // BUCKET_BYTES)) - 1).bit_length())
-    rows = common.materialise(chunks(docs, id_col, text_col, bits=bits), "lm-chunks")
-    heads, distinct = by_head(rows.filter("kind = 1").groupBy("token").agg(F.sum("c").alias("c")))
+    base = common.scratch(spark, "lm-documents")
+    sums, sums_path = common.stored(summed(chunks(docs, base, id_col, text_col, bits=bits)), "lm-sums")
+    common.freed(spark)  # the shuffle of the buckets
+    heads, distinct = by_head(sums.filter("kind = 0").select("token", "c", "bucket", "place"))
     model = fit(heads, distinct)
-    scored = common.materialise(score_tokens(heads, model), "lm-scored")
-    total = model.train_tokens
-    laid = common.materialise(along(rows, scored, math.log10(total + model.distinct + 1), bits), "lm-along")
-    gates = learned_gates(laid)
+    scored, scored_path = common.stored(score_tokens(heads, model).select("bucket", "place", "c", "score"), "lm-scored")
+    common.freed(spark)
+    rows, _ = common.stored(returned(scored, sums), "lm-returned")
+    common.freed(spark, sums_path, scored_path)
+    gates = learned_gates(rows, base, bits)
+    total, floor = model.train_tokens, math.log10(model.train_tokens + model.distinct + 1)
+
+    def scores(laid: Laid):
+        log = np.log10(laid.probabilities(gates))
+        known, plain = laid.counts > 0, np.log10(laid.counts + 1.0) - floor
+        starts = laid.borders[:-1]
+        add = lambda x: np.add.reduceat(x, starts)
+        score, n_bytes = add(log), add(laid.sizes[laid.token])
+        yield pa.RecordBatch.from_arrays(
+            [laid.ids, pa.array(laid.held), pa.array(np.diff(laid.borders)), pa.array(add(known[laid.token].astype(np.int64))), pa.array(np.full(len(score), total, np.int64)), pa.array(add(plain[laid.token])), pa.array(score), pa.array(n_bytes), pa.array(-score / math.log10(2) / n_bytes)],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
+        )
 
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                borders, _, p = _probabilities(part, gates)
-                score = np.add.reduceat(np.log10(p), borders[:-1])
-                n_bytes = part.column("n_bytes").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(score), total, np.int64)), part.column("base_score"), pa.array(score), part.column("n_bytes"), pa.array(-score / math.log10(2) / n_bytes)],
-                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
-                )
-
-    out = common.arrow(laid, run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
+    out = _laid(rows, base, bits, scores, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
     return out.withColumnRenamed("id", id_col)

@@ -242,7 +242,7 @@ def test_lm_heads_and_long_tokens(spark, monkeypatch):
     assert set(got) == set(tokens) and all(v < 0 for v in got.values())
     assert lmscore.common_bits([b"abc ", b"abd ", b"abd" + b"e" * 60 + b" ", b"abd" + b"e" * 60 + b"f "]).tolist() == [0, 21, 25, 8 * 63 + 1]
     for values in ([0, 1, 254, 255, 256, 70_000, 3], []):
-        assert lmscore.unpacked(lmscore.packed(np.array(values, np.int64)), len(values)).tolist() == values
+        assert lmscore.unpacked(lmscore.packed(np.array(values, np.int64))).tolist() == values
 
 
 # --- decontamination

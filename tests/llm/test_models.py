@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pluvion.llm import common, decontaminate, graph, lmscore, near_dup, setsketch, toxicity
+from pluvion.llm import common, decontaminate, graph, lmscore, mixing, near_dup, setsketch, toxicity
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -273,20 +273,12 @@ def test_planted_items_are_found(spark, small, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(odd, bench.limit(0)).count() == 0
 
 
-def test_recall_against_all_windows(spark, small):
-    """Pairs that an exact search over every grain of every text finds are found by way of the latent index."""
-    docs, items = common.table(spark, small, "documents").select("doc_id", "text"), common.table(spark, small, "benchmark")
-    r = np.random.default_rng(9)
-    own = [decontaminate.item_of(i.item_id, i.text) for i in items.collect()]
-    planted = []
-    for n, item in enumerate(own):  # from light to heavy changes
-        words = [w if r.random() > (n % 4) * 0.1 else f"z{r.integers(999)}" for w in item.words]
-        planted.append((5_000 + n, " ".join([f"n{x}" for x in r.integers(0, 10**6, 60)] + words + [f"n{x}" for x in r.integers(0, 10**6, 60)])))
-    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+def exact_leaks(rows, items):
+    """(doc_id, item_id) by common subsequences of every window at every grain of every text."""
     want = set()
-    for d in docs.collect():
+    for d in rows:
         words = decontaminate.words_of(d.text)
-        for item in own:
+        for item in items:
             size, _ = item.window
             member, table, answer = set(item.words), decontaminate.masks(item.words), decontaminate.masks(item.answer)
             inside = np.concatenate([[0], np.cumsum([w in member for w in words])])
@@ -298,6 +290,20 @@ def test_recall_against_all_windows(spark, small):
                 if n >= decontaminate.COPY * len(item.words) or n >= decontaminate.LEAST * len(item.words) and decontaminate.common_length(answer, len(item.answer), words[a:b]) >= decontaminate.ANSWER * len(item.answer):
                     want.add((d.doc_id, item.item_id))
                     break
+    return want
+
+
+def test_recall_against_all_windows(spark, small):
+    """Pairs that an exact search over every grain of every text finds are found by way of the latent index."""
+    docs, items = common.table(spark, small, "documents").select("doc_id", "text"), common.table(spark, small, "benchmark")
+    r = np.random.default_rng(9)
+    own = [decontaminate.item_of(i.item_id, i.text) for i in items.collect()]
+    planted = []
+    for n, item in enumerate(own):  # from light to heavy changes
+        words = [w if r.random() > (n % 4) * 0.1 else f"z{r.integers(999)}" for w in item.words]
+        planted.append((5_000 + n, " ".join([f"n{x}" for x in r.integers(0, 10**6, 60)] + words + [f"n{x}" for x in r.integers(0, 10**6, 60)])))
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    want = exact_leaks(docs.collect(), own)
     got = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, items).collect()}
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 30
 
@@ -338,10 +344,37 @@ def test_pipeline(spark, small):
     toxic, near, clean, mixed, out = seen
     ids = lambda df: [r.doc_id for r in df.collect()]
     assert set(ids(toxic)) < before
+    # toxicity: the sums of the model's weights over each whole text
+    model = toxicity.fit(common.table(spark, small, "documents"), common.table(spark, small, "labels"))
+    plain = {r.doc_id for r in common.table(spark, small, "documents").collect() if model.above(sum(model.weights.get(f, 0.0) for f in sorted(toxicity._features(set(common.words_of(r.text)), common.Cache(toxicity.features_of_word)))))[0] < 0.5}
+    assert set(ids(toxic)) == plain
     texts = {r.doc_id: r.text for r in toxic.collect()}
     groups = brute_groups(toxic.collect(), 5, 80, 100)
     assert sorted(ids(near)) == sorted(int(d) for d, _, c in groups if d == c)
+    # decontamination: what an exact search of all windows finds goes, and nothing else
+    items = [i for i in (decontaminate.item_of(x.item_id, x.text) for x in common.table(spark, small, "benchmark").collect()) if len(i.words) >= decontaminate.LEAST_WORDS]
+    assert set(ids(clean)) == set(ids(near)) - {d for d, _ in exact_leaks(near.collect(), items)}
+    # mixing: copies as the plan of the mixture says, each source's words near its target
+    plan = {r.doc_id: r for r in mixing.mix(clean).collect()}
+    assert Counter(ids(mixed)) == Counter({d: r["__mix_copies"] for d, r in plan.items() if r["__mix_copies"]})
+    for source in {r.source for r in plan.values()}:
+        own = [r for r in plan.values() if r.source == source]
+        assert abs(sum(r["__mix_copies"] * r["__mix_size"] for r in own) - own[0]["__mix_target"]) <= max(r["__mix_size"] for r in own)
     assert set(ids(clean)) <= set(ids(near)) and set(ids(mixed)) <= set(ids(clean)) and max(Counter(ids(mixed)).values()) <= 3
     assert sorted(ids(out)) == sorted(ids(mixed)) and set(texts) >= set(ids(out))
     starts = sorted((r.start, r.n_tokens) for r in out.collect())
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none, small):
+    """Every stage takes nulls, empty texts, ties, repeated rows and no rows; all but the last keep the columns."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.materialise(stage(spark, rows, small), f"odd-{name}")
+            if name != "token_output":
+                assert out.columns == docs.columns
+                rows = out
+        assert out.count() == rows.count()

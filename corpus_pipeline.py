@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last give the columns of
 documents.
+
+Defined results: null and empty texts are not toxic, stay unless they are equal ids' copies (a text without words is
+linked with nothing), match no benchmark item, take no words of the mixture and so leave it; of equal texts the smallest
+id stays; rows repeated under one id stay or go together; an empty table gives no rows; other columns are kept as they are
+up to the last stage.
 """
 
 from __future__ import annotations
@@ -44,7 +49,8 @@ STAGES = [
     ("token_output", write_tokens),
 ]
 
-#: Model fitting and connected components are not SQL; tests/llm/test_pipeline.py holds the result against brute force.
+#: Model fitting and connected components are not SQL; test_pipeline in tests/llm/test_models.py holds each stage's rows against
+#: brute force, and test_stages_on_odd_and_empty_tables runs them on nulls, empty texts, ties, repeats and no rows.
 ORACLE_SQL = None
 
 

@@ -14,7 +14,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 #: Neighbours of one node are dealt to so many tasks.
-SALTS = 16
+SALTS = 4
 
 
 def _with_least(pairs: DataFrame, key: str, value: str, least: DataFrame, m: str) -> DataFrame:

@@ -59,9 +59,14 @@ def _solved(a: np.ndarray, b: np.ndarray, most_condition: float = 1e14) -> np.nd
     """Solution of a system scaled to a diagonal of about 1; None where it is singular or too ill-conditioned to trust."""
     scale = 1 / np.sqrt(np.maximum(np.abs(a).max(axis=1), EPS))
     even = a * scale[:, None] * scale[None]
-    if not np.isfinite(even).all() or np.linalg.cond(even) > most_condition:
+    try:
+        inverse = np.linalg.inv(even)
+    except np.linalg.LinAlgError:
         return None
-    return scale[:, None] * np.linalg.solve(even, scale[:, None] * b.reshape(len(a), -1))
+    size = np.abs(even).sum(axis=0).max() * np.abs(inverse).sum(axis=0).max()
+    if not size <= most_condition:
+        return None
+    return scale[:, None] * (inverse @ (scale[:, None] * b.reshape(len(a), -1)))
 
 
 def _tps_system(xy: np.ndarray, smooth: float, scale: float | None):

@@ -55,18 +55,17 @@ def flatness(xy: np.ndarray) -> float:
     return float(s[1] / s[0]) if len(s) > 1 and s[0] > 0 else 0.0
 
 
-def _solved(a: np.ndarray, b: np.ndarray, most_condition: float = 1e14) -> np.ndarray | None:
-    """Solution of a system scaled to a diagonal of about 1; None where it is singular or too ill-conditioned to trust."""
+def _solved(a: np.ndarray, b: np.ndarray, close: float = 1e-6) -> np.ndarray | None:
+    """Solution of a system scaled to a diagonal of about 1; None where it is singular or the solution doesn't satisfy it."""
     scale = 1 / np.sqrt(np.maximum(np.abs(a).max(axis=1), EPS))
-    even = a * scale[:, None] * scale[None]
+    even, right = a * scale[:, None] * scale[None], scale[:, None] * b.reshape(len(a), -1)
     try:
-        inverse = np.linalg.inv(even)
+        x = np.linalg.solve(even, right)
     except np.linalg.LinAlgError:
         return None
-    size = np.abs(even).sum(axis=0).max() * np.abs(inverse).sum(axis=0).max()
-    if not size <= most_condition:
+    if not np.isfinite(x).all() or np.abs(even @ x - right).max() > close * max(np.abs(right).max(), EPS):
         return None
-    return scale[:, None] * (inverse @ (scale[:, None] * b.reshape(len(a), -1)))
+    return scale[:, None] * x
 
 
 def _tps_system(xy: np.ndarray, smooth: float, scale: float | None):

@@ -312,18 +312,24 @@ def _tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(borders)
 
 
-def runs(numbers: np.ndarray, n: np.ndarray, end: int, size: int) -> tuple:
-    """(tokens with each text's end, the one before each, text's start?, pair codes, pair of each, triple codes, triple of each).
-
-    Numbers are a chunk's, below ``size``; a pair's code is before * size + token, a triple's pair * size + token. Texts'
-    first tokens have no triple (-1). Codes depend on the set of texts only.
-    """
+def followed(numbers: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens with each text's end, the one before each, text's start?)."""
     sizes = n + 1
     token = np.full(int(sizes.sum()), end, np.int64)
     token[np.delete(np.arange(len(token)), np.cumsum(sizes) - 1)] = numbers
     first = np.zeros(len(token), bool)
     first[np.cumsum(sizes) - sizes] = True
     before = np.where(first, end, np.concatenate([[end], token[:-1]]))
+    return token, before, first
+
+
+def runs(numbers: np.ndarray, n: np.ndarray, end: int, size: int) -> tuple:
+    """(tokens with each text's end, the one before each, text's start?, pair codes, pair of each, triple codes, triple of each).
+
+    Numbers are a chunk's, below ``size``; a pair's code is before * size + token, a triple's pair * size + token. Texts'
+    first tokens have no triple (-1). Codes depend on the set of texts only.
+    """
+    token, before, first = followed(numbers, n, end)
     pairs, pair = np.unique(before * size + token, return_inverse=True)
     third = np.concatenate([[0], pair[:-1]]) * size + token
     triples, known = np.unique(third[~first], return_inverse=True)
@@ -343,6 +349,13 @@ def _combined(one: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[
     return two.view(np.int64), three.view(np.int64)
 
 
+def following(one: np.ndarray, token: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of ``_combined`` along the tokens: of the pair that each ends, and of the triple that each but a text's first ends."""
+    two = scramble(one[before] * np.uint64(0x9E3779B97F4A7C15) + one[token])
+    rest = np.flatnonzero(~first)
+    return two, scramble(two[rest - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[token[rest]])
+
+
 def packed(counts: np.ndarray) -> bytes:
     """Counts as bytes, their number before them; those of 255 and more follow in 8 bytes each."""
     return np.array([len(counts)], "<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
@@ -705,18 +718,27 @@ class Laid:
         n = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         end = tokens.index(END).as_py()
-        token, before, first, pairs, pair, triples, triple = runs(flat, n, end, len(tokens))
-        two, three = _combined(hashes(tokens), pairs, triples)
-        c = unpacked(row["c1"])
-        totals = []
-        for keys, name in ((two, "c2"), (three, "c3")):
-            total = np.empty(len(keys), np.int64)
-            total[dealt(keys, bits)[0]] = unpacked(row[name])
-            totals.append(total)
-        c2 = totals[0][pair]
+        c, c2, c3 = (unpacked(row[k]) for k in ("c1", "c2", "c3"))
+        one = hashes(tokens)
+        token, before, first = followed(flat, n, end)
+        two, three = following(one, token, before, first)
+        at = [np.unique(x, return_inverse=True) for x in (two, three)]
+        if [len(u) for u, _ in at] == [len(c2), len(c3)]:
+            pair, rest = (inverse for _, inverse in at)
+        else:  # two pairs of one hash: told apart by their codes, as in ``chunks``
+            *_, pairs, pair, triples, triple = runs(flat, n, end, len(tokens))
+            places = []
+            for keys in _combined(one, pairs, triples):
+                place = np.empty(len(keys), np.int64)
+                place[dealt(keys, bits)[0]] = np.arange(len(keys))
+                places.append(place)
+            pair, rest = places[0][pair], places[1][triple[~first]]
+        c2 = c2[pair]
         context = np.concatenate([[0], c2[:-1]])
         context[first] = 0  # no two tokens before a text's first
-        c3 = np.where(first, 0, totals[1][triple] if len(totals[1]) else 0)
+        triple = np.zeros(len(token), np.int64)
+        triple[~first] = c3[rest]
+        c3 = triple
         size = pa.compute.binary_length(tokens.cast(pa.binary())).to_numpy().astype(np.int64) + 1
         size[end] = 1
         return cls(docs.column("id").combine_chunks(), docs.column("held_out").to_numpy(), np.concatenate([[0], np.cumsum(n + 1)]), token, np.frombuffer(row["own"], "<f4")[token], c, size, [(c2, c[before]), (c3, context)])

@@ -378,3 +378,19 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none, small):
                 assert out.columns == docs.columns
                 rows = out
         assert out.count() == rows.count()
+
+
+def test_hashes_along_tokens_are_those_of_distinct_pairs_and_triples():
+    import numpy as np
+
+    from pluvion.llm import lmscore
+
+    r = np.random.default_rng(2)
+    n = np.array([0, 5, 1, 40, 0, 7])
+    numbers, one = r.integers(0, 6, int(n.sum())), r.integers(0, 1 << 62, 7).astype(np.uint64)
+    token, before, first, pairs, pair, triples, triple = lmscore.runs(numbers, n, 6, 7)
+    two, three = (x.view(np.uint64) for x in lmscore._combined(one, pairs, triples))
+    found = lmscore.following(one, token, before, first)
+    assert (found[0] == two[pair]).all() and (found[1] == three[triple[~first]]).all()
+    order = lmscore.dealt(two.view(np.int64), 3)[0]
+    assert (np.unique(found[0]) == two[order]).all()

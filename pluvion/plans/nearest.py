@@ -30,3 +30,9 @@ def scan_best(spark, sf_dir):
     return frame(spark, lambda d: A.sql(f"scan AS ({' UNION ALL '.join(parts)})", select="SELECT CAST(k AS BIGINT) AS k, ridge, n, rmse, mae, coverage FROM (SELECT *, row_number() OVER (ORDER BY rmse, mae, -coverage, ridge, k) AS rn FROM scan WHERE coverage >= 0.3e0) AS s WHERE rn = 1"), found=found)
 
 
+@runs("nested_bandwidth_cv")
+def nested(spark, sf_dir):
+    tried = materialise(N.inverse_held_out(_cells(spark, sf_dir, "p.obs"), (4, 8, 16)), "tried")
+    return frame(spark, lambda d: A.sql("tried AS (SELECT * FROM {tried})", *D._NESTED_STEPS, select=D._NESTED_SCORES), tried=tried)
+
+

@@ -30,6 +30,14 @@ def scan_best(spark, sf_dir):
     return frame(spark, lambda d: A.sql(f"scan AS ({' UNION ALL '.join(parts)})", select="SELECT CAST(k AS BIGINT) AS k, ridge, n, rmse, mae, coverage FROM (SELECT *, row_number() OVER (ORDER BY rmse, mae, -coverage, ridge, k) AS rn FROM scan WHERE coverage >= 0.3e0) AS s WHERE rn = 1"), found=found)
 
 
+@runs("spatial_holdout")
+def spatial_holdout(spark, sf_dir):
+    cells = materialise(_cells(spark, sf_dir, "p.obs - p.a", ", p.obs, p.a"), "cells")
+    fixed = materialise(N.plane_held_out(cells, 12), "held-out").select("station_id", "t", "pred")
+    x = materialise(cells.join(fixed, ["station_id", "t"]).select("fold", "obs", "a", (F.col("a") + F.col("pred")).alias("fixed")), "fixed")
+    return frame(spark, lambda d: A.sql("x AS (SELECT * FROM {x})", select=D._HOLDOUT_SCORES), x=x)
+
+
 @runs("nested_bandwidth_cv")
 def nested(spark, sf_dir):
     tried = materialise(N.inverse_held_out(_cells(spark, sf_dir, "p.obs"), (4, 8, 16)), "tried")

@@ -44,3 +44,10 @@ def nested(spark, sf_dir):
     return frame(spark, lambda d: A.sql("tried AS (SELECT * FROM {tried})", *D._NESTED_STEPS, select=D._NESTED_SCORES), tried=tried)
 
 
+@runs("fusion_lag_neighbour_features")
+def lag_features(spark, sf_dir):
+    events = tables(spark, sf_dir, "events")
+    stations = materialise(frame(spark, lambda d: A.sql(A.stations(), select="SELECT station_id, lon, lat FROM stations"), **events), "stations")
+    seen = f"SELECT user_id AS station_id, {SPARK.hour_index('ts')} AS h, coalesce(sum(CASE WHEN event_type = 'view' THEN value END), 0) / 10 AS a, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS bad FROM {{events}} GROUP BY 1, 2"
+    found = N.hour_features(stations, materialise(frame(spark, lambda d: seen, **events), "seen"))
+    return found.select("station_id", "h", *(F.round(c, 6).alias(c) for c in ("a", "before", "after", "around")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .linalg import EPS, adaptive_width, backfit, haversine_km, kernel_weights, local_hat, local_km, projection
+from . import near as N
+from .linalg import EPS, adaptive_width, backfit, haversine_km, kernel_weights, local_km, projection
 
 COINCIDENT_KM = float(np.sqrt(EPS))
 
@@ -115,9 +116,9 @@ def global_ridge(x: np.ndarray, y: np.ndarray, x_at: np.ndarray, ridge: float, l
     a = x.T @ x + ridge * np.eye(x.shape[1])
     if not loo:
         return x_at @ np.linalg.solve(a, x.T @ y)
-    hat = x @ np.linalg.solve(a, x.T)  # taking a row out of A is a rank-one change
-    left = 1 - np.diag(hat)
-    return np.where(np.abs(left) > 1e-12, y - (y - hat @ y) / np.where(np.abs(left) > 1e-12, left, 1), np.nan)
+    c = np.linalg.solve(a, x.T)  # taking a row out of A is a rank-one change
+    left = 1 - (x * c.T).sum(axis=1)
+    return np.where(np.abs(left) > 1e-12, y - (y - x @ (c @ y)) / np.where(np.abs(left) > 1e-12, left, 1), np.nan)
 
 
 def local_ridge(x: np.ndarray, y: np.ndarray, x_at: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
@@ -147,6 +148,8 @@ def _distances(train: np.ndarray, target: np.ndarray, same: bool) -> np.ndarray:
 
 def idw(train, y, target, power: float = 2.0, k: int | None = None, same: bool = False, angular: bool = False) -> np.ndarray:
     """Inverse distance of the k nearest (or all), with Shepard's correction for directions where ``angular``; ``same``: targets are the stations, never their own source."""
+    if len(train) * len(target) > N.WHOLE:
+        return idw_options(train, y, target, [(power, k)], same, angular)[0]
     d = _distances(train, target, same)
     out = np.full(len(target), np.nan)
     for t in range(len(target)):
@@ -169,6 +172,59 @@ def idw(train, y, target, power: float = 2.0, k: int | None = None, same: bool =
     return out
 
 
+def _met(d: np.ndarray, y: np.ndarray, powers: list[float], directions) -> list[np.ndarray]:
+    """``idw`` of rows of distances d (inf: not met) and values y, for each power; directions: east and north of each source, or None."""
+    met, same = np.isfinite(d), d <= COINCIDENT_KM
+    count, at = met.sum(axis=1), np.where(same.any(axis=1), np.where(same, y, 0).sum(axis=1) / np.maximum(same.sum(axis=1), 1), np.nan)
+    safe = np.where(same, 1.0, d)
+    if directions is not None:
+        east, north = directions
+        size = np.maximum(np.sqrt(east * east + north * north), EPS)
+        east, north = np.where(met, east / size, 0), np.where(met, north / size, 0)
+    out = []
+    for power in powers:
+        b = 1 / safe if power == 1 else 1 / (safe * safe) if power == 2 else safe**-power
+        if directions is not None:
+            total = b.sum(axis=1)[:, None]
+            rest = total - b
+            pull = east * (b * east).sum(axis=1)[:, None] + north * (b * north).sum(axis=1)[:, None]
+            b = np.where(met & (rest > 0) & (count > 1)[:, None], b * (1 + (total - pull) / np.where(rest > 0, rest, 1)), b)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = (b * np.where(met, y, 0)).sum(axis=1) / b.sum(axis=1)
+        out.append(np.where(count > 0, np.where(np.isnan(at), found, at), np.nan))
+    return out
+
+
+def idw_options(train, y, target, options: list[tuple[float, int | None]], same: bool = False, angular: bool = False) -> list[np.ndarray]:
+    """``idw`` under each (power, k), some targets at a time; distances are worked out once for all that share k."""
+    out: list = [None] * len(options)
+    for k in dict.fromkeys(k for _, k in options):
+        which = [i for i, o in enumerate(options) if o[1] == k]
+        powers = [options[i][0] for i in which]
+        parts = [np.full(len(target), np.nan) for _ in which]
+        few = k is not None and 0 < k <= N.MOST
+        index, far = N.nearest(train, target, k, same) if few else (None, None)
+        for run in N.runs(len(target), 4 * (k if few else len(train))):
+            if few:
+                d, source = far[run], np.maximum(index[run], 0)
+            else:
+                d, source = haversine_km(target[run], train), np.arange(len(train))[None, :]
+                if same:
+                    d[np.arange(len(d)), np.arange(run.start, run.stop)] = np.inf
+                if k:
+                    keep = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    d, source = np.take_along_axis(d, keep, 1), keep
+            directions = None
+            if angular:
+                turn = np.radians(train[source] - target[run][:, None, :])
+                directions = turn[..., 0] * np.cos(np.radians(target[run][:, 1]))[:, None], turn[..., 1]
+            for part, found in zip(parts, _met(d, y[source], powers, directions), strict=True):
+                part[run] = found
+        for i, part in zip(which, parts, strict=True):
+            out[i] = part
+    return out
+
+
 def adw(train, y, target, power: float = 2.0, k: int | None = None, same: bool = False) -> np.ndarray:
     return idw(train, y, target, power, k, same, True)
 
@@ -177,51 +233,67 @@ def gwr(train, y, target, kernel: str = "bisquare", adaptive: bool = True, bw: f
     """Plane [1, lon, lat] about the training mean; NaN with fewer than three stations or a vanishing determinant."""
     centre = train.mean(axis=0)
     x, at = (np.column_stack([np.ones(len(v)), v - centre]) for v in (train, target))
-    d = haversine_km(target, train)
-    width = width_plain(d, bw)[:, None] if adaptive else bw
-    w = kernel_weights(d, width, kernel)
-    if same:
-        np.fill_diagonal(w, 0.0)
-    ok = (w > 0).sum(axis=1) >= least
-    a = (w @ (x[:, :, None] * x[:, None, :]).reshape(-1, 9)).reshape(-1, 3, 3) + 1e-8 * np.eye(3)
-    ok &= np.abs(np.linalg.det(a)) > EPS
     out = np.full(len(target), np.nan)
-    if ok.any():
-        beta = np.linalg.solve(a[ok], ((w[ok] * y) @ x)[:, :, None])[:, :, 0]
-        out[ok] = (at[ok] * beta).sum(axis=1)
+
+    def plane(rows, w, a, b):
+        ok = ((w > 0).sum(axis=1) >= least) & (np.abs(np.linalg.det(a)) > EPS)
+        if ok.any():
+            out[rows[ok]] = (at[rows[ok]] * np.linalg.solve(a[ok], b[ok][:, :, None])[:, :, 0]).sum(axis=1)
+
+    def matrix(rows, found):
+        d = haversine_km(target[rows], train[found])
+        w = kernel_weights(d, width_plain(d, bw)[:, None] if adaptive else bw, kernel)
+        if same:
+            w[found[None, :] == rows[:, None]] = 0.0
+        some = x[found]
+        plane(rows, w, (w @ (some[:, :, None] * some[:, None, :]).reshape(-1, 9)).reshape(-1, 3, 3) + 1e-8 * np.eye(3), (w * y[found]) @ some)
+
+    all_rows, all_found = np.arange(len(target)), np.arange(len(train))
+    large = len(train) * len(target) > N.WHOLE
+    found = N.lists(train, target, int(bw), kernel) if large and adaptive and 0 < int(bw) <= len(train) else None
+    if found is not None:
+        for run in N.runs(len(target), 12 * found[0].shape[1]):
+            index, w = found[0][run], found[1][run].copy()
+            if same:
+                w[index == all_rows[run][:, None]] = 0.0
+            xw = np.swapaxes(x[index] * w[:, :, None], 1, 2)
+            plane(all_rows[run], w, xw @ x[index] + 1e-8 * np.eye(3), (xw @ y[index][:, :, None])[:, :, 0])
+    elif large and not adaptive and kernel in N.COMPACT and np.isfinite(bw):
+        for rows, some in N.within(train, target, max(float(bw), 1e-6)):
+            matrix(rows, some)
+    else:
+        for run in N.runs(len(target), len(train)) if large else [slice(None)]:
+            matrix(all_rows[run], all_found)
     return out
 
 
 def damped(y: np.ndarray, place: np.ndarray, groups: list[np.ndarray], fixed: np.ndarray, target: np.ndarray, groups_at: list[np.ndarray], fixed_at: np.ndarray, widths: list[float], kernel: str = "bisquare", adaptive: bool = True, loo: bool = False, ridge: float = 1e-6, omega: float = 1.5, tol: float = 1e-5, most: int = 1000) -> np.ndarray:
     """Local groups with a width each and global terms, over-relaxed; with ``loo`` self-excluding smoothers give the fit itself. NaN where it doesn't settle."""
-    d = haversine_km(place, place)
-    hats = [local_hat(g, g, d, b, kernel, adaptive, ridge, loo) for g, b in zip(groups, widths, strict=True)]
-    done = backfit(y, hats, projection(fixed, ridge) if fixed.shape[1] else None, tol, most, omega)
+    hats = [N.smoother(g, g, place, place, b, kernel, adaptive, ridge, loo) for g, b in zip(groups, widths, strict=True)]
+    done = backfit(y, hats, N.projected(fixed, ridge) if fixed.shape[1] else None, tol, most, omega)
     if done is None:
         return np.full(len(y) if loo else len(target), np.nan)
     parts, whole = done
     if loo:
         return sum(parts) + whole
     beta = np.linalg.solve(fixed.T @ fixed + ridge * np.eye(fixed.shape[1]), fixed.T @ (y - sum(parts))) if fixed.shape[1] else np.zeros(0)
-    out, dt = fixed_at @ beta if fixed.shape[1] else np.zeros(len(target)), haversine_km(target, place)
+    out = fixed_at @ beta if fixed.shape[1] else np.zeros(len(target))
     for i, (g, at, b) in enumerate(zip(groups, groups_at, widths, strict=True)):
         rest = y - (fixed @ beta if fixed.shape[1] else 0) - sum(c for j, c in enumerate(parts) if j != i)
-        out = out + local_hat(g, at, dt, b, kernel, adaptive, ridge) @ rest
+        out = out + N.smoother(g, at, place, target, b, kernel, adaptive, ridge) @ rest
     return out
 
 
 def mixed(y, place, local, fixed, target, local_at, fixed_at, bw: float, kernel: str = "bisquare", adaptive: bool = True, loo: bool = False, ridge: float = 1e-6, tol: float = 1e-5, most: int = 200) -> np.ndarray:
     """One local group and global terms by undamped back-fitting; the target's smoother leaves it out where ``loo``."""
-    d = haversine_km(place, place)
-    done = backfit(y, [local_hat(local, local, d, bw, kernel, adaptive, ridge)], projection(fixed, ridge) if fixed.shape[1] else None, tol, most)
+    done = backfit(y, [N.smoother(local, local, place, place, bw, kernel, adaptive, ridge)], N.projected(fixed, ridge) if fixed.shape[1] else None, tol, most)
     if done is None:
         return np.full(len(y) if loo else len(target), np.nan)
     (part,), _ = done
     beta = np.linalg.solve(fixed.T @ fixed + ridge * np.eye(fixed.shape[1]), fixed.T @ (y - part)) if fixed.shape[1] else np.zeros(0)
-    dt = d if loo else haversine_km(target, place)
     rest = y - (fixed @ beta if fixed.shape[1] else 0)
     whole = (fixed if loo else fixed_at) @ beta if fixed.shape[1] else 0.0
-    return local_hat(local, local if loo else local_at, dt, bw, kernel, adaptive, ridge, loo) @ rest + whole
+    return N.smoother(local, local if loo else local_at, place, place if loo else target, bw, kernel, adaptive, ridge, loo) @ rest + whole
 
 
 # --- folds

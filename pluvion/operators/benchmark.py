@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..functions import near
 from ..functions import regression as G
 from ..session import ship
 from ..storage import materialise
@@ -225,13 +226,17 @@ def tried(cells: DataFrame, method: str, options: list[dict], residual: bool, in
         else:
             splits = [(known, ~train)]
         out = []
+        shared = {}
+        if method in ("idw", "adw") and max((int(a.sum()) * int(b.sum()) for a, b in splits), default=0) > near.WHOLE:
+            pairs = [(o["power"], o["k"]) for o in options]
+            shared = {j: G.idw_options(place[a], value[a], place[b], pairs, angular=method == "adw") for j, (a, b) in enumerate(splits) if a.any() and b.any()}
         for i, o in enumerate(options):
             pred, failed = np.full(len(rows), np.nan), None
-            for a, b in splits:
+            for j, (a, b) in enumerate(splits):
                 if not a.any() or not b.any():
                     continue
                 try:
-                    pred[b] = predict(method, place[a], value[a], place[b], o)
+                    pred[b] = shared[j][i] if shared else predict(method, place[a], value[a], place[b], o)
                 except (np.linalg.LinAlgError, ValueError) as error:
                     failed = str(error)
             if residual:

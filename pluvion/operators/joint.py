@@ -168,6 +168,11 @@ def predict(rows: DataFrame, groups: Groups, method: str, candidates: list[Candi
     return out.withColumn("residual", F.when(~F.isnan("residual"), F.col("residual")))
 
 
+def known(rows: DataFrame) -> DataFrame:
+    """What a scan of left-out training rows reads: those with an observation and a product; the others take no part in a fit or a score."""
+    return rows.filter("fold <> held AND obs IS NOT NULL AND product IS NOT NULL")
+
+
 SHRINKS = (0.1, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -201,7 +206,7 @@ class Descent:
         new = [c for c in dict.fromkeys(combinations) if c not in self.known]
         if not new:
             return
-        found = scan(predict(self.rows, self.groups, "mgwr", [Candidate(c, self.kernel, self.adaptive) for c in new], loo=True), (1.0,))
+        found = scan(predict(known(self.rows), self.groups, "mgwr", [Candidate(c, self.kernel, self.adaptive) for c in new], loo=True), (1.0,))
         total = found.groupBy("candidate").agg(F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("rmse") * F.col("rmse")), F.sum("n"))).alias("rmse"), F.try_divide(F.sum(F.col("n") * F.col("mae")), F.sum("n")).alias("mae"), F.avg("coverage").alias("coverage"))
         got = {r["candidate"]: (r["rmse"], r["mae"], r["coverage"]) for r in total.collect()}  # a row a combination
         for i, c in enumerate(new):

@@ -160,3 +160,17 @@ def test_dense_hours(spark, monkeypatch):
         **{(None, h): (0.0, 0.0, 0.0, 0.0) for h in range(4)},
     }
     assert nearest.hour_features(stations, seen.limit(0)).count() == 0
+
+
+def test_scans_read_known_rows_only(spark):
+    from pluvion.operators import joint as J
+
+    r = np.random.default_rng(2)
+    rows = [(h, s, t, s % 2, float(PLACE[s, 0]), float(PLACE[s, 1]), None if r.random() < 0.2 else float(r.gamma(2)), None if r.random() < 0.2 else float(r.gamma(2)), *map(float, r.normal(size=4))) for t in range(2) for h in (0, 1) for s in range(60)]
+    data = spark.createDataFrame(rows, "held bigint, station_id bigint, t bigint, fold bigint, lon double, lat double, obs double, product double, sx double, sy double, z_b double, z_c double")
+    groups = J.Groups({"b": ("b",), "c": ("c",)}, {"b": "local", "c": "global"}, ridge=1e-2)
+    assert J.known(data).count() < data.filter("fold <> held").count()
+    for method in ("mixed_gwr", "mgwr"):
+        candidates = [J.Candidate((12,) * len(groups.names(method)))]
+        a, b = (sorted(map(tuple, J.scan(J.predict(x, groups, method, candidates, loo=True)).collect()), key=lambda x: x[:3]) for x in (data, J.known(data)))
+        assert len(a) == 10 and [x[:4] for x in a] == [x[:4] for x in b] and np.allclose(np.array(a, float), np.array(b, float), equal_nan=True)

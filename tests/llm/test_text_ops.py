@@ -356,3 +356,25 @@ def test_pixel_arrays(spark, odd, tmp_path):
     got = {(r.doc_id, bytes(r.pixels)) for r in spark.read.parquet(path).collect()}
     want = {(r.doc_id, media.payload((r.text or "").encode()).tobytes()) for r in odd.filter("doc_id < 8").collect()}
     assert got == want
+
+
+def test_words_are_hashed_without_a_loop(monkeypatch):
+    import pyarrow as pa
+
+    from pluvion.llm import near_dup
+
+    r = np.random.default_rng(4)
+    letters = list("aAbBzZ09_ \t\n\v\f\r\u00a0\u00e9\u4e2d\U0001f600\x1c\x00")
+    texts = [None, "", " ", "a", "A  b", "\na b\t", "x" * 70_000, "x" * 69_999 + "y"] + ["".join(r.choice(letters, r.integers(1, 60))) for _ in range(400)]
+    monkeypatch.setattr(common, "words_of", None)  # the pass over the texts has no list of words
+    for given in (texts, pa.array(texts), pa.array(["q w e", *texts, "r t"]).slice(1, len(texts))):
+        flat, n = near_dup.word_hashes(given)
+        words = [w for t in texts for w in (t or "").encode().lower().split()]
+        assert n.tolist() == [len((t or "").encode().split()) for t in texts] and len(flat) == len(words)
+        assert len(set(zip(words, flat.tolist()))) == len(set(words)) == len(set(flat.tolist()))
+        for k in (1, 3, 5):
+            sets, size = near_dup.shingle_sets(given, k)
+            plain = [{tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set() for t in texts for w in [(t or "").encode().lower().split()]]
+            assert size.tolist() == list(map(len, plain)) and len(set(sets.tolist())) == len(set().union(*plain))
+            ends = np.cumsum(size)
+            assert all((np.diff(sets[e - c : e].astype(object)) > 0).all() for e, c in zip(ends, size))

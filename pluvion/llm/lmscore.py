@@ -78,6 +78,8 @@ SIZES, BINS = 24, 64
 #: Distinct tokens of one training task, and least number of one online step.
 TASK_TOKENS = 1_000_000
 BATCH_TOKENS = 4_096
+#: Tokens of a chunk whose probabilities are worked out at once.
+PART = 1 << 17
 
 
 def spell(tokens: list[bytes]) -> list[bytes]:
@@ -86,7 +88,8 @@ def spell(tokens: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Bytes:
-    """Spelled tokens byte by byte: owner, place, byte, first counter of each hashed context, counts of beginnings."""
+    """Spelled tokens byte by byte: owner, place, byte, first counter of each hashed context, counts of beginnings; with those, the bytes
+    beyond their heads and what gate the runs of one count give."""
 
     owner: np.ndarray
     place: np.ndarray
@@ -94,6 +97,8 @@ class Bytes:
     bases: list[np.ndarray]
     head: np.ndarray
     ends: np.ndarray | None = None
+    deep: np.ndarray | None = None
+    run: np.ndarray | None = None
 
     @classmethod
     def of(cls, tokens: list[bytes], heads: np.ndarray, counts: np.ndarray | None = None) -> "Bytes":
@@ -113,7 +118,17 @@ class Bytes:
         depth = np.minimum(place, 15).astype(np.uint64)
         # a head of up to HEAD - 1 bytes is the last bytes and the place
         bases = [depth << np.uint64(8), one << np.uint64(8), scramble(two + np.uint64(1 << 40)), scramble(three + np.uint64(2 << 40)), scramble(two + (depth + np.uint64(3)) * np.uint64(1 << 40))]
-        return cls(owner, place, data, bases, heads[owner], None if counts is None else beginnings(tokens, n, first, counts, owner, place))
+        bases = [x.astype(np.uint32) for x in bases]  # counters are chosen by fewer bits
+        head = heads[owner]
+        if counts is None:
+            return cls(owner, place, data, bases, head)
+        ends = beginnings(tokens, n, first, counts, owner, place)
+        # Bytes for which the count of the beginning has not changed: the longer, the surer that the token is the known one.
+        total = ends[:, 0]
+        stays = np.concatenate([[False], total[1:] == total[:-1]])[: len(total)] & (place > head) & (total > 0)
+        index = np.arange(len(stays))
+        length = np.minimum(index - np.maximum.accumulate(np.where(stays, 0, index)), 5)
+        return cls(owner, place, data, bases, head, ends, np.flatnonzero(place >= head), np.asarray([0, 1, 2, 2, 3, 3], np.uint8)[length] * np.uint8(SEEN * MIDDLE))
 
 
 def common_bits(tokens: list[bytes]) -> np.ndarray:
@@ -157,11 +172,12 @@ def beginnings(tokens: list[bytes], n: np.ndarray, first: np.ndarray, counts: np
 
 def bit_slots(b: Bytes, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(bit k of each byte from the top, counters of each hashed context for it)."""
-    node = (b.data.astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - k)
+    node = (b.data.astype(np.uint32) | np.uint32(256)) >> np.uint32(8 - k)
+    far = node * np.uint32(0x2545F491)
     out = []
     for c, (base, size) in enumerate(zip(b.bases, BITS, strict=True)):
-        at = base + node if c < 2 else base + node * np.uint64(0x2545F491)
-        out.append((at & np.uint64((1 << size) - 1)).astype(np.int64) + STARTS[c])
+        at = base + (node if c < 2 else far)
+        out.append((at & np.uint32((1 << size) - 1)).astype(np.int64) + STARTS[c])
     return ((b.data >> (7 - k)) & 1).astype(np.int64), out
 
 
@@ -180,36 +196,55 @@ def count_bits(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, table
             tables[low : low + size] += np.bincount(index, weights=w, minlength=2 * size).reshape(-1, 2)
 
 
-def inputs(b: Bytes, k: int, tables: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bit, logits (bits, INPUTS), gate) for bit k of each byte; with ``unseen`` one occurrence of the token is taken out."""
+def _levels(seen: np.ndarray) -> np.ndarray:
+    """Gate of how often a beginning was seen."""
+    return np.minimum(np.where(seen < 3.5, seen, 2 + np.log2(np.maximum(seen, 1))), SEEN - 1).astype(np.uint8) * np.uint8(MIDDLE)
+
+
+@dataclass
+class Sights:
+    """What each counter says, worked out once: its logit, and its part of the gate; with ``unseen`` for either bit (counter * 2 + bit), one occurrence of it taken out."""
+
+    unseen: bool
+    logits: np.ndarray
+    levels: np.ndarray
+    between: np.ndarray
+
+    @classmethod
+    def of(cls, tables: np.ndarray, unseen: bool) -> "Sights":
+        zero, one = tables[:, 0].astype(np.float32), tables[:, 1].astype(np.float32)
+        if unseen:
+            zero, one = np.column_stack([np.maximum(zero - 1, 0), zero]).ravel(), np.column_stack([one, np.maximum(one - 1, 0)]).ravel()
+        borders = [x * (1 + unseen) for x in STARTS]
+        logits = np.empty(len(zero), np.float32)
+        for prior, a, b in zip(PRIOR, borders[:-1], borders[1:], strict=True):
+            logits[a:b] = np.log((one[a:b] + np.float32(prior)) / (zero[a:b] + np.float32(prior)))
+        total = zero + one
+        middle = total[borders[-3] : borders[-2]]
+        return cls(unseen, logits, _levels(total[borders[-2] :]), np.where(middle < 0.5, 0, np.where(middle < 30, 1, 2)).astype(np.uint8))
+
+
+def inputs(b: Bytes, k: int, sights: Sights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bit, logits (INPUTS, bits), gate) for bit k of each byte."""
     bit, slots = bit_slots(b, k)
-    x = np.empty((len(bit), INPUTS), np.float32)
-    minus_one, minus_zero = (bit, 1 - bit) if unseen else (0, 0)
-    seen = middle = None
+    unseen = sights.unseen
+    x = np.empty((INPUTS, len(bit)), np.float32)
     for c, at in enumerate(slots):
-        pair = tables[at]
-        zero, one = pair[:, 0], pair[:, 1]
-        if c == len(slots) - 1:
-            deep = b.place >= b.head
-            own, node = b.ends[:, k + 1], b.ends[:, k]
-            one = np.where(deep, np.where(bit == 1, own, node - own), one)
-            zero = np.where(deep, np.where(bit == 1, node - own, own), zero)
-        zero, one = np.maximum(zero - minus_zero, 0), np.maximum(one - minus_one, 0)
-        x[:, c] = np.log((one + PRIOR[c]) / (zero + PRIOR[c]))
-        if c == len(slots) - 2:
-            middle = zero + one
-        elif c == len(slots) - 1:
-            seen = zero + one
-    x[:, -1] = 0.3
-    # Bytes for which the count of the beginning has not changed: the longer, the surer that the token is the known one.
-    total = b.ends[:, 0]
-    stays = np.concatenate([[False], total[1:] == total[:-1]]) & (b.place > b.head) & (total > 0)
-    index = np.arange(len(stays))
-    run = np.minimum(index - np.maximum.accumulate(np.where(stays, 0, index)), 5)
-    run = np.asarray([0, 1, 2, 2, 3, 3])[run]
-    levels = np.minimum(np.where(seen < 3.5, seen, 2 + np.log2(np.maximum(seen, 1))), SEEN - 1).astype(np.int64)
-    between = np.where(middle < 0.5, 0, np.where(middle < 30, 1, 2))
-    return bit, x, (run * SEEN + levels) * MIDDLE + between
+        if unseen:
+            at *= 2
+            at += bit
+        np.take(sights.logits, at, out=x[c], mode="clip")
+    between = sights.between.take(slots[-2] - STARTS[-3] * (1 + unseen))
+    level = sights.levels.take(slots[-1] - STARTS[-2] * (1 + unseen))
+    own, node = b.ends[b.deep, k + 1], b.ends[b.deep, k]
+    other = node - own
+    if unseen:
+        own = np.maximum(own - 1, 0)
+    same = np.log((own + np.float32(PRIOR[-1])) / (other + np.float32(PRIOR[-1])))
+    x[len(slots) - 1, b.deep] = np.where(bit[b.deep] == 1, same, -same)
+    level[b.deep] = _levels(own + other)
+    x[-1] = 0.3
+    return bit, x, b.run + level + between
 
 
 @dataclass
@@ -234,7 +269,11 @@ class Mixer:
         return cls(weights, curves, cells)
 
     def logit(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("bi,bi->b", x, self.weights[gate]), -16, 16)
+        columns = np.ascontiguousarray(self.weights.T)
+        t = columns[0].take(gate) * x[0]
+        for w, part in zip(columns[1:], x[1:], strict=True):
+            t += w.take(gate) * part
+        return np.clip(t, -16, 16, out=t)
 
     def _cells(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = (np.clip(t, -12, 11.999) + 12) * (CELLS - 1) / 24
@@ -246,7 +285,7 @@ class Mixer:
         t = self.logit(x, gate)
         low, part = self._cells(t)
         share = (self.cells[:, :, 1] / self.cells.sum(axis=2)).ravel()
-        at = gate * CELLS + low
+        at = gate.astype(np.int64) * CELLS + low
         refined = share[at] * (1 - part) + share[at + 1] * part
         return np.clip((1 / (1 + np.exp(-t)) + 3 * refined) / 4, 1e-7, 1 - 1e-7)
 
@@ -255,16 +294,19 @@ class Mixer:
         t = self.logit(x, gate)
         p = 1 / (1 + np.exp(-t))
         order = np.argsort(gate, kind="stable")
-        xs = x[order].astype(np.float64)
+        xs = x[:, order].astype(np.float64)
         error, curve = ((bit - p) * weight)[order], (p * (1 - p) * weight)[order]
-        met, starts = np.unique(gate[order], return_index=True)
-        for g, a, b in zip(met.tolist(), starts.tolist(), [*starts[1:].tolist(), len(xs)], strict=True):
-            part = xs[a:b]
-            self.curves[g] += (part * curve[a:b, None]).T @ part
-            step = np.linalg.solve(self.curves[g], part.T @ error[a:b])
-            self.weights[g] += step.clip(-STEP, STEP)
+        many = np.bincount(gate, minlength=GATES)
+        met, ends = np.flatnonzero(many), np.cumsum(many)
+        slopes = np.empty((len(met), INPUTS))
+        for i, g in enumerate(met.tolist()):
+            a, b = ends[g] - many[g], ends[g]
+            part = xs[:, a:b]
+            self.curves[g] += (part * curve[a:b]) @ part.T
+            slopes[i] = part @ error[a:b]
+        self.weights[met] += np.linalg.solve(self.curves[met], slopes[:, :, None])[:, :, 0].clip(-STEP, STEP)
         low, part = self._cells(t)
-        at = (gate * CELLS + low) * 2 + bit
+        at = (gate.astype(np.int64) * CELLS + low) * 2 + bit
         both = np.bincount(np.concatenate([at, at + 2]), weights=np.concatenate([weight * (1 - part), weight * part]), minlength=self.cells.size)
         self.cells += both[: self.cells.size].reshape(self.cells.shape)
 
@@ -276,27 +318,29 @@ def in_groups(tokens: list[bytes], *columns: np.ndarray) -> tuple:
     return [spelled[i] for i in order], *(c[order] for c in columns), np.asarray(order, np.int64)
 
 
-def learn_mixer(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray, mixer: Mixer) -> None:
+def learn_mixer(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray | Sights, mixer: Mixer) -> None:
     """Online pass over tokens (whole groups of one head)."""
     tokens, heads, counts, _ = in_groups(tokens, heads, counts)
     b = Bytes.of(tokens, heads, counts)
     weight = counts[b.owner].astype(np.float64)
+    sights = tables if isinstance(tables, Sights) else Sights.of(tables, True)
     for k in range(8):
-        bit, x, gate = inputs(b, k, tables, True)
+        bit, x, gate = inputs(b, k, sights)
         mixer.learn(x, gate, bit, weight)
 
 
-def token_scores(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray, mixer: Mixer) -> np.ndarray:
+def token_scores(tokens: list[bytes], heads: np.ndarray, counts: np.ndarray, tables: np.ndarray | Sights, mixer: Mixer) -> np.ndarray:
     """log10 probability of each token (whole groups of one head)."""
     sorted_tokens, heads, c, order = in_groups(tokens, heads, counts)
     b = Bytes.of(sorted_tokens, heads, c)
-    log = np.zeros(len(b.data))
+    sights = tables if isinstance(tables, Sights) else Sights.of(tables, False)
+    chance = np.ones(len(b.data))
     for k in range(8):
-        bit, x, gate = inputs(b, k, tables, False)
+        bit, x, gate = inputs(b, k, sights)
         p = mixer.predict(x, gate)
-        log += np.log10(np.where(bit == 1, p, 1 - p))
+        chance *= np.where(bit == 1, p, 1 - p)
     out = np.empty(len(tokens))
-    out[order] = np.bincount(b.owner, weights=log, minlength=len(tokens))
+    out[order] = np.bincount(b.owner, weights=np.log10(chance), minlength=len(tokens))
     return out
 
 
@@ -323,6 +367,43 @@ def followed(numbers: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray,
     return token, before, first
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order, keys in it) of non-negative numbers: leading bits and place are sorted as one number, many times as fast as an order is found."""
+    keys = keys.view(np.uint64)
+    bits = np.uint64(max(len(keys) - 1, 1).bit_length())
+    up = np.uint64(64 - max(int(keys.max(initial=1)), 1).bit_length())
+    both = ((keys << up) >> bits) << bits
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    both &= (np.uint64(1) << bits) - np.uint64(1)
+    order = both.view(np.int64)
+    out = keys[order]
+    wrong = np.flatnonzero(out[1:] < out[:-1])  # different keys with the same leading bits
+    if len(wrong) > 1000:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    lead = lambda i: (int(out[i]) << int(up)) >> int(bits)
+    for i in wrong.tolist():
+        a, b = i, i + 2
+        while a and lead(a - 1) == lead(i):
+            a -= 1
+        while b < len(out) and lead(b) == lead(i):
+            b += 1
+        order[a:b] = order[a:b][np.lexsort((order[a:b], out[a:b]))]
+        out[a:b] = keys[order[a:b]]
+    return order, out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the place of each key among them."""
+    order, out = ordered(keys)
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    place = np.empty(len(out), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return out[new].view(keys.dtype), place
+
+
 def runs(numbers: np.ndarray, n: np.ndarray, end: int, size: int) -> tuple:
     """(tokens with each text's end, the one before each, text's start?, pair codes, pair of each, triple codes, triple of each).
 
@@ -330,10 +411,10 @@ def runs(numbers: np.ndarray, n: np.ndarray, end: int, size: int) -> tuple:
     first tokens have no triple (-1). Codes depend on the set of texts only.
     """
     token, before, first = followed(numbers, n, end)
-    pairs, pair = np.unique(before * size + token, return_inverse=True)
+    pairs, pair = distinct(before * size + token)
     third = np.concatenate([[0], pair[:-1]]) * size + token
-    triples, known = np.unique(third[~first], return_inverse=True)
-    triple = np.full(len(token), -1, np.int64)
+    triples, known = distinct(third[~first])
+    triple = np.full(len(token), -1, np.int32)
     triple[~first] = known
     return token, before, first, pairs, pair, triples, triple
 
@@ -356,12 +437,18 @@ def following(one: np.ndarray, token: np.ndarray, before: np.ndarray, first: np.
     return two, scramble(two[rest - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[token[rest]])
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes, their number before them; those of 255 and more follow in 8 bytes each."""
-    return np.array([len(counts)], "<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+def _squeezed(data: bytes, strategy: int) -> bytes:
+    c = zlib.compressobj(1, zlib.DEFLATED, 15, 8, strategy)
+    return c.compress(data) + c.flush()
+
+
+def packed(counts: np.ndarray, strategy: int = zlib.Z_RLE) -> bytes:
+    """Counts as bytes, compressed, their number before them; those of 255 and more follow in 8 bytes each."""
+    return _squeezed(np.array([len(counts)], "<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes(), strategy)
 
 
 def unpacked(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<i8", offset=4 + n)
@@ -369,19 +456,29 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the hashes, first place of each bucket in it and the end, KEY_BYTES bytes of each hash in order)."""
-    hashes = keys.view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
+    """(order of the hashes, first place of each bucket in it and the end, the KEY_BYTES bytes of each hash in order that follow the bucket's bits)."""
+    order, hashes = ordered(keys)
     starts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    rest = np.ascontiguousarray((hashes << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES))
-    return order, starts, rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    return order, starts, (hashes << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
 
 
-def widened(keys: bytes) -> np.ndarray:
-    out = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").ravel()
+def narrowed(keys: np.ndarray) -> bytes:
+    """Ascending keys of KEY_BYTES bytes: low bytes as they are, of what stands above them the steps from key to key, which are small where the keys are many."""
+    if not len(keys):
+        return b""
+    low = 3 if len(keys) >= 1 << 12 else 4 if len(keys) >= 1 << 4 else KEY_BYTES
+    high = (keys >> np.uint64(8 * low)).astype(np.int64)
+    raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low])
+    return bytes([low]) + raw.tobytes() + packed(np.diff(high, prepend=0), zlib.Z_HUFFMAN_ONLY) + struct.pack("<I", len(keys))
+
+
+def widened(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    low, (n,) = data[0], struct.unpack("<I", data[-4:])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, n * low, 1).reshape(n, low)
+    return out.view("<u8").ravel() | np.cumsum(unpacked(data[1 + n * low : -4])).astype(np.uint64) << np.uint64(8 * low)
 
 
 def size_of(count: np.ndarray) -> np.ndarray:
@@ -472,7 +569,7 @@ def chunks(docs: DataFrame, base: str, id_col: str = "doc_id", text_col: str = "
                 order, starts, rest = dealt(key, bits)
                 count = count[order].astype(np.int64)
                 spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
-                blobs += [[rest[a:b].tobytes() for a, b in spans], [packed(count[a:b]) for a, b in spans]]
+                blobs += [[narrowed(rest[a:b]) for a, b in spans], [packed(count[a:b]) for a, b in spans]]
             some = [i for i in range(1 << bits) if blobs[0][i] or blobs[2][i] or blobs[4][i]]
             for a in range(0, len(some), 64):
                 part = some[a : a + 64]
@@ -514,7 +611,7 @@ def summed(rows: DataFrame) -> DataFrame:
             keys = [widened(x) for x in table.column("keys" + name).to_pylist()]
             n = [len(k) for k in keys]
             counts = np.concatenate([unpacked(x) for x in table.column("counts" + name).to_pylist()])
-            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            _, at = distinct(np.concatenate(keys))
             own = np.bincount(at, weights=counts).astype(np.int64)
             sums.append(pa.array([packed(own[part]) for part in np.split(at, np.cumsum(n)[:-1])], pa.binary()))
             del keys, counts, at
@@ -660,7 +757,7 @@ def fit(heads: DataFrame, rows: int) -> Model:
     def online(batches):
         from pyspark import TaskContext
 
-        known, own = _table(shared), Mixer.new()
+        known, own = _sights(shared, True), Mixer.new()
         start = own.cells.copy()
         for tokens, lengths, c, _ in _collected(batches, BATCH_TOKENS, True):
             learn_mixer(tokens, lengths, c.astype(np.float64), known, own)
@@ -676,9 +773,9 @@ def fit(heads: DataFrame, rows: int) -> Model:
     return model
 
 
-def _table(shared) -> np.ndarray:
-    """The broadcast tables, unpacked once a worker."""
-    return common.kept(f"tables {zlib.crc32(shared.value)}", lambda: np.frombuffer(zlib.decompress(shared.value), np.float32).reshape(SLOTS, 2))
+def _sights(shared, unseen: bool) -> Sights:
+    """Of the broadcast tables, worked out once a worker."""
+    return common.kept(f"sights {unseen} {zlib.crc32(shared.value)}", lambda: Sights.of(np.frombuffer(zlib.decompress(shared.value), np.float32).reshape(SLOTS, 2), unseen))
 
 
 def score_tokens(heads: DataFrame, model: Model) -> DataFrame:
@@ -687,7 +784,7 @@ def score_tokens(heads: DataFrame, model: Model) -> DataFrame:
     more = [c for c in heads.columns if c not in ("token", "c", "head")]
 
     def run(batches):
-        known = _table(shared)
+        known = _sights(shared, False)
         for tokens, lengths, c, rest in _collected(batches, BATCH_TOKENS, True):
             found = token_scores(tokens, lengths, c.astype(np.float64), known, mixer)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(c), pa.array(found.astype(np.float32)), *map(pa.array, rest)], names=["token", "c", "score", *more])
@@ -710,49 +807,64 @@ class Laid:
     orders: list
 
     @classmethod
-    def of(cls, data: bytes, row: dict, bits: int) -> "Laid":
+    def of(cls, data: bytes, row: dict, bits: int, orders: int = 2) -> "Laid":
         (cut,) = struct.unpack_from("<q", data)
         docs, tokens = (pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in (memoryview(data)[8 : 8 + cut], memoryview(data)[8 + cut :]))
         tokens = tokens.column("token").combine_chunks()
         lists = docs.column("numbers").combine_chunks()
         n = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
         end = tokens.index(END).as_py()
-        c, c2, c3 = (unpacked(row[k]) for k in ("c1", "c2", "c3"))
+        ids, held = docs.column("id").combine_chunks(), docs.column("held_out").to_numpy()
+        c, *more = (unpacked(row[k]) for k in ("c1", "c2", "c3")[: 1 + orders])
         one = hashes(tokens)
         token, before, first = followed(flat, n, end)
         two, three = following(one, token, before, first)
-        at = [np.unique(x, return_inverse=True) for x in (two, three)]
-        if [len(u) for u, _ in at] == [len(c2), len(c3)]:
-            pair, rest = (inverse for _, inverse in at)
-        else:  # two pairs of one hash: told apart by their codes, as in ``chunks``
+        size = pa.compute.binary_length(tokens.cast(pa.binary())).to_numpy().astype(np.int64) + 1
+        size[end] = 1
+        borders = np.concatenate([[0], np.cumsum(n + 1)])
+        places, same = [], True
+        for keys, counts in zip((two, three), more):
+            keys, place = distinct(keys)
+            same &= len(keys) == len(counts)
+            places.append(place)
+        del two, three, docs, lists
+        if not same:  # two pairs of one hash: told apart by their codes, as in ``chunks``
             *_, pairs, pair, triples, triple = runs(flat, n, end, len(tokens))
             places = []
-            for keys in _combined(one, pairs, triples):
+            for keys, at in zip(_combined(one, pairs, triples), (pair, triple[~first])):
                 place = np.empty(len(keys), np.int64)
                 place[dealt(keys, bits)[0]] = np.arange(len(keys))
-                places.append(place)
-            pair, rest = places[0][pair], places[1][triple[~first]]
-        c2 = c2[pair]
-        context = np.concatenate([[0], c2[:-1]])
-        context[first] = 0  # no two tokens before a text's first
-        triple = np.zeros(len(token), np.int64)
-        triple[~first] = c3[rest]
-        c3 = triple
-        size = pa.compute.binary_length(tokens.cast(pa.binary())).to_numpy().astype(np.int64) + 1
-        size[end] = 1
-        return cls(docs.column("id").combine_chunks(), docs.column("held_out").to_numpy(), np.concatenate([[0], np.cumsum(n + 1)]), token, np.frombuffer(row["own"], "<f4")[token], c, size, [(c2, c[before]), (c3, context)])
-
-    def probabilities(self, gates: list[np.ndarray]) -> np.ndarray:
+                places.append(place[at])
+        found = [(_small(more[0])[places[0]], _small(c)[before])]
+        del flat, before
+        if orders > 1:
+            context = np.concatenate([[0], found[0][0][:-1]]).astype(found[0][0].dtype)
+            context[first] = 0  # no two tokens before a text's first
+            c3 = _small(more[1])
+            triple = np.zeros(len(token), c3.dtype)
+            triple[~first] = c3[places[1]]
+            found.append((triple, context))
+        return cls(ids, held, borders, token.astype(np.int32), np.frombuffer(row["own"], "<f4"), c, size, found)
+
+    def parts(self):
+        """Slices of the tokens, so that what is worked out along them stays small."""
+        return (slice(a, a + PART) for a in range(0, len(self.token), PART))
+
+    def probabilities(self, gates: list[np.ndarray], part: slice = slice(None)) -> np.ndarray:
         """Of each token, with the first ``gates`` orders mixed in."""
-        p = 10.0 ** self.own.astype(np.float64)
+        p = 10.0 ** self.own[self.token[part]].astype(np.float64)
         for (count, context), g in zip(self.orders, gates):
-            p = mixed_in(p, count, context, g)
+            p = mixed_in(p, count[part], context[part], g)
         return p
 
 
-def _laid(rows: DataFrame, base: str, bits: int, function, schema: str) -> DataFrame:
-    """``function`` of each chunk laid out."""
+def _small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+
+
+def _laid(rows: DataFrame, base: str, bits: int, function, schema: str, orders: int = 2) -> DataFrame:
+    """``function`` of each chunk laid out, with the counts of the first ``orders``."""
 
     def run(batches):
         from pyarrow import fs
@@ -762,10 +874,13 @@ def _laid(rows: DataFrame, base: str, bits: int, function, schema: str) -> DataF
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 with store.open_input_stream(f"{root}/{row['chunk']}") as f:
-                    laid = Laid.of(f.read(), row, bits)
+                    laid = Laid.of(f.read(), row, bits, orders)
+                row = None
                 yield from function(laid)
+                del laid
+                common.give_back()
 
-    return common.arrow(rows, run, schema)
+    return common.arrow(rows.select("chunk", "own", *("c1", "c2", "c3")[: 1 + orders]), run, schema)
 
 
 def learned_gates(rows: DataFrame, base: str, bits: int) -> list[np.ndarray]:
@@ -774,15 +889,17 @@ def learned_gates(rows: DataFrame, base: str, bits: int) -> list[np.ndarray]:
     for order in range(2):
 
         def seen_in(laid: Laid, order=order):
-            p = laid.probabilities(gates)
             count, context = laid.orders[order]
             some = (context > 0) & np.repeat(~laid.held, np.diff(laid.borders))
-            seen = odds_seen(p[some], count[some], context[some]).ravel()
+            seen = np.zeros(SIZES * (BINS + 1), np.int64)
+            for part in laid.parts():
+                use = some[part]
+                seen += odds_seen(laid.probabilities(gates, part)[use], count[part][use].astype(np.int64), context[part][use].astype(np.int64)).ravel()
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "n"])
 
         seen = np.zeros(SIZES * (BINS + 1))
-        for cell, n in _laid(rows, base, bits, seen_in, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():  # SIZES * (BINS + 1) at most
+        for cell, n in _laid(rows, base, bits, seen_in, "cell bigint, n bigint", order + 1).groupBy("cell").agg(F.sum("n")).collect():  # SIZES * (BINS + 1) at most
             seen[cell] = n
         gates.append(gates_of(seen.reshape(SIZES, BINS + 1)))
     return gates
@@ -807,7 +924,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total, floor = model.train_tokens, math.log10(model.train_tokens + model.distinct + 1)
 
     def scores(laid: Laid):
-        log = np.log10(laid.probabilities(gates))
+        log = np.concatenate([np.log10(laid.probabilities(gates, part)) for part in laid.parts()])
         known, plain = laid.counts > 0, np.log10(laid.counts + 1.0) - floor
         starts = laid.borders[:-1]
         add = lambda x: np.add.reduceat(x, starts)

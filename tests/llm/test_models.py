@@ -394,3 +394,50 @@ def test_hashes_along_tokens_are_those_of_distinct_pairs_and_triples():
     assert (found[0] == two[pair]).all() and (found[1] == three[triple[~first]]).all()
     order = lmscore.dealt(two.view(np.int64), 3)[0]
     assert (np.unique(found[0]) == two[order]).all()
+
+
+def test_orders_and_keys_of_hashes():
+    import numpy as np
+
+    from pluvion.llm import lmscore
+
+    r = np.random.default_rng(3)
+    alike = np.arange(40, dtype=np.uint64)[::-1] + (np.uint64(1) << np.uint64(63))  # the same leading bits
+    for keys in (r.integers(0, 50, 1000).astype(np.uint64), np.concatenate([alike, r.integers(0, 1 << 63, 9000).astype(np.uint64), alike]), np.zeros(0, np.uint64)):
+        order, out = lmscore.ordered(keys)
+        assert (order == np.argsort(keys, kind="stable")).all() and (out == np.sort(keys)).all()
+        different, place = lmscore.distinct(keys)
+        want, at = np.unique(keys, return_inverse=True)
+        assert (different == want).all() and (place == at).all()
+    for n, most in ((0, 0), (1, 30), (400, 4.6), (30_000, 3.5)):
+        keys = np.sort(r.integers(0, 1 << 40, n).astype(np.uint64))
+        data = lmscore.narrowed(keys)
+        assert (lmscore.widened(data) == keys).all() and len(data) <= most * n
+
+
+def test_chunk_is_laid_out_in_little_memory():
+    """What a chunk of a million tokens holds once laid out, in bytes a token."""
+    import struct
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pluvion.llm import lmscore
+
+    r = np.random.default_rng(4)
+    numbers, n = (r.zipf(1.3, 1_000_000) % 50_000).astype(np.int64), np.full(1000, 1000)
+    tokens = pa.array([*(f"w{i}" for i in range(50_000)), lmscore.END])
+    one = lmscore.hashes(tokens)
+    _, _, first, pairs, _, triples, _ = lmscore.runs(numbers, n, 50_000, 50_001)
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])), pa.array(numbers.astype(np.uint32)))
+    parts = [lmscore._stored(pa.table({"id": np.arange(1000), "held_out": np.zeros(1000, bool), "numbers": lists})), lmscore._stored(pa.table({"token": tokens}))]
+    counts = {k: lmscore.packed(np.arange(m) % 300) for k, m in (("c1", len(one)), ("c2", len(pairs)), ("c3", len(triples)))}
+    tracemalloc.start()
+    laid = lmscore.Laid.of(struct.pack("<q", len(parts[0])) + parts[0] + parts[1], {"own": np.full(len(one), -3, "<f4").tobytes()} | counts, 3)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    two, three = lmscore.following(one, laid.token, np.concatenate([[50_000], laid.token[:-1]]), np.arange(len(laid.token)) % 1001 == 0)
+    assert (laid.orders[0][0] == (np.arange(len(pairs)) % 300)[np.unique(two, return_inverse=True)[1]]).all()
+    assert (laid.orders[1][0][~(np.arange(len(laid.token)) % 1001 == 0)] == (np.arange(len(triples)) % 300)[np.unique(three, return_inverse=True)[1]]).all()
+    assert held < 30 * len(laid.token)

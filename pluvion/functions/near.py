@@ -140,7 +140,7 @@ class Hat:
         self.index, self.value = index, value
 
     def __matmul__(self, v: np.ndarray) -> np.ndarray:
-        return np.einsum("tk,tk->t", self.value, v[self.index])
+        return np.einsum("tk,tk->t", self.value, v.take(self.index))
 
 
 class Recomputed:
@@ -167,11 +167,22 @@ def projected(x: np.ndarray, ridge: float = 1e-6):
     return L.projection(x, ridge) if len(x) ** 2 <= WHOLE else Projection(x, ridge)
 
 
-def lists(train: np.ndarray, target: np.ndarray, k: int, kernel: str, same: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
-    """(rows, weights) of each target's k nearest under a kernel that ends at the k-th; None where lists don't hold all that weigh."""
+def _count(bw: float, train: int, loo: bool = False) -> int:
+    """Neighbours of an adaptive width."""
+    return int(np.clip(np.rint(bw), 2, max(train - loo, 2)))
+
+
+def shared(train: np.ndarray, target: np.ndarray, widths: list[float], kernel: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """``nearest`` for smoothers of several adaptive widths between the same places: that of the widest holds those of all; None where they make no lists."""
+    some = [k for k in (_count(b, len(train)) for b in widths) if k <= MOST]
+    return nearest(train, target, max(some)) if some and kernel in COMPACT and len(train) * len(target) > WHOLE else None
+
+
+def lists(train: np.ndarray, target: np.ndarray, k: int, kernel: str, same: bool = False, met: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(rows, weights) of each target's k nearest under a kernel that ends at the k-th; None where lists don't hold all that weigh. met: of ``shared``."""
     if kernel not in COMPACT or k > MOST:
         return None
-    index, d = nearest(train, target, k, same)
+    index, d = nearest(train, target, k, same) if met is None else (x[:, :k] for x in met)
     if (d[:, -1] <= L.EPS).any():  # more than k in one place weigh alike
         return None
     width = np.where(np.isfinite(d[:, -1]), d[:, -1], 1.0)
@@ -179,12 +190,12 @@ def lists(train: np.ndarray, target: np.ndarray, k: int, kernel: str, same: bool
     return np.maximum(index, 0), np.where(met, L.kernel_weights(np.where(met, d, 0), width[:, None], kernel), 0.0)
 
 
-def smoother(xt: np.ndarray, xg: np.ndarray, train: np.ndarray, target: np.ndarray, bw: float, kernel: str = "bisquare", adaptive: bool = True, ridge: float = 1e-6, loo: bool = False):
-    """``linalg.local_hat`` from places, as what multiplies a vector: its matrix for small networks, else lists or blocks of rows."""
+def smoother(xt: np.ndarray, xg: np.ndarray, train: np.ndarray, target: np.ndarray, bw: float, kernel: str = "bisquare", adaptive: bool = True, ridge: float = 1e-6, loo: bool = False, met: tuple[np.ndarray, np.ndarray] | None = None):
+    """``linalg.local_hat`` from places, as what multiplies a vector: its matrix for small networks, else lists or blocks of rows. met: of ``shared``."""
     if len(train) * len(target) <= WHOLE:
         return L.local_hat(xt, xg, L.haversine_km(target, train), bw, kernel, adaptive, ridge, loo)
     p = xt.shape[1]
-    found = lists(train, target, int(np.clip(np.rint(bw), 2, max(len(train) - loo, 2))), kernel, loo) if adaptive else None
+    found = lists(train, target, _count(bw, len(train), loo), kernel, loo, met) if adaptive else None
     if found is None:
 
         def rows(run: slice) -> np.ndarray:

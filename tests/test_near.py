@@ -174,3 +174,12 @@ def test_scans_read_known_rows_only(spark):
         candidates = [J.Candidate((12,) * len(groups.names(method)))]
         a, b = (sorted(map(tuple, J.scan(J.predict(x, groups, method, candidates, loo=True)).collect()), key=lambda x: x[:3]) for x in (data, J.known(data)))
         assert len(a) == 10 and [x[:4] for x in a] == [x[:4] for x in b] and np.allclose(np.array(a, float), np.array(b, float), equal_nan=True)
+
+
+def test_widths_share_their_nearest(by_blocks, monkeypatch):
+    run = lambda: L.multiscale_gwr(PLACE, Y, [X[:, :1], X[:, 1:]], [20, 12], AT, [X_AT[:, :1], X_AT[:, 1:]])
+    want = run()
+    by_blocks()
+    calls, plain = [], near.nearest
+    monkeypatch.setattr(near, "nearest", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert np.allclose(run(), want) and len(calls) == 2  # of the training places and of the targets

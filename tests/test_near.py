@@ -183,3 +183,16 @@ def test_widths_share_their_nearest(by_blocks, monkeypatch):
     calls, plain = [], near.nearest
     monkeypatch.setattr(near, "nearest", lambda *a, **k: calls.append(1) or plain(*a, **k))
     assert np.allclose(run(), want) and len(calls) == 2  # of the training places and of the targets
+
+
+def test_spline_holds_few_matrices():
+    import tracemalloc
+
+    place = R.uniform((109.4, 31.2), (111.6, 33.4), (1500, 2))
+    y = np.sin(3 * place[:, 0]) + place[:, 1]
+    L.tps_predict(place[:50], y[:50], place[:5])
+    tracemalloc.start()
+    got = L.tps_predict(place[:1400], y[:1400], place[1400:])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(got - y[1400:]).max() < 0.5 and most < 4 * 8 * 1400**2

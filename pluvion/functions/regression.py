@@ -195,12 +195,69 @@ def _met(d: np.ndarray, y: np.ndarray, powers: list[float], directions) -> list[
     return out
 
 
+def _all_met(train, y, target, powers: list[float], same: bool, angular: bool) -> list[np.ndarray]:
+    """``idw`` of all stations under each power, from squared distances of few targets at a time; rows with a coincident station take ``_met``."""
+    out = [np.full(len(target), np.nan) for _ in powers]
+    count = len(train) - same
+    if count < 1:
+        return out
+    squares, turn, both = N.Squares(train), np.radians(train), np.column_stack([y, np.ones(len(y))])
+    for run in N.runs(len(target), 16 * len(train)):
+        s = squares.of(target[run])
+        if same:
+            s[np.arange(len(s)), np.arange(run.start, run.stop)] = np.inf
+        odd = np.flatnonzero(s.min(axis=1) <= (1.001 * COINCIDENT_KM) ** 2)
+        s[odd] = 1.0
+        if angular and count > 1:
+            at = np.radians(target[run])
+            east, north = turn[:, 0] - at[:, :1], turn[:, 1] - at[:, 1:]
+            east *= np.cos(at[:, 1:])
+            size = east * east
+            size += north * north
+            np.sqrt(size, out=size)
+            np.maximum(size, EPS, out=size)
+            east /= size
+            north /= size
+        for part, power in zip(out, powers, strict=True):
+            b = 1 / s if power == 2 else 1 / np.sqrt(s) if power == 1 else s ** (-power / 2)
+            if angular and count > 1:
+                total = b.sum(axis=1)[:, None]
+                pull = east * np.einsum("tk,tk->t", b, east)[:, None]
+                pull += north * np.einsum("tk,tk->t", b, north)[:, None]
+                np.subtract(total, pull, out=pull)
+                rest = total - b
+                alone = rest <= 0
+                if alone.any():
+                    rest[alone], pull[alone] = 1, 0
+                pull /= rest
+                pull += 1
+                b *= pull
+            sums = b @ both
+            part[run] = sums[:, 0] / sums[:, 1]
+        if len(odd):
+            rows = np.arange(run.start, run.stop)[odd]
+            d = haversine_km(target[rows], train)
+            if same:
+                d[np.arange(len(rows)), rows] = np.inf
+            directions = None
+            if angular:
+                u = turn[None] - np.radians(target[rows])[:, None, :]
+                directions = u[..., 0] * np.cos(np.radians(target[rows][:, 1]))[:, None], u[..., 1]
+            for part, found in zip(out, _met(d, np.broadcast_to(y, d.shape), powers, directions), strict=True):
+                part[rows] = found
+    return out
+
+
 def idw_options(train, y, target, options: list[tuple[float, int | None]], same: bool = False, angular: bool = False) -> list[np.ndarray]:
     """``idw`` under each (power, k), some targets at a time; distances are worked out once for all that share k."""
     out: list = [None] * len(options)
     for k in dict.fromkeys(k for _, k in options):
         which = [i for i, o in enumerate(options) if o[1] == k]
         powers = [options[i][0] for i in which]
+        if not k or k >= len(train):
+            for i, part in zip(which, _all_met(train, y, target, powers, same, angular), strict=True):
+                out[i] = part
+            continue
         parts = [np.full(len(target), np.nan) for _ in which]
         few = k is not None and 0 < k <= N.MOST
         index, far = N.nearest(train, target, k, same) if few else (None, None)
@@ -236,10 +293,12 @@ def gwr(train, y, target, kernel: str = "bisquare", adaptive: bool = True, bw: f
     out = np.full(len(target), np.nan)
 
     def plane(rows, w, a, b):
-        ok = ((w > 0).sum(axis=1) >= least) & (np.abs(np.linalg.det(a)) > EPS)
+        ok = (np.count_nonzero(w > 0, axis=1) >= least) & (np.abs(np.linalg.det(a)) > EPS)
         if ok.any():
             out[rows[ok]] = (at[rows[ok]] * np.linalg.solve(a[ok], b[ok][:, :, None])[:, :, 0]).sum(axis=1)
 
+    moments = np.concatenate([(x[:, :, None] * x[:, None, :]).reshape(-1, 9), x * y[:, None]], axis=1)
+
     def matrix(rows, found):
         d = haversine_km(target[rows], train[found])
         w = kernel_weights(d, width_plain(d, bw)[:, None] if adaptive else bw, kernel)
@@ -258,6 +317,23 @@ def gwr(train, y, target, kernel: str = "bisquare", adaptive: bool = True, bw: f
                 w[index == all_rows[run][:, None]] = 0.0
             xw = np.swapaxes(x[index] * w[:, :, None], 1, 2)
             plane(all_rows[run], w, xw @ x[index] + 1e-8 * np.eye(3), (xw @ y[index][:, :, None])[:, :, 0])
+    elif large and not adaptive and np.isinf(bw) and not same:  # one plane for all
+        total = np.broadcast_to(moments.sum(axis=0), (1, 12))
+        plane(all_rows, np.ones((1, len(train))), np.broadcast_to(total[:, :9].reshape(-1, 3, 3) + 1e-8 * np.eye(3), (len(target), 3, 3)), np.broadcast_to(total[:, 9:], (len(target), 3)))
+    elif large and not adaptive and kernel == "bisquare" and 0 < bw < np.inf:
+        for rows, some in N.within(train, target, max(float(bw), 1e-6)):
+            squares, of = N.Squares(train[some]), moments[some]
+            for run in N.runs(len(rows), 16 * len(some)):
+                part = rows[run]
+                w = squares.of(target[part])
+                w /= -float(bw) ** 2
+                w += 1
+                np.maximum(w, 0, out=w)
+                w *= w
+                if same:
+                    w[some[None, :] == part[:, None]] = 0.0
+                sums = w @ of
+                plane(part, w, sums[:, :9].reshape(-1, 3, 3) + 1e-8 * np.eye(3), sums[:, 9:])
     elif large and not adaptive and kernel in N.COMPACT and np.isfinite(bw):
         for rows, some in N.within(train, target, max(float(bw), 1e-6)):
             matrix(rows, some)

@@ -206,11 +206,19 @@ def mixed_design(train: np.ndarray, at: np.ndarray) -> np.ndarray:
 TRIED = "held bigint, candidate int, station_id bigint, t bigint, obs double, product double, pred double, failed string"
 
 
-def tried(cells: DataFrame, method: str, options: list[dict], residual: bool, inner: bool) -> DataFrame:
+#: Methods whose prediction at a target (and whether it fails) does not depend on the other targets.
+APART = ("idw", "adw", "gwr")
+
+
+def tried(cells: DataFrame, method: str, options: list[dict], residual: bool, inner: bool, scored: bool = False, only: dict[int, int] | None = None) -> DataFrame:
     """TRIED: every candidate's prediction of held stations (or of training stations on the inner folds).
 
     cells: (held, fold, inner, station_id, lon, lat, t, obs, product). A candidate that fails gives its error and NULLs.
+    scored: only rows that scores take, with observation and product, need be given. only: the candidate of each held fold
+    to try; no other, and no other fold, is given.
     """
+    if only is not None:
+        cells = cells.filter(F.col("held").isin(*only))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("station_id", ignore_index=True)
@@ -227,21 +235,26 @@ def tried(cells: DataFrame, method: str, options: list[dict], residual: bool, in
             splits = [(known, ~train)]
         out = []
         shared = {}
+        wanted = np.ones(len(rows), bool)
+        if scored and method in APART:
+            wanted = (rows["obs"].notna() & rows["product"].notna()).to_numpy()
+            splits = [(a, b & wanted) for a, b in splits]
+        which = (train if inner else ~train) & wanted
+        chosen = [(i, o) for i, o in enumerate(options) if only is None or i == only[int(rows["held"].iloc[0])]]
         if method in ("idw", "adw") and max((int(a.sum()) * int(b.sum()) for a, b in splits), default=0) > near.WHOLE:
-            pairs = [(o["power"], o["k"]) for o in options]
+            pairs = [(o["power"], o["k"]) for _, o in chosen]
             shared = {j: G.idw_options(place[a], value[a], place[b], pairs, angular=method == "adw") for j, (a, b) in enumerate(splits) if a.any() and b.any()}
-        for i, o in enumerate(options):
+        for at, (i, o) in enumerate(chosen):
             pred, failed = np.full(len(rows), np.nan), None
             for j, (a, b) in enumerate(splits):
                 if not a.any() or not b.any():
                     continue
                 try:
-                    pred[b] = shared[j][i] if shared else predict(method, place[a], value[a], place[b], o)
+                    pred[b] = shared[j][at] if shared else predict(method, place[a], value[a], place[b], o)
                 except (np.linalg.LinAlgError, ValueError) as error:
                     failed = str(error)
             if residual:
                 pred = pred + rows["product"].to_numpy(float)
-            which = train if inner else ~train
             found = rows.loc[which, ["held", "station_id", "t", "obs", "product"]].copy()
             found["candidate"], found["pred"], found["failed"] = i, np.maximum(pred[which], 0), failed
             out.append(found)
@@ -307,9 +320,10 @@ def run(panel: DataFrame, stations: DataFrame, config: Config, methods: tuple[st
         residual = method in ("residual_gwr", "mixed_gwr", "mgwr")
         name = "gwr" if method == "residual_gwr" else method
         options = grid(config, name)
-        scan = materialise(scores(tried(cells, name, options, residual, True), "held", "candidate").withColumn("method", F.lit(method)), "bench-scan")
+        scan = materialise(scores(tried(cells, name, options, residual, True, scored=True), "held", "candidate").withColumn("method", F.lit(method)), "bench-scan")
         pick = materialise(chosen(scan, config.least_coverage, "method", "held"), "bench-pick")
-        outer = tried(cells, name, options, residual, False).join(pick.select("held", "candidate"), ["held", "candidate"]).withColumn("method", F.lit(method))
+        only = {r["held"]: r["candidate"] for r in pick.select("held", "candidate").collect()}  # a row a held fold
+        outer = tried(cells, name, options, residual, False, only=only).withColumn("method", F.lit(method))
         scans.append(scan)
         picks.append(pick)
         found.append(outer.select("method", "held", "station_id", "t", "obs", "product", "pred"))

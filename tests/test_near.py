@@ -196,3 +196,45 @@ def test_spline_holds_few_matrices():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.abs(got - y[1400:]).max() < 0.5 and most < 4 * 8 * 1400**2
+
+
+def test_squared_distances_of_near_and_far_places():
+    r = np.random.default_rng(4)
+    place = r.uniform((109.4, 31.2), (111.6, 33.4), (300, 2))
+    place[:20] = place[20:40] + r.uniform(-1e-6, 1e-6, (20, 2))  # within 0.2 m
+    place[40] = place[41]
+    for train in (place, np.concatenate([place, [[-70.0, -33.0]]])):
+        got = near.Squares(train).of(place)
+        assert np.allclose(got, L.haversine_km(place, train) ** 2, rtol=1e-10, atol=1e-18) and got[40, 41] == 0
+
+
+def test_all_stations_are_met_without_the_haversine_of_every_pair(monkeypatch):
+    r = np.random.default_rng(6)
+    place, y, target = r.uniform((109.4, 31.2), (111.6, 33.4), (3000, 2)), r.gamma(1, 5, 3000), r.uniform((109.4, 31.2), (111.6, 33.4), (2000, 2))
+    target[7] = place[9]  # coincident: that station's value
+    wanted = [G._met(L.haversine_km(target[:20], place), np.broadcast_to(y, (20, 3000)), [1.0, 2.0], None)[i] for i in (0, 1)]
+    asked = []
+    whole = L.haversine_km
+    for module in (near.L, G):
+        monkeypatch.setattr(module, "haversine_km", lambda a, b, *x: asked.append(len(a) * len(b)) or whole(a, b, *x))
+    got = G.idw_options(place, y, target, [(1.0, None), (2.0, None)])
+    assert np.isfinite(G.gwr(place, y, target, "bisquare", False, 50.0)).all() and np.isfinite(G.gwr(place, y, target, "bisquare", False, np.inf)).all()
+    assert sum(asked) <= 10 * len(place)
+    assert got[0][7] == y[9] and all(np.allclose(a[:20], b, rtol=1e-10) for a, b in zip(got, wanted, strict=True))
+
+
+def test_folds_fill_as_one_point_after_the_other():
+    import time
+
+    r = np.random.default_rng(8)
+    for n, k in ((1, 1), (7, 3), (200, 5), (203, 7)):
+        squared, room = np.round(r.uniform(0, 3, (n, k)), 1), np.bincount(r.integers(0, k, n), minlength=k)
+        two = np.partition(squared, 1, axis=1) if k > 1 else np.hstack([squared, squared])
+        left, wanted = room.copy(), np.zeros(n, int)
+        for i in np.argsort(-(two[:, 1] - two[:, 0]), kind="stable"):
+            wanted[i] = np.argmin(np.where(left > 0, squared[i], np.inf))
+            left[wanted[i]] -= 1
+        assert np.array_equal(L.nearest_with_room(squared, room), wanted)
+    began = time.process_time()
+    L.nearest_with_room(r.uniform(size=(300_000, 5)), np.full(5, 60_000))
+    assert time.process_time() - began < 0.5
